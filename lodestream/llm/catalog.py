@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestream.llm import chat, exact_dedup, mixing, secrets, simhash
+from lodestream.llm import chat, exact_dedup, mixing, quality_rules, secrets, simhash
 from lodestream.storage import read_table
 
 
@@ -22,6 +22,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_report(read_table(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_report(read_table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_report(read_table(spark, sf_dir, "documents"))
 
@@ -31,9 +35,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_mixing, op4_chat_formatting, op5_simhash, op7_exact_dedup, op8_secret_scan)
+    f.__name__: f for f in (op2_mixing, op4_chat_formatting, op5_simhash, op6_quality_rules, op7_exact_dedup, op8_secret_scan)
 }
 ORACLES: dict[str, str] = {
     "op4_chat_formatting": chat.ORACLE_SQL,
+    "op6_quality_rules": quality_rules.ORACLE_SQL,
     "op7_exact_dedup": exact_dedup.ORACLE_SQL,
 }
