@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestream.llm import chat, exact_dedup, mixing, quality_rules, secrets, simhash
+from lodestream.llm import chat, exact_dedup, html_extract, mixing, quality_classifier, quality_rules, secrets, simhash
 from lodestream.storage import read_table
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_report(read_table(spark, sf_dir, "documents"))
 
@@ -34,8 +38,22 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_report(read_table(spark, sf_dir, "documents"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(read_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_mixing, op4_chat_formatting, op5_simhash, op6_quality_rules, op7_exact_dedup, op8_secret_scan)
+    f.__name__: f
+    for f in (
+        op1_quality_classifier,
+        op2_mixing,
+        op4_chat_formatting,
+        op5_simhash,
+        op6_quality_rules,
+        op7_exact_dedup,
+        op8_secret_scan,
+        op10_html_extraction,
+    )
 }
 ORACLES: dict[str, str] = {
     "op4_chat_formatting": chat.ORACLE_SQL,

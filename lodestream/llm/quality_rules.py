@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestream.llm.buffers import SLICE_BYTES, SPACE_BYTE, number_words, slices, text_bytes
 from lodestream.llm.text import text_or_empty
 from lodestream.storage import materialize
 
@@ -30,11 +31,6 @@ MIN_WORDS = 50
 #: A line is boilerplate in a host if more documents than either limit hold it.
 LINE_DOCS = 10
 LINE_PERCENT = 1
-#: Texts are analysed in slices of about this many bytes; a longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
-
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -53,21 +49,13 @@ def _per_doc(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def _analyse(buf: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray], list[dict[int, int]]]:
     """Counts, and {line hash: words in it}, of each document; offsets are its bounds in ``buf``."""
     n = len(offsets) - 1
-    space = _SPACE[buf]
-    before = np.concatenate([[True], space[:-1]])
-    before[offsets[:-1][offsets[:-1] < len(buf)]] = True
-    begin = np.flatnonzero(~space & before)
-    doc = np.searchsorted(offsets, begin, side="right") - 1
+    space = SPACE_BYTE[buf]
+    begin, doc, word = number_words(buf, offsets)
     out = {
         "n_words": np.bincount(doc, minlength=n),
         "word_chars": _per_doc(~space & ((buf & 0xC0) != 0x80), offsets),
         "n_symbols": _per_doc(_SYMBOL[buf], offsets),
     }
-    # Words by number: equal words, equal numbers.
-    letters = buf[~space]
-    ends = np.append(np.searchsorted(np.flatnonzero(~space), begin), len(letters)).astype(np.int64)
-    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(letters)])
-    word = words.dictionary_encode().indices.to_numpy().astype(np.int64)
     repeat = np.zeros(len(begin), dtype=bool)
     if len(begin) >= 3:
         at = np.flatnonzero(doc[:-2] == doc[2:])
@@ -99,23 +87,6 @@ def _analyse(buf: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray
     return out, lines
 
 
-def slices(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Runs of documents of about ``most`` bytes."""
-    at, n = 0, len(offsets) - 1
-    while at < n:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
-        yield at, min(to, n)
-        at = to
-
-
-def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a column of strings without nulls, and each string's bounds in them."""
-    array = column.cast(pa.large_binary())
-    offsets = np.frombuffer(array.buffers()[1], dtype=np.int64)[array.offset : array.offset + len(array) + 1]
-    data = array.buffers()[2]
-    return np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), offsets
-
-
 def line_statistics(docs: DataFrame) -> DataFrame:
     """uid, doc_id, source, the counts of STATS and lines (h, w) of each document."""
 
