@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestream.llm import chat, exact_dedup, html_extract, mixing, quality_classifier, quality_rules, secrets, simhash
+from lodestream.llm import chat, exact_dedup, html_extract, mixing, quality_classifier, quality_rules, secrets, sentencepiece, simhash, suffix_dedup
 from lodestream.storage import read_table
 
 
@@ -18,6 +18,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_report(read_table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_spans(read_table(spark, sf_dir, "documents"))
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(read_table(spark, sf_dir, "conversations"))
 
@@ -38,6 +42,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_report(read_table(spark, sf_dir, "documents"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece.encode_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(read_table(spark, sf_dir, "pages"))
 
@@ -47,11 +55,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_quality_classifier,
         op2_mixing,
+        op3_suffix_dedup,
         op4_chat_formatting,
         op5_simhash,
         op6_quality_rules,
         op7_exact_dedup,
         op8_secret_scan,
+        op9_sentencepiece,
         op10_html_extraction,
     )
 }

@@ -10,9 +10,13 @@ between a character and a blank mark that follows, and a text is cut there witho
 line breaks are such cuts too where no longer piece holds one. The parts repeat much, and their results
 are remembered in a bounded table.
 
-A model is read from its file's bytes on the driver and broadcast (its size is checked). Pieces and
-scores are used as they are, and segmentation maximises the sum of scores, for models trained as BPE too: for
-those it is the best path under the model's scores, not the result of replaying merges.
+For a unigram model the path with the greatest sum of scores wins. In a model trained as BPE a
+score is the rank of a merge, and the pieces of a text are those that the merges leave. There a piece
+relaxes its end only if the merges leave it and the piece before it as they are when the two are put
+together; the piece that ends the merged form of a prefix is the only one of which this holds, so one
+path is left, and it is the one the library gives.
+
+A model is read from its file's bytes on the driver and broadcast (its size is checked).
 
 Defined results: null texts count as empty and have no ids; decode(encode(t)) is t, but for the
 blank mark U+2581, which is decoded as a blank as SentencePiece does; rows are independent.
@@ -78,20 +82,23 @@ class Model:
 
     pieces: list[tuple[str, float, int]]
     dummy_prefix: bool = True
+    merges: bool = False
 
     @classmethod
     def parse(cls, data: bytes) -> Model:
-        pieces, dummy = [], True
+        pieces, dummy, merges = [], True, False
         for number, value in _fields(data):
             if number == 1:
                 f = dict(_fields(value))
                 pieces.append((f.get(1, b"").decode(), struct.unpack("<f", f[2])[0] if 2 in f else 0.0, f.get(3, NORMAL)))
+            elif number == 2:
+                merges = dict(_fields(value)).get(3, 1) == 2
             elif number == 3:
                 spec = dict(_fields(value))
                 dummy = bool(spec.get(3, 1))
                 if spec.get(2) or spec.get(4, 1) or not spec.get(5, 1):
                     raise NotImplementedError("only models that keep texts as they are, with blanks as marks")
-        return cls(pieces, dummy)
+        return cls(pieces, dummy, merges)
 
 
 class Codec:
@@ -100,9 +107,13 @@ class Codec:
     def __init__(self, model: Model) -> None:
         self.model = model
         live = [(p, s, i) for i, (p, s, k) in enumerate(model.pieces) if k in (NORMAL, USER_DEFINED) and p]
+        self.score_of = {p: (s, i) for p, s, i in live}
+        self.joined: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
         for p, s, i in live:
-            self.automaton.add_word(p, (len(p), s, i))
+            # A piece that merges do not lead to can end no path of merges.
+            if not model.merges or self.merge(p) == (i,):
+                self.automaton.add_word(p, (len(p), s, i))
         self.automaton.make_automaton()
         normal = [s for _, s, k in model.pieces if k == NORMAL]
         self.unknown_score = min(normal, default=0.0) - UNKNOWN_PENALTY
@@ -119,11 +130,33 @@ class Codec:
         self.parts = re.compile(part)
         self.known: dict[str, tuple[int, ...]] = {}
 
+    def merge(self, text: str) -> tuple[int, ...]:
+        """Ids by replaying merges, best score first, leftmost first; -1 for an unknown character."""
+        parts = list(text)
+        while len(parts) > 1:
+            ranked = [(-self.score_of[x][0], k) for k, x in enumerate(map("".join, zip(parts, parts[1:]))) if x in self.score_of]
+            if not ranked:
+                break
+            k = min(ranked)[1]
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        return tuple(self.score_of[x][1] if x in self.score_of else -1 for x in parts)
+
+    def _stays(self, left: int, right: int) -> bool:
+        """Whether merges leave these two pieces, put together, as they are."""
+        key = left << 32 | right
+        if (known := self.joined.get(key)) is None:
+            if len(self.joined) >= 8 * MEMORY:
+                self.joined.clear()
+            pieces = self.model.pieces
+            known = self.joined[key] = self.merge(pieces[left][0] + pieces[right][0]) == (left, right)
+        return known
+
     def viterbi(self, text: str) -> tuple[int, ...]:
         """Ids of the best path through ``text``, which is normalised."""
         n, low, unknown = len(text), float("-inf"), self.unknown_score
         best, origin, by = [low] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         best[0], at, single = 0.0, 0, False
+        merges, stays = self.model.merges, self._stays
         # ``at`` is the last position reached; it is settled when matches of a later one come.
         for last, (size, score, i) in self.automaton.iter(text):
             end = last + 1
@@ -132,9 +165,10 @@ class Codec:
                     best[at], origin[at], by[at] = best[at - 1] + unknown, at - 1, -1
                 at, single = at + 1, False
             single = single or size == 1
-            total = best[end - size] + score
-            if total > best[end]:
-                best[end], origin[end], by[end] = total, end - size, i
+            start = end - size
+            total = best[start] + score
+            if total > best[end] and (not merges or by[start] < 0 or stays(by[start], i)):
+                best[end], origin[end], by[end] = total, start, i
         while at <= n:
             if at and not single and best[at - 1] + unknown > best[at]:
                 best[at], origin[at], by[at] = best[at - 1] + unknown, at - 1, -1
