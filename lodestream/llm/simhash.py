@@ -87,19 +87,25 @@ def fingerprint(text: bytes, shingle_words: int, lanes: int = 1) -> np.ndarray:
     return np.packbits(2 * tally > len(start), axis=1, bitorder="little").view("<u8").reshape(lanes)
 
 
-def with_fingerprints(docs: DataFrame, shingle_words: int, lanes: int = 1) -> DataFrame:
-    """(doc_id, fp): fp is an array of lanes, each a signed 64-bit number."""
+def with_fingerprints(docs: DataFrame, shapes: dict[str, tuple[int, int]]) -> DataFrame:
+    """doc_id, text_hash and a fingerprint for each of ``shapes``: name to (shingle words, lanes).
+
+    A fingerprint is an array of lanes, each a signed 64-bit number.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.large_binary())
-            prints = [fingerprint(t.as_py(), shingle_words, lanes).astype("<i8") for t in texts]
-            flat = pa.array(np.concatenate(prints) if prints else np.zeros(0, dtype="<i8"), type=pa.int64())
-            offsets = pa.array(np.arange(len(prints) + 1, dtype=np.int32) * lanes)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "fp"])
+            columns = [batch.column("doc_id"), batch.column("text_hash")]
+            for words, lanes in shapes.values():
+                prints = [fingerprint(t.as_py(), words, lanes).astype("<i8") for t in texts]
+                flat = pa.array(np.concatenate(prints) if prints else np.zeros(0, dtype="<i8"), type=pa.int64())
+                columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(prints) + 1, dtype=np.int32) * lanes), flat))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", *shapes])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(F.col("text")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp array<long>")
+    text = text_or_empty(F.col("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, " + ", ".join(f"{name} array<long>" for name in shapes))
 
 
 def _near(a: np.ndarray, b: np.ndarray, least: int, most: int) -> np.ndarray:
@@ -129,8 +135,9 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[member], nodes[label[member]]
 
 
-def _links(key: np.ndarray, node: np.ndarray, fp: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links found in the posting lists of one task."""
+def _links(key: np.ndarray, node: np.ndarray, fp: np.ndarray, least: int, most: int, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Links found in the posting lists of one task: a forest of them, or, if ``whole``, all of the
+    short lists' and one for each member that a search of a long list reaches."""
     order = np.lexsort((node, key))
     key, node, fp = key[order], node[order], fp[order]
     edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -146,7 +153,8 @@ def _links(key: np.ndarray, node: np.ndarray, fp: np.ndarray, least: int, most:
             us.append(node[hit])
             vs.append(node[hit + lag])
     for at, n in zip(edge[length > SHORT_LIST].tolist(), length[length > SHORT_LIST].tolist(), strict=True):
-        left = np.arange(at, at + n)
+        # Each list is searched from another member, so a dense group gets links to several.
+        left = np.roll(np.arange(at, at + n), -int(key[at] % n))
         while len(left):
             reached, left = [left[0]], left[1:]
             while reached and len(left):
@@ -157,11 +165,15 @@ def _links(key: np.ndarray, node: np.ndarray, fp: np.ndarray, least: int, most:
                 reached += left[near].tolist()
                 left = left[~near]
     none = np.zeros(0, dtype=np.int64)
-    return forest(np.concatenate([none, *us]), np.concatenate([none, *vs]))
+    u, v = np.concatenate([none, *us]), np.concatenate([none, *vs])
+    if not whole:
+        return forest(u, v)
+    pairs = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)]), axis=1)
+    return pairs[0], pairs[1]
 
 
-def candidate_links(prints: DataFrame, n_prints: int, lanes: int, max_diff: int) -> DataFrame:
-    """(u, v), u > v: a spanning forest, task by task, of the verified links between (node, fp) rows."""
+def candidate_links(prints: DataFrame, n_prints: int, lanes: int, max_diff: int, whole: bool = False) -> DataFrame:
+    """(u, v), u > v: links between (node, fp) rows, found and verified task by task; see ``_links``."""
     least = max(3, 8 * lanes - max_diff)
 
     def byte(lane: int, i: int) -> str:
@@ -179,7 +191,7 @@ def candidate_links(prints: DataFrame, n_prints: int, lanes: int, max_diff: int)
             return
         table = pa.Table.from_batches(held)
         flat = table.column("fp").combine_chunks().flatten().to_numpy().view("<u8").reshape(-1, lanes)
-        u, v = _links(table.column("key").to_numpy(), table.column("node").to_numpy(), flat, least, max_diff)
+        u, v = _links(table.column("key").to_numpy(), table.column("node").to_numpy(), flat, least, max_diff, whole)
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     posted = prints.select(F.explode(F.array(*keys)).alias("key"), "node", "fp")
@@ -205,20 +217,61 @@ def connected_components(links: DataFrame) -> DataFrame:
         seen = now
 
 
-def near_components(docs: DataFrame, shingle_words: int, lanes: int, max_diff: int) -> DataFrame:
-    """(doc_id, fp, component_id): the smallest doc_id that links lead to, itself included."""
-    prints = materialize(with_fingerprints(docs, shingle_words, lanes).withColumn("node", F.col("fp")[0] if lanes == 1 else F.xxhash64("fp")), "prints")
-    distinct = materialize(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("first_id")), "distinct-prints")
-    links = candidate_links(distinct.select("node", "fp"), distinct.count(), lanes, max_diff)
+def _label(prints: DataFrame, distinct: DataFrame, links: DataFrame, order: list[str]) -> DataFrame:
+    """Adds first, the least (null-last) ``order`` of all rows that links lead to, to rows of ``prints``."""
     roots = connected_components(links)
-    rooted = distinct.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = materialize(rooted.select("node", "first_id", "root"), "rooted")
-    ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n"))
-    named = materialize(rooted.join(ids.drop("n"), "root").select("node", "component_id"), "named")
-    return prints.join(named, "node").select("doc_id", "fp", "component_id")
+    rooted = distinct.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = materialize(rooted.select("node", "first", "root"), "rooted")
+    firsts = materialize(rooted.groupBy("root").agg(F.min("first").alias("first")), "firsts")
+    named = materialize(rooted.select("node", "root").join(firsts, "root").select("node", "first"), "named")
+    return prints.join(named, "node")
+
+
+def _distinct(prints: DataFrame, order: list[str]) -> DataFrame:
+    """One row for each node: its fingerprints and its first row by ``order``, nulls last."""
+    least = F.struct(F.col(order[0]).isNull().alias("none"), *order)
+    shapes = [c for c in prints.columns if c not in ("node", "doc_id", "text_hash")]
+    return prints.groupBy("node").agg(*[F.first(c).alias(c) for c in shapes], F.min(least).alias("first"))
 
 
 def simhash_report(docs: DataFrame, shingle_words: int = 4, max_diff: int = 4) -> DataFrame:
     """One row for each document: doc_id, fingerprint (16 hexadecimal digits), component_id."""
+    prints = with_fingerprints(docs, {"fp": (shingle_words, 1)}).withColumn("node", F.col("fp")[0])
+    prints = materialize(prints.drop("text_hash"), "prints")
+    distinct = materialize(_distinct(prints, ["doc_id"]), "distinct-prints")
+    links = candidate_links(distinct.select("node", "fp"), distinct.count(), 1, max_diff)
     hexed = F.lpad(F.lower(F.hex(F.col("fp")[0])), 16, "0")
-    return near_components(docs, shingle_words, 1, max_diff).select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return _label(prints, distinct, links, ["doc_id"]).select(
+        "doc_id", hexed.alias("fingerprint"), F.col("first.doc_id").alias("component_id")
+    )
+
+
+#: Near copies. Candidates: fingerprints of word pairs, which change little when a word changes; bits
+#: that may differ of 256. Verification: fingerprints of five-word shingles; bits that may differ of 512.
+#: Two sets of similarity (Jaccard) 0.8 have a cosine of 8/9, and a share acos(8/9) / pi of their bits
+#: differs: 77 of 512, give or take 8; the limit leaves one such deviation.
+CANDIDATE_WORDS, CANDIDATE_LANES, CANDIDATE_DIFF = 2, 4, 44
+VERIFY_WORDS, VERIFY_LANES, VERIFY_DIFF = 5, 8, 85
+
+
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """The documents that stay, with all their columns: of each group the one with the smallest doc_id.
+
+    Groups are what links of similarity 0.8 or more (five-word shingles) connect. Texts of no words form
+    a group. Rows that share doc_id and text stay or go together.
+    """
+    shapes = {"fp": (CANDIDATE_WORDS, CANDIDATE_LANES), "sketch": (VERIFY_WORDS, VERIFY_LANES)}
+    prints = materialize(with_fingerprints(docs, shapes).withColumn("node", F.xxhash64("fp", "sketch")), "prints")
+    order = ["doc_id", "text_hash"]
+    distinct = materialize(_distinct(prints, order), "distinct-prints")
+    links = candidate_links(distinct.select("node", "fp"), distinct.count(), CANDIDATE_LANES, CANDIDATE_DIFF, whole=True)
+    links = materialize(links.distinct(), "candidates")
+    for end in ("u", "v"):
+        links = links.join(distinct.select(F.col("node").alias(end), F.col("sketch").alias(f"of_{end}")), end)
+    differ = sum((F.bit_count(F.col("of_u")[i].bitwiseXOR(F.col("of_v")[i])) for i in range(VERIFY_LANES)), F.lit(0))
+    labelled = _label(prints.drop("fp", "sketch"), distinct, links.where(differ <= VERIFY_DIFF).select("u", "v"), order)
+    gone = labelled.where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))))
+    gone = materialize(gone.select(F.col("doc_id").alias("id"), "text_hash").distinct(), "near-copies")
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(text_or_empty(F.col("text"))).alias("own_hash"))
+    stay = keyed.join(gone, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("text_hash")), "left_anti")
+    return stay.select("row.*")
