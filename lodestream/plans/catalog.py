@@ -1,6 +1,11 @@
-"""Registered queries over the supplied tables, each with its SQL."""
+"""Registered queries: the operators applied to the supplied tables, each with its SQL."""
 
 from __future__ import annotations
 
+from lodestream.plans import dialogue_queries, retrieval_queries, store_queries, text_queries
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _module in (text_queries, retrieval_queries, store_queries, dialogue_queries):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
