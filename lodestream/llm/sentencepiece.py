@@ -42,8 +42,8 @@ from lodestream.llm.text import text_or_empty
 BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
-#: Parts remembered by a worker before it starts over.
-MEMORY = 300_000
+#: Parts a worker remembers in each of two generations, and pairs of pieces.
+MEMORY = 200_000
 MAX_MODEL_BYTES = 64 << 20
 MODEL_PATH = os.environ.get("LODESTREAM_SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 SLICE_CHARS = 1 << 20
@@ -101,6 +101,26 @@ class Model:
         return cls(pieces, dummy, merges)
 
 
+class _Memory(dict):
+    """Results by part. A full generation becomes the old one, so what is still in use comes back cheaply."""
+
+    def __init__(self, compute) -> None:
+        super().__init__()
+        self.compute, self.old = compute, {}
+
+    def __missing__(self, part: str) -> tuple[int, ...]:
+        ids = self.old.get(part)
+        if ids is None:
+            ids = self.compute(part)
+            if len(part) > 64:
+                return ids
+        if len(self) >= MEMORY:
+            self.old = dict(self)
+            self.clear()
+        self[part] = ids
+        return ids
+
+
 class Codec:
     """A model made ready to encode and decode; one for each worker process."""
 
@@ -128,7 +148,7 @@ class Codec:
         else:
             part = f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n"
         self.parts = re.compile(part)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = _Memory(self.merged if model.merges else self.viterbi)
 
     def merge(self, text: str) -> tuple[int, ...]:
         """Ids by replaying merges, best score first, leftmost first; -1 for an unknown character."""
@@ -156,7 +176,6 @@ class Codec:
         n, low, unknown = len(text), float("-inf"), self.unknown_score
         best, origin, by = [low] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         best[0], at, single = 0.0, 0, False
-        merges, stays = self.model.merges, self._stays
         # ``at`` is the last position reached; it is settled when matches of a later one come.
         for last, (size, score, i) in self.automaton.iter(text):
             end = last + 1
@@ -167,13 +186,18 @@ class Codec:
             single = single or size == 1
             start = end - size
             total = best[start] + score
-            if total > best[end] and (not merges or by[start] < 0 or stays(by[start], i)):
+            if total > best[end]:
                 best[end], origin[end], by[end] = total, start, i
         while at <= n:
             if at and not single and best[at - 1] + unknown > best[at]:
                 best[at], origin[at], by[at] = best[at - 1] + unknown, at - 1, -1
             at, single = at + 1, False
+        return self._ids(text, origin, by)
+
+    def _ids(self, text: str, origin: list[int], by: list[int]) -> tuple[int, ...]:
+        """The pieces of a path, read back from its end."""
         ids: list[int] = []
+        n = len(text)
         while n:
             if by[n] >= 0:
                 ids.append(by[n])
@@ -182,23 +206,31 @@ class Codec:
             else:
                 ids.append(self.unknown_id)
             n = origin[n]
-        return tuple(reversed(ids))
-
-    def _part(self, part: str) -> tuple[int, ...]:
-        ids = self.known.get(part)
-        if ids is None:
-            if len(self.known) >= MEMORY:
-                self.known.clear()
-            ids = self.viterbi(part)
-            if len(part) <= 64:
-                self.known[part] = ids
-        return ids
+        ids.reverse()
+        return tuple(ids)
+
+    def merged(self, text: str) -> tuple[int, ...]:
+        """Ids of the one path of pieces that merges leave side by side.
+
+        The same pass as ``viterbi``; an end is settled by the first piece that stays beside the one
+        before it, so the shorter ones on the output links need not be looked at.
+        """
+        n, stays, joined = len(text), self._stays, self.joined
+        origin, by = list(range(-1, n)), [-1] * (n + 1)
+        settled = -1
+        for last, (size, _, i) in self.automaton.iter(text):
+            if last != settled:
+                start = last + 1 - size
+                left = by[start]
+                if left < 0 or (known := joined.get(left << 32 | i)) or (known is None and stays(left, i)):
+                    origin[last + 1], by[last + 1], settled = start, i, last
+        return self._ids(text, origin, by)
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, dtype=np.int32)
         marked = (" " + text if self.model.dummy_prefix else text).replace(" ", BLANK)
-        return np.fromiter(chain.from_iterable(map(self._part, self.parts.findall(marked))), dtype=np.int32)
+        return np.fromiter(chain.from_iterable(map(self.known.__getitem__, self.parts.findall(marked))), dtype=np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         if not hasattr(self, "piece_bytes"):
