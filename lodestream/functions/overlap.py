@@ -10,7 +10,7 @@ from lodestream.functions.text import blank, squash, strip
 #: Marks of questions, where clauses end, and replies that say nothing.
 QUESTION_HINTS = ("还是", "吗", "呢", "哪", "什么", "多少", "几")
 CLAUSE_END = r"[。！？!?；;]+"
-BACKCHANNEL = r"^(嗯+|啊+|哦+|呃+|好的?|是的?|对)\z"
+BACKCHANNEL = r"^(嗯+|啊+|哦+|呃+|好的?|是的?|对)$"
 COMMAND_PREFIX = "请求主动询问"
 QUESTION_COVERAGE, UTTERANCE_COVERAGE = 0.32, 0.50
 
