@@ -69,4 +69,5 @@ ORACLES: dict[str, str] = {
     "op4_chat_formatting": chat.ORACLE_SQL,
     "op6_quality_rules": quality_rules.ORACLE_SQL,
     "op7_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op8_secret_scan": secrets.oracle_sql(),
 }

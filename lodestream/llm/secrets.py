@@ -144,3 +144,34 @@ def secrets_report(docs: DataFrame) -> DataFrame:
         F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         listed(F.array_sort(F.concat("base", "found"))).alias("spans"),
     )
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL for ``secrets_report``: matches and the pieces between them give the offsets there, too."""
+
+    def quoted(pattern: str) -> str:
+        return "'" + pattern.replace("'", "''") + "'"
+
+    kinds = [(k, p) for k, p, _, _ in BASE] + [("entropy", CANDIDATE)]
+    placed = " UNION ALL ".join(
+        f"SELECT doc_id, {n} AS kind, '{k}' AS name, regexp_extract_all(t, {quoted(p)}) AS ms, regexp_split_to_array(t, {quoted(p)}) AS ps FROM d"
+        for n, (k, p) in enumerate(kinds)
+    )
+    measured = "length(CASE kind WHEN 0 THEN regexp_extract(m, " + quoted(ASSIGN) + ", 2) ELSE m END) >= CASE kind "
+    measured += " ".join(f"WHEN {n} THEN {least}" for n, (_, _, _, least) in enumerate(BASE)) + " ELSE 0 END"
+    allowed = " OR ".join(f"regexp_full_match(m, {quoted(p)})" for p in ALLOW)
+    limit = f"CASE WHEN regexp_full_match(m, '[0-9a-fA-F]+') THEN {THRESHOLDS['hex']} WHEN regexp_full_match(m, '[A-Za-z0-9]+') THEN {THRESHOLDS['alnum']} ELSE {THRESHOLDS['mixed']} END"
+    windows = f"list_max(list_transform(range(1, length(m) - {WINDOW - 2}), lambda i: list_aggregate(string_split(substr(m, i, {WINDOW}), ''), 'entropy')))"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+p AS ({placed}),
+e AS (SELECT doc_id, kind, name, ms, ps, unnest(range(1, len(ms) + 1)) AS i FROM p WHERE len(ms) > 0),
+s AS (SELECT doc_id, kind, name, ms[i] AS m, CAST(list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS pos FROM e),
+k AS (SELECT doc_id, kind, pos, name || ':' || pos || ':' || (pos + length(m)) AS span FROM s
+      WHERE {measured} AND (kind < 3 OR NOT ({allowed}) AND {windows} >= {limit})),
+g AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+      string_agg(span, ',' ORDER BY pos, kind) FILTER (kind < 3) AS base, string_agg(span, ',' ORDER BY pos, kind) AS spans FROM k GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (doc_id)
+"""
