@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 
 from lodestream.llm.text import text_or_empty
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+#: Without backtracking, and a quote left open ends at the next tag, so time is linear in the page.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"<]*+"|'[^'<]*+')*+)>""", re.S)
 LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,21 +49,28 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header".split())
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BARRIER = frozenset("ul ol dl table select div section article main body".split())
 #: Whole words of a class or id, and beginnings of such words, that mark what is no article text.
-NAMES = frozenset("ad ads adv adbox advert adsense dfp sponsor sponsored nav navbar menu topbar toc tags share sharing social login signup search widget".split())
+NAMES = frozenset(
+    "ad ads adv adbox adsense dfp nav navbar topnav subnav sitenav menu topbar toolbar toc tags share sharing social login signup search widget alert "
+    "toast rail side copyright legal discussion responses".split()
+)
+#: A name that says what an element has, not what it is, marks nothing: "has-sidebar", "no-ads".
+HAS = ("has-", "has_", "with-", "with_", "no-", "no_", "without-", "not-", "is-", "hide-", "show-")
 STARTS = ("advert", "sponsor", "promo", "banner", "cookie", "consent", "gdpr", "notice", "notification", "popup", "modal", "overlay", "newsletter",
-          "subscri", "sidebar", "breadcrumb", "paginat", "comment", "disqus", "respond", "replies", "related", "recommend", "footer", "masthead",
+          "subscri", "announce", "sidebar", "breadcrumb", "paginat", "comment", "disqus", "respond", "replies", "related", "recommend", "footer", "masthead",
           "navigation", "skip")
 PUNCTUATION = re.compile(r"[.,;:!?\"'()\[\]…«»“”¡¿、。！，？]")
 SMOOTH = (1.0, 2.0, 4.0, 2.0, 1.0)
 #: A path is content if its fused value is this part of the greatest on the page, or more.
 THRESHOLD = 0.1
+#: Elements nested deeper than this, as in browsers, do not nest further; their text is read as ever.
+DEPTH = 512
 
 
-def _marked(tag: str, attributes: str, in_article: bool) -> bool:
+def _marked(tag: str, attributes: str, in_article: bool, by_name: bool) -> bool:
     """Whether an element announces itself as no article text."""
     if tag in EXCLUDED or (tag == "header" and not in_article):
         return True
-    if not attributes.strip() or tag in ("html", "body", "article", "main"):
+    if not by_name or not attributes.strip() or tag in ("html", "body", "article", "main"):
         return False
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
@@ -70,29 +79,38 @@ def _marked(tag: str, attributes: str, in_article: bool) -> bool:
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
         if name in ("class", "id"):
-            words = re.findall(r"[a-z]+", value)
+            words = [w for name_ in value.split() if not name_.startswith(HAS) for w in re.findall(r"[a-z]+", name_)]
             if any(w in NAMES or w.startswith(STARTS) for w in words) or (not in_article and "header" in words):
                 return True
     return False
 
 
-def text_nodes(page: str) -> list[tuple[str, tuple[str, ...], tuple[int, ...], int]]:
+def text_nodes(page: str, by_name: bool = True) -> list[tuple[str, tuple[str, ...], tuple[int, ...], int]]:
     """(text, tag path, element path, block) of each text node outside excluded elements, in order."""
     names, ids, nodes = [], [], []
+    open_: Counter[str] = Counter()
     made, block, at, n, skip, articles = 0, 0, 0, len(page), None, 0
 
     def pop_to(depth: int) -> None:
         nonlocal skip, articles
         for tag in names[depth:]:
+            open_[tag] -= 1
             articles -= tag in ("article", "main")
         del names[depth:], ids[depth:]
         if skip is not None and skip >= depth:
             skip = None
 
+    def innermost(tag: str) -> int:
+        depth = len(names) - 1
+        while names[depth] != tag:
+            depth -= 1
+        return depth
+
+    last_tag_ends = max(page.rfind(">"), page.rfind("<!--") + 1)  # a "<" after it opens nothing
     while at < n:
         lt = page.find("<", at)
         m = None
-        while lt >= 0 and (m := TOKEN.match(page, lt) or LOOSE.match(page, lt)) is None:
+        while 0 <= lt < last_tag_ends and (m := TOKEN.match(page, lt) or LOOSE.match(page, lt)) is None:
             lt = page.find("<", lt + 1)
         stop = n if m is None else lt
         if stop > at and skip is None:
@@ -107,13 +125,13 @@ def text_nodes(page: str) -> list[tuple[str, tuple[str, ...], tuple[int, ...], i
         tag = m[2].lower()
         block += tag in BLOCKS
         if m[1]:
-            if tag in names:
-                pop_to(len(names) - 1 - names[::-1].index(tag))
+            if open_[tag]:
+                pop_to(innermost(tag))
             continue
         if tag == "br" and skip is None:
             nodes.append((" ", tuple(names), tuple(ids), block))
-        if tag in BLOCKS and "p" in names:
-            pop_to(len(names) - 1 - names[::-1].index("p"))
+        if tag in BLOCKS and open_["p"]:
+            pop_to(innermost("p"))
         if tag in ENDS:
             for depth in range(len(names) - 1, -1, -1):
                 if names[depth] in ENDS[tag]:
@@ -124,9 +142,13 @@ def text_nodes(page: str) -> list[tuple[str, tuple[str, ...], tuple[int, ...], i
                     break
         if tag in VOID or m[3].rstrip().endswith("/") and tag in ("svg", "path"):
             continue
-        if skip is None and _marked(tag, m[3], articles > 0):
+        marked = skip is None and _marked(tag, m[3], articles > 0, by_name)
+        if len(names) >= DEPTH and not marked and tag not in RAW:
+            continue
+        if marked:
             skip = len(names)
         made += 1
+        open_[tag] += 1
         names.append(tag)
         ids.append(made)
         articles += tag in ("article", "main")
@@ -165,6 +187,8 @@ def content_paths(nodes: list[tuple[str, tuple[str, ...], tuple[int, ...], int]]
 
 def main_text(page: str) -> str:
     nodes = text_nodes(page)
+    if not any(t.strip() for t, _, _, _ in nodes) and re.search(r"<(?:article|main)[\s>]", page, re.I):
+        nodes = text_nodes(page, by_name=False)  # an element around the article has a misleading name
     chosen = content_paths(nodes)
     hits = [i for i, (t, p, _, _) in enumerate(nodes) if p in chosen and t.strip()]
     if not hits:

@@ -32,6 +32,13 @@ def test_what_is_no_article_goes():
     assert main_text(page) == "Title & more\nSome long text, with marks. More of it, here.\nItem one\nItem two\nNext para with a link and 3 < 4."
 
 
+def test_names_of_what_an_element_has():
+    body = "<p>Some text, long enough. And more, of it.</p>"
+    assert main_text(f'<div class="page has-sidebar no-ads">{body}<div class="right-rail"><p>Aside, text.</p></div></div>') == "Some text, long enough. And more, of it."
+    assert main_text(f'<div class="menu-page"><article>{body}</article></div>') == "Some text, long enough. And more, of it."
+    assert main_text('<div class="ad"><p>Buy, now. All of it.</p></div>') == ""
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, None, "plain text, no markup."), (4, "u", "<p>a<p>b"), (5, "u", "<nav><p>only, a menu.</p></nav>"), (6, "u", "<script>never closed"),
             (None, "u", "<div><p>one, two.</p></div></div></p>"), (7, "u", "<article>" + "<p>word, word. &eacute;</p>" * 3000 + "</article>"), (8, "u", "<!-- open"), (9, "u", "<a b='")]
