@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -36,14 +38,23 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    app = spark.sparkContext.applicationId
+    if app not in _written:
+        _written[app] = []
+        atexit.register(_release_at_exit, spark)
+    _written[app].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
     """Deletes what ``materialize`` has written in this session; results read from it must be done with."""
-    written = _written.pop(spark.sparkContext.applicationId, [])
+    written, _written[spark.sparkContext.applicationId] = _written.get(spark.sparkContext.applicationId, []), []
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for path in written:
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
+
+
+def _release_at_exit(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        release(spark)

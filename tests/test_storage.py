@@ -1,5 +1,6 @@
 import os
 
+from lodestream import storage
 from lodestream.storage import materialize, release, shared_dir
 
 
@@ -8,7 +9,7 @@ def test_a_materialized_table_is_read_back_and_released(spark):
     back = materialize(df, "t")
     assert back.dtypes == df.dtypes and sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
     assert materialize(df.limit(0), "t").collect() == []
-    where = shared_dir(spark)
-    assert any(x.startswith("t-") for x in os.listdir(where))
+    where, ours = shared_dir(spark).removeprefix("file:"), [p.rsplit("/", 1)[1] for p in storage._written[spark.sparkContext.applicationId]]
+    assert ours and set(ours) <= set(os.listdir(where))
     release(spark)
-    assert not any(x.startswith("t-") for x in os.listdir(where))
+    assert not set(ours) & set(os.listdir(where))
