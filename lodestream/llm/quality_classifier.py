@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.llm.buffers import SLICE_BYTES, number_words, slices, text_bytes
+from lodestream.llm.buffers import number_words, slices, text_bytes
 from lodestream.llm.text import text_or_empty
 
 PER_CLASS = 2048
@@ -34,12 +34,14 @@ NEIGHBOURS = 15
 THRESHOLD = 0.7
 PAIR_TERMS = 1024
 BLOCK = 512
+#: Texts are turned into terms in slices of about this many bytes, which bounds a worker's memory.
+SLICE_BYTES = 1 << 20
 #: The number of parts doc_ids fall into by CRC-32, and the part labels are never learnt from.
 PARTS, HELD_OUT = 4, 2
 
-_PAIR = ((np.arange(65536, dtype=np.uint64) * np.uint64(0x9E3779B1)) >> np.uint64(16)).astype(np.int64) % PAIR_TERMS
+_PAIR = (((np.arange(65536, dtype=np.uint64) * np.uint64(0x9E3779B1)) >> np.uint64(16)) % np.uint64(PAIR_TERMS)).astype(np.int32)
 #: Classes: other, lower, upper, digit, blank, line break, sentence punctuation, symbol.
-_CLASS = np.zeros(256, dtype=np.int64)
+_CLASS = np.zeros(256, dtype=np.int32)
 for _chars, _c in ((range(97, 123), 1), (range(65, 91), 2), (range(48, 58), 3), (b" \t\r\x0b\x0c", 4), (b"\n", 5), (b".,;:!?'\"()-", 6), (b"#*$%&|<>@^~_+=/\\[]{}`", 7)):
     _CLASS[list(_chars)] = _c
 N_TERMS = PAIR_TERMS + 512 + 2
@@ -55,10 +57,10 @@ def term_frequencies(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     begin, doc, word = number_words(buf, offsets)
     words = np.bincount(doc, minlength=n)
     out = np.zeros((n, N_TERMS), dtype=np.float32)
-    owner = np.repeat(np.arange(n), np.diff(offsets))
+    owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets))
     if len(buf) > 1:
         same = owner[1:] == owner[:-1]
-        pair = _PAIR[buf[:-1].astype(np.int64) * 256 + buf[1:]]
+        pair = _PAIR[buf[:-1].astype(np.int32) * 256 + buf[1:]]
         out[:, :PAIR_TERMS] = np.bincount((owner[:-1] * PAIR_TERMS + pair)[same], minlength=n * PAIR_TERMS).reshape(n, -1)
     if len(buf) > 2:
         kind = _CLASS[buf]
@@ -168,14 +170,14 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier accepts, with all their columns."""
+    """The documents that the classifier accepts, with all their columns; only texts go to Python."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text = batch.column(0).field("text").cast(pa.large_string()).fill_null("")
-            yield batch.filter(pa.array(shared.value.scores(*text_bytes(text)) >= THRESHOLD))
+    @F.arrow_udf("double")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for text in texts:
+            yield pa.array(shared.value.scores(*text_bytes(text)))
 
     # As one struct, so columns may have any names.
-    rows = docs.select(F.struct("*").alias("row"))
-    return rows.mapInArrow(run, rows.schema).select("row.*")
+    rows = docs.select(F.struct("*").alias("row"), text_or_empty(F.col("text")).alias("text"))
+    return rows.where(score("text") >= THRESHOLD).select("row.*")
