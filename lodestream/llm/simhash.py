@@ -34,8 +34,8 @@ from lodestream.storage import materialize
 SEED = 42
 #: Shingles held at a time while tallying bits, so a very long text needs no more memory.
 CHUNK = 1 << 15
-#: Posting lists up to this length are compared in blocks.
-SHORT_LIST = 24
+#: Posting lists up to these lengths are compared in blocks: if a forest is wanted, or whole links.
+SHORT_LIST, SHORT_WHOLE_LIST = 24, 6
 ROWS_PER_TASK = 1_000_000
 
 
@@ -67,24 +67,30 @@ def _mix(h: np.ndarray, lane: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def fingerprint(text: bytes, shingle_words: int, lanes: int = 1) -> np.ndarray:
-    """A text's fingerprint, one unsigned 64-bit number a lane; bytes split and fold as ASCII does."""
+def shingle_hashes(text: bytes, shingle_words: int) -> Iterator[tuple[np.ndarray, int]]:
+    """Hashes of a text's shingles in chunks, each with the number of all; bytes split and fold as ASCII does."""
     words = text.lower().split()
     if not words:
-        return np.zeros(lanes, dtype="<u8")
+        return
     joined = b" ".join(words)
     size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     end = np.cumsum(size + 1) - 1
     k = min(shingle_words, len(words))
     start, end = (end - size)[: len(words) - k + 1], end[k - 1 :]
-    tally, digest = np.zeros((lanes, 64), dtype=np.int64), xxhash.xxh64_intdigest
+    digest = xxhash.xxh64_intdigest
     for at in range(0, len(start), CHUNK):
         spans = zip(start[at : at + CHUNK].tolist(), end[at : at + CHUNK].tolist(), strict=True)
-        h = np.array([digest(joined[a:b], SEED) for a, b in spans], dtype="<u8")
+        yield np.array([digest(joined[a:b], SEED) for a, b in spans], dtype="<u8"), len(start)
+
+
+def fingerprint(text: bytes, shingle_words: int, lanes: int = 1) -> np.ndarray:
+    """A text's fingerprint, one unsigned 64-bit number a lane; zero for a text of no words."""
+    tally, n = np.zeros((lanes, 64), dtype=np.int64), 0
+    for h, n in shingle_hashes(text, shingle_words):
         for lane in range(lanes):
             bits = np.unpackbits(_mix(h, lane).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             tally[lane] += bits.sum(axis=0, dtype=np.int32)
-    return np.packbits(2 * tally > len(start), axis=1, bitorder="little").view("<u8").reshape(lanes)
+    return np.packbits(2 * tally > n, axis=1, bitorder="little").view("<u8").reshape(lanes)
 
 
 def with_fingerprints(docs: DataFrame, shapes: dict[str, tuple[int, int]]) -> DataFrame:
@@ -144,17 +150,18 @@ def _links(key: np.ndarray, node: np.ndarray, fp: np.ndarray, least: int, most:
     length = np.diff(np.append(edge, len(key)))
     size = np.repeat(length, length)
     us, vs = [], []
-    for lag in range(1, SHORT_LIST):
-        i = np.flatnonzero((key[:-lag] == key[lag:]) & (size[:-lag] <= SHORT_LIST)) if lag < len(key) else []
+    short = SHORT_WHOLE_LIST if whole else SHORT_LIST
+    for lag in range(1, short):
+        i = np.flatnonzero((key[:-lag] == key[lag:]) & (size[:-lag] <= short)) if lag < len(key) else []
         if not len(i):
             break
         for part in np.array_split(i, len(i) // 200_000 + 1):
             hit = part[_near(fp[part], fp[part + lag], least, most)]
             us.append(node[hit])
             vs.append(node[hit + lag])
-    for at, n in zip(edge[length > SHORT_LIST].tolist(), length[length > SHORT_LIST].tolist(), strict=True):
-        # Each list is searched from another member, so a dense group gets links to several.
-        left = np.roll(np.arange(at, at + n), -int(key[at] % n))
+    for at, n in zip(edge[length > short].tolist(), length[length > short].tolist(), strict=True):
+        # From the least node on: lists of one dense group then mostly give the same links.
+        left = np.arange(at, at + n)
         while len(left):
             reached, left = [left[0]], left[1:]
             while reached and len(left):
@@ -247,11 +254,54 @@ def simhash_report(docs: DataFrame, shingle_words: int = 4, max_diff: int = 4) -
 
 
 #: Near copies. Candidates: fingerprints of word pairs, which change little when a word changes; bits
-#: that may differ of 256. Verification: fingerprints of five-word shingles; bits that may differ of 512.
-#: Two sets of similarity (Jaccard) 0.8 have a cosine of 8/9, and a share acos(8/9) / pi of their bits
-#: differs: 77 of 512, give or take 8; the limit leaves one such deviation.
+#: that may differ of 256. Estimate: fingerprints of five-word shingles. Two sets of similarity
+#: (Jaccard) 0.8 have a cosine of 8/9, and a share acos(8/9) / pi of bits differs: 78 of 512, give or
+#: take 8. Links four such deviations below are taken as they are, those within four are verified on
+#: the sets themselves.
 CANDIDATE_WORDS, CANDIDATE_LANES, CANDIDATE_DIFF = 2, 4, 44
-VERIFY_WORDS, VERIFY_LANES, VERIFY_DIFF = 5, 8, 85
+NEAR_WORDS, NEAR_LANES, SURE_DIFF, MOST_DIFF = 5, 8, 45, 110
+SIMILARITY = 0.8
+
+
+def _shingle_sets(texts: DataFrame) -> DataFrame:
+    """(node, shingles) of rows (node, text): the distinct shingles, 32 bits each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = []
+            for t in batch.column("text").cast(pa.large_binary()):
+                parts = [h.astype(np.uint32) for h, _ in shingle_hashes(t.as_py(), NEAR_WORDS)]
+                sets.append(np.unique(np.concatenate(parts)).view(np.int32) if parts else np.zeros(0, dtype=np.int32))
+            ends = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
+            flat = pa.array(np.concatenate(sets) if sets else np.zeros(0, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(ends, flat)], ["node", "shingles"])
+
+    return texts.mapInArrow(run, "node long, shingles array<int>")
+
+
+def _both_ends(links: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
+    """Adds of_u and of_v, the column of the link's ends."""
+    for end in ("u", "v"):
+        links = links.join(nodes.select(F.col("node").alias(end), F.col(column).alias(f"of_{end}")), end)
+    return links
+
+
+def verified_links(docs: DataFrame, distinct: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The candidate links (u, v) of similarity 0.8 or more."""
+    differ = sum((F.bit_count(F.col("of_u")[i].bitwiseXOR(F.col("of_v")[i])) for i in range(NEAR_LANES)), F.lit(0))
+    near = _both_ends(candidates, distinct, "sketch").select("u", "v", differ.alias("differ"))
+    near = materialize(near.where(F.col("differ") <= MOST_DIFF), "estimated")
+    open_ = near.where(F.col("differ") > SURE_DIFF).select("u", "v")
+    nodes = open_.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    wanted = distinct.join(nodes, "node").select("node", F.col("first.doc_id").alias("id"), F.col("first.text_hash").alias("hash"))
+    text = text_or_empty(F.col("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))).select("node", "text")
+    sets = materialize(_shingle_sets(texts), "shingle-sets")
+    shared = F.size(F.array_intersect("of_u", "of_v"))
+    alike = shared >= SIMILARITY * (F.size("of_u") + F.size("of_v") - shared)
+    sure = near.where(F.col("differ") <= SURE_DIFF).select("u", "v")
+    return sure.unionByName(_both_ends(open_, sets, "shingles").where(alike).select("u", "v"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
@@ -260,16 +310,13 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     Groups are what links of similarity 0.8 or more (five-word shingles) connect. Texts of no words form
     a group. Rows that share doc_id and text stay or go together.
     """
-    shapes = {"fp": (CANDIDATE_WORDS, CANDIDATE_LANES), "sketch": (VERIFY_WORDS, VERIFY_LANES)}
+    shapes = {"fp": (CANDIDATE_WORDS, CANDIDATE_LANES), "sketch": (NEAR_WORDS, NEAR_LANES)}
     prints = materialize(with_fingerprints(docs, shapes).withColumn("node", F.xxhash64("fp", "sketch")), "prints")
     order = ["doc_id", "text_hash"]
     distinct = materialize(_distinct(prints, order), "distinct-prints")
     links = candidate_links(distinct.select("node", "fp"), distinct.count(), CANDIDATE_LANES, CANDIDATE_DIFF, whole=True)
-    links = materialize(links.distinct(), "candidates")
-    for end in ("u", "v"):
-        links = links.join(distinct.select(F.col("node").alias(end), F.col("sketch").alias(f"of_{end}")), end)
-    differ = sum((F.bit_count(F.col("of_u")[i].bitwiseXOR(F.col("of_v")[i])) for i in range(VERIFY_LANES)), F.lit(0))
-    labelled = _label(prints.drop("fp", "sketch"), distinct, links.where(differ <= VERIFY_DIFF).select("u", "v"), order)
+    links = verified_links(docs, distinct, materialize(links.distinct(), "candidates"))
+    labelled = _label(prints.drop("fp", "sketch"), distinct, links, order)
     gone = labelled.where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))))
     gone = materialize(gone.select(F.col("doc_id").alias("id"), "text_hash").distinct(), "near-copies")
     keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(text_or_empty(F.col("text"))).alias("own_hash"))
