@@ -318,3 +318,23 @@ def recordable(spark: SparkSession, d: str) -> DataFrame:
 )
 def clause_cores(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", overlap.clause_cores(F.col("text"), ("th", "qu")).alias("cores"))
+
+
+@register(
+    """SELECT c_custkey, 'we like ' || CASE lower(c_mktsegment) WHEN 'building' THEN 'Houses' ELSE c_mktsegment END || ' and xbuilding' AS rewritten,
+      ['./' || c_name, c_name, '/srv/x/' || c_name] AS variants, c_custkey % 2 = 0 AS moves, c_custkey % 3 <> 0 AS plain_key,
+      CASE WHEN c_custkey % 2 = 0 THEN [c_name] ELSE [CAST(NULL AS VARCHAR)][1:0] END AS asked FROM customer"""
+)
+def customer_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Tags rewritten, source-key variants, the move predicate, safe keys, and asked texts."""
+    name, n = F.col("c_name"), F.col("c_custkey")
+    reply = F.when(n % 2 == 0, " <intent> go </INTENT> on").otherwise("on <INTENT>go</INTENT>")
+    pairs = F.array(F.struct(F.when(n % 2 == 0, name).alias("ask")), F.struct(F.lit(" ").alias("ask")))
+    return read_table(spark, d, "customer").select(
+        "c_custkey",
+        text.rewrite_tags(F.concat(F.lit("we like "), "c_mktsegment", F.lit(" and xbuilding")), {"building": "Houses"}).alias("rewritten"),
+        text.source_key_variants(F.concat(F.lit("./"), name), "/srv/x").alias("variants"),
+        overlap.starts_with_intent(reply, "go").alias("moves"),
+        text.is_plain_key(F.when(n % 3 == 0, F.concat(name, F.lit("/.."))).otherwise(name)).alias("plain_key"),
+        overlap.asked_texts(pairs).alias("asked"),
+    )
