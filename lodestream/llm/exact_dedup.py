@@ -76,7 +76,8 @@ def dedup_report(docs: DataFrame) -> DataFrame:
     again = tested.where("again").drop("again")
     # The least of these structs: most code points, then smallest doc_id, nulls last.
     order = F.struct(-F.col("n"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")
-    groups = again.groupBy("sha").agg(F.min(order).alias("best"), F.count("*").alias("group_size"))
+    # Written out first: so the join's sides are plain shuffles, and a hot text's rows can be split.
+    groups = materialize(again.groupBy("sha").agg(F.min(order).alias("best"), F.count("*").alias("group_size")), "exact-groups")
     shuffled = again.join(groups, "sha").select(
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),
