@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from lodestream.llm.buffers import text_bytes
@@ -42,7 +42,7 @@ LENGTH, GRAM = 100, 32
 #: Places of a 32-byte string in one of 100 bytes.
 PLACES = LENGTH - GRAM + 1
 #: Suffixes worked on at a time; places are kept in this many bits.
-PIECE, PLACE_BITS = 2 << 20, 24
+PIECE, PLACE_BITS = 1 << 20, 24
 #: Buckets with more kinds of runs send pointers of suffixes, which spread over all tasks, not bytes.
 MANY_KINDS = 5_000
 #: Bytes of text for each part that runs and texts are dealt into.
@@ -152,6 +152,11 @@ COVERED, OPEN, OPEN_MANY = 0, 1, 2
 SCHEMA = "part int, kind int, data binary"
 
 
+def _by_part(df: DataFrame, n_parts: int) -> GroupedData:
+    """Grouped by part, in a task for each, so that tasks stay small whatever the number set for shuffles."""
+    return df.repartition(n_parts, "part").groupBy("part")
+
+
 def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     part, kind, data = zip(*rows, strict=True) if rows else ((), (), ())
     return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array(data, pa.binary())], ["part", "kind", "data"])
@@ -209,7 +214,7 @@ def _phase2(runs: DataFrame, n_parts: int) -> DataFrame:
             out += [(p, kind, pack(*c)) for p, c in _dealt(key[left] % n_parts, key[left], place[left], size[left], bucket[left])]
         return _table(out)
 
-    return runs.groupBy("part").applyInArrow(run, SCHEMA)
+    return _by_part(runs, 2 * n_parts).applyInArrow(run, SCHEMA)
 
 
 def _blobs(table: pa.Table, kind: int) -> list[bytes]:
@@ -260,7 +265,7 @@ def _phase3(texts: DataFrame, verdicts: DataFrame, n_parts: int) -> DataFrame:
         return _table(out)
 
     open_ = verdicts.where(F.col("kind") != COVERED)
-    return texts.groupBy("part").cogroup(open_.groupBy("part")).applyInArrow(run, SCHEMA)
+    return _by_part(texts, n_parts).cogroup(_by_part(open_, n_parts)).applyInArrow(run, SCHEMA)
 
 
 def _phase4(open_runs: DataFrame, n_parts: int) -> DataFrame:
@@ -289,7 +294,7 @@ def _phase4(open_runs: DataFrame, n_parts: int) -> DataFrame:
         begin = np.flatnonzero(new)
         return _table(_covered(key[begin], place[begin], np.diff(np.append(begin, len(again))), n_parts))
 
-    return open_runs.groupBy("part").applyInArrow(run, SCHEMA)
+    return _by_part(open_runs, 2 * n_parts).applyInArrow(run, SCHEMA)
 
 
 def spans_of(place: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -301,7 +306,7 @@ def spans_of(place: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return begin[first], end[np.append(first[1:] - 1, len(begin) - 1)] if len(first) else end
 
 
-def _phase5(texts: DataFrame, covered: DataFrame, with_text: bool) -> DataFrame:
+def _phase5(texts: DataFrame, covered: DataFrame, n_parts: int, with_spans: bool) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         key, place, size = unpack(right.column("data").to_pylist() if right.num_rows else [], 3)
         rows_of = {k: (pl, n) for k, (_, pl, n) in _dealt(key, key, place, size)} if len(key) else {}
@@ -321,13 +326,13 @@ def _phase5(texts: DataFrame, covered: DataFrame, with_text: bool) -> DataFrame:
             ends.append(b.tolist())
         columns = [left.column("doc_id").combine_chunks(), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.string())]
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-        if with_text:
+        if with_spans:
             columns += [pa.array(begins, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64()))]
             names += ["span_begin", "span_end"]
         return pa.table(columns, names=names)
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", span_begin array<long>, span_end array<long>" * with_text
-    return texts.groupBy("part").cogroup(covered.groupBy("part")).applyInArrow(run, schema)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", span_begin array<long>, span_end array<long>" * with_spans
+    return _by_part(texts, n_parts).cogroup(_by_part(covered, n_parts)).applyInArrow(run, schema)
 
 
 def repeated_spans(docs: DataFrame, with_spans: bool = False) -> DataFrame:
@@ -347,4 +352,4 @@ def repeated_spans(docs: DataFrame, with_spans: bool = False) -> DataFrame:
     verdicts = materialize(_phase2(_phase1(keyed, n_parts), n_parts), "suffix-verdicts")
     more = materialize(_phase4(_phase3(texts, verdicts, n_parts), n_parts), "suffix-covered")
     covered = verdicts.where(F.col("kind") == COVERED).unionByName(more)
-    return _phase5(texts, covered, with_spans)
+    return _phase5(texts, covered, n_parts, with_spans)
