@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.functions.text import LIST_ITEM, SPLIT_ITEM, context_header, dedup_key, document_title
+from lodestream.functions.text import SPLIT_ITEM, context_header, dedup_key, document_title
 from lodestream.operators.dedup import dedup_documents, number_chunks
 
 Embedder = Callable[[list[str]], np.ndarray]
@@ -32,8 +32,6 @@ _ITEM = re.compile(SPLIT_ITEM)
 _SENTENCE = re.compile(r"(?<=[。！？!?；;])\s*")
 MARK = "◆ "
 
-__all__ = ["LIST_ITEM", "SplitConfig", "split_records"]
-
 
 @dataclass(frozen=True)
 class SplitConfig:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.functions.text import blank, dedup_key, mirror_path, source_key, strip
+from lodestream.functions.text import blank, dedup_key, mirror_path, source_key
 from lodestream.operators.dedup import first_per_key
 
 CHUNK_SCHEMA = (

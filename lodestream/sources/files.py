@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.functions.text import clean_text, first_directory, is_markdown, promote_headings, render_table, strip, strip_intent_suffix, unwrap_lines
+from lodestream.functions.text import clean_text, first_directory, is_markdown, promote_headings, strip, strip_intent_suffix, unwrap_lines
 from lodestream.operators.pages import joined_pages, strip_page_lines
 from lodestream.operators.store import changed_files
 
@@ -201,5 +201,3 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
 def latest_file(files: DataFrame) -> DataFrame:
     return files.agg(F.max_by("path", "mtime").alias("path"))
 
-
-__all__ = ["load_records", "parse_files", "render_table", "scan_files"]
