@@ -94,11 +94,12 @@ STAGES = ("view", "click", "signup", "error", "purchase")
 
 
 def _stages(spark: SparkSession, d: str) -> DataFrame:
-    e = read_table(spark, d, "events").where("event_id % 5 = user_id % 5 and event_id % 7 < 3")
-    return e.select(F.col("user_id").alias("visitor"), F.col("event_type").alias("stage"), "ts", "event_id")
+    """Event types as stages, a visitor being a user on a day."""
+    visitor = F.col("user_id") * 100 + F.dayofmonth("ts")
+    return read_table(spark, d, "events").select(visitor.alias("visitor"), F.col("event_type").alias("stage"), "ts", "event_id")
 
 
-_ASKED = """m AS (SELECT user_id AS visitor, event_type AS stage, min(ts) AS asked_at FROM events WHERE event_id % 5 = user_id % 5 AND event_id % 7 < 3 GROUP BY ALL),
+_ASKED = """m AS (SELECT user_id * 100 + day(ts) AS visitor, event_type AS stage, min(ts) AS asked_at FROM events GROUP BY ALL),
 x AS (SELECT visitor, list(stage ORDER BY stage) AS asked FROM m GROUP BY visitor),
 o AS (SELECT *, list_filter(['view', 'click', 'signup', 'error', 'purchase'], lambda s: NOT list_contains(asked, s)) AS rest FROM x)"""
 

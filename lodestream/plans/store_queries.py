@@ -1,4 +1,4 @@
-"""Chunk-store operators over documents: the first batch is the store, the second comes in."""
+"""Chunk-store operators over documents: those with even ids are the store, those with odd ids come in."""
 
 from __future__ import annotations
 
@@ -54,20 +54,20 @@ def incremental_changed(spark: SparkSession, d: str) -> DataFrame:
     return store.changed_files(*_files(spark, d))
 
 
-_OLD_NEW = f"s AS ({_STORE}), o AS (SELECT * FROM s WHERE doc_id % 2 = 0), n AS (SELECT * FROM s WHERE doc_id % 2 = 1 AND doc_id % 3 = 0)"
-#: Sources come in under the names that end in an odd number, so half of the store's are replaced by hand.
-_COMING = "c AS (SELECT DISTINCT regexp_replace(source, '[13579]$', '0') AS source FROM n)"
+_OLD_NEW = f"s AS ({_STORE}), o AS (SELECT * FROM s WHERE doc_id % 2 = 0), n AS (SELECT * FROM s WHERE doc_id % 2 = 1)"
+#: Sources come in under names that end in 0 or 9, so some of the store's are replaced.
+_COMING = "c AS (SELECT DISTINCT regexp_replace(source, '[1357]$', '0') AS source FROM n)"
 _KEPT = f"""l AS (SELECT * FROM o WHERE source NOT IN (SELECT source FROM c)),
 k AS (SELECT * EXCLUDE (i) FROM (SELECT *, row_number() OVER (PARTITION BY {sql_key("text")} ORDER BY ingest_seq) AS i FROM l WHERE {sql_key("text")} <> '') WHERE i = 1)"""
 
 
 def _batches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     s = _store(spark, d)
-    new = s.where("doc_id % 2 = 1 and doc_id % 3 = 0").withColumn("source", F.regexp_replace("source", "[13579]$", "0"))
+    new = s.where("doc_id % 2 = 1").withColumn("source", F.regexp_replace("source", "[1357]$", "0"))
     return s.where("doc_id % 2 = 0"), new
 
 
-@register(f"WITH {_OLD_NEW}, {_COMING}, {_KEPT} SELECT source, doc_id, ingest_seq FROM k UNION ALL SELECT regexp_replace(source, '[13579]$', '0'), doc_id, ingest_seq FROM n")
+@register(f"WITH {_OLD_NEW}, {_COMING}, {_KEPT} SELECT source, doc_id, ingest_seq FROM k UNION ALL SELECT regexp_replace(source, '[1357]$', '0'), doc_id, ingest_seq FROM n")
 def upsert_replace(spark: SparkSession, d: str) -> DataFrame:
     return store.upsert(*_batches(spark, d)).select("source", "doc_id", "ingest_seq")
 
@@ -96,7 +96,7 @@ def metadata_mirror(spark: SparkSession, d: str) -> DataFrame:
     return mirror.select("path", F.size("records").cast("long").alias("n"), F.array_min(F.transform("records", lambda r: r["text"])).alias("first_text"))
 
 
-@register(f"WITH {_OLD_NEW} SELECT source, doc_id FROM o WHERE source NOT IN (SELECT regexp_replace(source, '[13579]$', '0') FROM n) UNION ALL SELECT regexp_replace(source, '[13579]$', '0'), doc_id FROM n")
+@register(f"WITH {_OLD_NEW} SELECT source, doc_id FROM o WHERE source NOT IN (SELECT regexp_replace(source, '[1357]$', '0') FROM n) UNION ALL SELECT regexp_replace(source, '[1357]$', '0'), doc_id FROM n")
 def audit_replace(spark: SparkSession, d: str) -> DataFrame:
     old, new = _batches(spark, d)
     return store.replace_audit(old, new).select("source", "doc_id")
