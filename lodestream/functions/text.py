@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_WS = r"[\s\x1c-\x1f]"
+#: The white-space characters.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_WS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def blank(c: Column) -> Column:
@@ -17,11 +19,11 @@ def blank(c: Column) -> Column:
 
 def squash(c: Column, to: str = " ") -> Column:
     """Runs of white space become ``to``."""
-    return F.regexp_replace(c, f"(?U){_WS}+", to)
+    return F.regexp_replace(c, f"{_WS}+", to)
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)\A{_WS}+|{_WS}+\z", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def words(c: Column) -> Column:
@@ -35,28 +37,39 @@ def dedup_key(c: Column) -> Column:
 
 def compact_fragments(line: Column) -> Column:
     """Joins a line of four tokens or more if at least 60 % of them are single characters."""
-    tokens = words(line)
+    return _compacted(line, words(line))
+
+
+def _compacted(line: Column, tokens: Column) -> Column:
     single = F.size(F.filter(tokens, lambda t: F.length(t) == 1))
     return F.when((F.size(tokens) >= 4) & (single / F.size(tokens) >= 0.6), F.array_join(tokens, "")).otherwise(line)
 
 
-def _clean_line(raw: Column) -> Column:
-    """The line to keep, or null if it is noise."""
-    bare = strip(raw)
-    line = compact_fragments(squash(bare))
-    visible = squash(line, "")
-    said = F.regexp_count(visible, F.lit("[一-鿿A-Za-z0-9]"))
-    noise = ((said == 0) & (F.length(visible) >= 3)) | ((said > 0) & (said / F.greatest(F.length(visible), F.lit(1)) < 0.25))
-    return F.when(bare == "", "").when(bare.startswith("|"), bare).when(~noise, line)
+def _clean_lines(lines: Column) -> Column:
+    """The lines to keep, noise left out.
+
+    In steps, each an array of its own: what a lambda refers to twice would be computed twice.
+    """
+    steps = F.transform(lines, lambda raw: F.struct(strip(raw).alias("bare")))
+    steps = F.transform(steps, lambda x: x.withField("line", squash(x["bare"])))
+    steps = F.transform(steps, lambda x: x.withField("line", _compacted(x["line"], F.split(x["line"], " "))))
+    steps = F.transform(steps, lambda x: x.withField("visible", F.replace(x["line"], F.lit(" "), F.lit(""))))
+    steps = F.transform(steps, lambda x: x.withField("said", F.regexp_count(x["visible"], F.lit("[一-鿿A-Za-z0-9]"))))
+
+    def keeps(x: Column) -> Column:
+        size = F.length(x["visible"])
+        noise = ((x["said"] == 0) & (size >= 3)) | ((x["said"] > 0) & (x["said"] / F.greatest(size, F.lit(1)) < 0.25))
+        return (x["bare"] == "") | x["bare"].startswith("|") | ~noise
+
+    return F.transform(F.filter(steps, keeps), lambda x: F.when(x["bare"].startswith("|"), x["bare"]).otherwise(x["line"]))
 
 
 def clean_text(c: Column) -> Column:
     """Control characters and noise lines go; tables, headings and single blank lines stay."""
-    t = F.regexp_replace(blank(c), "[\x00﻿​]", "")
+    t = F.regexp_replace(blank(c), "[\x00\ufeff\u200b]", "")
     t = F.regexp_replace(t, r"[\x01-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]", " ")
     t = F.regexp_replace(t, r"\r\n?", "\n")
-    lines = F.filter(F.transform(F.split(t, "\n"), _clean_line), lambda x: x.isNotNull())
-    return strip(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"))
+    return strip(F.regexp_replace(F.array_join(_clean_lines(F.split(t, "\n")), "\n"), r"\n{3,}", "\n\n"))
 
 
 def is_markdown(c: Column) -> Column:
@@ -139,7 +152,7 @@ def unwrap_lines(c: Column) -> Column:
         bare, prev = strip(line), strip(F.element_at(acc, -1))
         open_ = (F.length(prev) >= 30) & ~F.substring(prev, -1, 1).isin(*BOUNDARY) & ~prev.startswith("|") & ~prev.rlike(PAGE_MARKER)
         goes_on = (bare != "") & ~F.substring(bare, 1, 1).isin("#", "|") & ~bare.rlike(PAGE_MARKER) & ~bare.rlike(f"(?U){LIST_ITEM}")
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(F.regexp_replace(F.element_at(acc, -1), rf"(?U){_WS}+\z", ""), bare)))
+        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(F.regexp_replace(F.element_at(acc, -1), rf"{_WS}+\z", ""), bare)))
         return F.when(F.size(acc) == 0, F.array(line)).when(open_ & goes_on, joined).otherwise(F.concat(acc, F.array(line)))
 
     return F.aggregate(F.split(c, "\n"), F.array().cast("array<string>"), step, lambda acc: F.array_join(acc, "\n"))
