@@ -83,17 +83,27 @@ def shingle_hashes(text: bytes, shingle_words: int) -> Iterator[tuple[np.ndarray
         yield np.array([digest(joined[a:b], SEED) for a, b in spans], dtype="<u8"), len(start)
 
 
-def fingerprint(text: bytes, shingle_words: int, lanes: int = 1) -> np.ndarray:
-    """A text's fingerprint, one unsigned 64-bit number a lane; zero for a text of no words."""
+def shingle_set(text: bytes, shingle_words: int) -> np.ndarray:
+    """The distinct shingles of a text, in order of their hashes."""
+    parts = [h for h, _ in shingle_hashes(text, shingle_words)]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype="<u8")
+
+
+def fingerprint(text: bytes, shingle_words: int, lanes: int = 1, distinct: bool = False) -> np.ndarray:
+    """A text's fingerprint, one unsigned 64-bit number a lane; zero for a text of no words.
+
+    Repeated shingles count each time, or once if ``distinct``.
+    """
     tally, n = np.zeros((lanes, 64), dtype=np.int64), 0
-    for h, n in shingle_hashes(text, shingle_words):
+    once = shingle_set(text, shingle_words) if distinct else None
+    for h, n in [(once, len(once))] if distinct else shingle_hashes(text, shingle_words):
         for lane in range(lanes):
             bits = np.unpackbits(_mix(h, lane).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             tally[lane] += bits.sum(axis=0, dtype=np.int32)
     return np.packbits(2 * tally > n, axis=1, bitorder="little").view("<u8").reshape(lanes)
 
 
-def with_fingerprints(docs: DataFrame, shapes: dict[str, tuple[int, int]]) -> DataFrame:
+def with_fingerprints(docs: DataFrame, shapes: dict[str, tuple[int, int]], distinct: bool = False) -> DataFrame:
     """doc_id, text_hash and a fingerprint for each of ``shapes``: name to (shingle words, lanes).
 
     A fingerprint is an array of lanes, each a signed 64-bit number.
@@ -104,7 +114,7 @@ def with_fingerprints(docs: DataFrame, shapes: dict[str, tuple[int, int]]) -> Da
             texts = batch.column("text").cast(pa.large_binary())
             columns = [batch.column("doc_id"), batch.column("text_hash")]
             for words, lanes in shapes.values():
-                prints = [fingerprint(t.as_py(), words, lanes).astype("<i8") for t in texts]
+                prints = [fingerprint(t.as_py(), words, lanes, distinct).astype("<i8") for t in texts]
                 flat = pa.array(np.concatenate(prints) if prints else np.zeros(0, dtype="<i8"), type=pa.int64())
                 columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(prints) + 1, dtype=np.int32) * lanes), flat))
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", *shapes])
@@ -256,10 +266,10 @@ def simhash_report(docs: DataFrame, shingle_words: int = 4, max_diff: int = 4) -
 #: Near copies. Candidates: fingerprints of word pairs, which change little when a word changes; bits
 #: that may differ of 256. Estimate: fingerprints of five-word shingles. Two sets of similarity
 #: (Jaccard) 0.8 have a cosine of 8/9, and a share acos(8/9) / pi of bits differs: 78 of 512, give or
-#: take 8. Links four such deviations below are taken as they are, those within four are verified on
-#: the sets themselves.
+#: take 8. Links up to four such deviations above are verified on the sets themselves. Fingerprints count
+#: each shingle once, as the sets do, and a node is one text, so nothing is linked unverified.
 CANDIDATE_WORDS, CANDIDATE_LANES, CANDIDATE_DIFF = 2, 4, 44
-NEAR_WORDS, NEAR_LANES, SURE_DIFF, MOST_DIFF = 5, 8, 45, 110
+NEAR_WORDS, NEAR_LANES, MOST_DIFF = 5, 8, 110
 SIMILARITY = 0.8
 
 
@@ -287,11 +297,11 @@ def _both_ends(links: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
 
 
 def verified_links(docs: DataFrame, distinct: DataFrame, candidates: DataFrame) -> DataFrame:
-    """The candidate links (u, v) of similarity 0.8 or more."""
+    """The candidate links (u, v) of similarity 0.8 or more, all held against the shingle sets."""
     differ = sum((F.bit_count(F.col("of_u")[i].bitwiseXOR(F.col("of_v")[i])) for i in range(NEAR_LANES)), F.lit(0))
     near = _both_ends(candidates, distinct, "sketch").select("u", "v", differ.alias("differ"))
     near = materialize(near.where(F.col("differ") <= MOST_DIFF), "estimated")
-    open_ = near.where(F.col("differ") > SURE_DIFF).select("u", "v")
+    open_ = near.select("u", "v")
     nodes = open_.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     wanted = distinct.join(nodes, "node").select("node", F.col("first.doc_id").alias("id"), F.col("first.text_hash").alias("hash"))
     text = text_or_empty(F.col("text"))
@@ -300,8 +310,7 @@ def verified_links(docs: DataFrame, distinct: DataFrame, candidates: DataFrame)
     sets = materialize(_shingle_sets(texts), "shingle-sets")
     shared = F.size(F.array_intersect("of_u", "of_v"))
     alike = shared >= SIMILARITY * (F.size("of_u") + F.size("of_v") - shared)
-    sure = near.where(F.col("differ") <= SURE_DIFF).select("u", "v")
-    return sure.unionByName(_both_ends(open_, sets, "shingles").where(alike).select("u", "v"))
+    return _both_ends(open_, sets, "shingles").where(alike).select("u", "v")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
@@ -311,7 +320,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     a group. Rows that share doc_id and text stay or go together.
     """
     shapes = {"fp": (CANDIDATE_WORDS, CANDIDATE_LANES), "sketch": (NEAR_WORDS, NEAR_LANES)}
-    prints = materialize(with_fingerprints(docs, shapes).withColumn("node", F.xxhash64("fp", "sketch")), "prints")
+    prints = materialize(with_fingerprints(docs, shapes, distinct=True).withColumn("node", F.xxhash64("fp", "sketch", "text_hash")), "prints")
     order = ["doc_id", "text_hash"]
     distinct = materialize(_distinct(prints, order), "distinct-prints")
     links = candidate_links(distinct.select("node", "fp"), distinct.count(), CANDIDATE_LANES, CANDIDATE_DIFF, whole=True)
