@@ -34,8 +34,8 @@ from lodestream.storage import materialize
 SEED = 42
 #: Shingles held at a time while tallying bits, so a very long text needs no more memory.
 CHUNK = 1 << 15
-#: Posting lists up to these lengths are compared in blocks: if a forest is wanted, or whole links.
-SHORT_LIST, SHORT_WHOLE_LIST = 24, 6
+#: Posting lists up to this length are compared in blocks.
+SHORT_LIST = 24
 ROWS_PER_TASK = 1_000_000
 
 
@@ -89,21 +89,17 @@ def shingle_set(text: bytes, shingle_words: int) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype="<u8")
 
 
-def fingerprint(text: bytes, shingle_words: int, lanes: int = 1, distinct: bool = False) -> np.ndarray:
-    """A text's fingerprint, one unsigned 64-bit number a lane; zero for a text of no words.
-
-    Repeated shingles count each time, or once if ``distinct``.
-    """
+def fingerprint(text: bytes, shingle_words: int, lanes: int = 1) -> np.ndarray:
+    """A text's fingerprint, one unsigned 64-bit number a lane; zero for a text of no words."""
     tally, n = np.zeros((lanes, 64), dtype=np.int64), 0
-    once = shingle_set(text, shingle_words) if distinct else None
-    for h, n in [(once, len(once))] if distinct else shingle_hashes(text, shingle_words):
+    for h, n in shingle_hashes(text, shingle_words):
         for lane in range(lanes):
             bits = np.unpackbits(_mix(h, lane).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             tally[lane] += bits.sum(axis=0, dtype=np.int32)
     return np.packbits(2 * tally > n, axis=1, bitorder="little").view("<u8").reshape(lanes)
 
 
-def with_fingerprints(docs: DataFrame, shapes: dict[str, tuple[int, int]], distinct: bool = False) -> DataFrame:
+def with_fingerprints(docs: DataFrame, shapes: dict[str, tuple[int, int]]) -> DataFrame:
     """doc_id, text_hash and a fingerprint for each of ``shapes``: name to (shingle words, lanes).
 
     A fingerprint is an array of lanes, each a signed 64-bit number.
@@ -114,7 +110,7 @@ def with_fingerprints(docs: DataFrame, shapes: dict[str, tuple[int, int]], disti
             texts = batch.column("text").cast(pa.large_binary())
             columns = [batch.column("doc_id"), batch.column("text_hash")]
             for words, lanes in shapes.values():
-                prints = [fingerprint(t.as_py(), words, lanes, distinct).astype("<i8") for t in texts]
+                prints = [fingerprint(t.as_py(), words, lanes).astype("<i8") for t in texts]
                 flat = pa.array(np.concatenate(prints) if prints else np.zeros(0, dtype="<i8"), type=pa.int64())
                 columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(prints) + 1, dtype=np.int32) * lanes), flat))
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", *shapes])
@@ -151,25 +147,23 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[member], nodes[label[member]]
 
 
-def _links(key: np.ndarray, node: np.ndarray, fp: np.ndarray, least: int, most: int, whole: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Links found in the posting lists of one task: a forest of them, or, if ``whole``, all of the
-    short lists' and one for each member that a search of a long list reaches."""
+def _links(key: np.ndarray, node: np.ndarray, fp: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the links found in the posting lists of one task."""
     order = np.lexsort((node, key))
     key, node, fp = key[order], node[order], fp[order]
     edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     length = np.diff(np.append(edge, len(key)))
     size = np.repeat(length, length)
     us, vs = [], []
-    short = SHORT_WHOLE_LIST if whole else SHORT_LIST
-    for lag in range(1, short):
-        i = np.flatnonzero((key[:-lag] == key[lag:]) & (size[:-lag] <= short)) if lag < len(key) else []
+    for lag in range(1, SHORT_LIST):
+        i = np.flatnonzero((key[:-lag] == key[lag:]) & (size[:-lag] <= SHORT_LIST)) if lag < len(key) else []
         if not len(i):
             break
         for part in np.array_split(i, len(i) // 200_000 + 1):
             hit = part[_near(fp[part], fp[part + lag], least, most)]
             us.append(node[hit])
             vs.append(node[hit + lag])
-    for at, n in zip(edge[length > short].tolist(), length[length > short].tolist(), strict=True):
+    for at, n in zip(edge[length > SHORT_LIST].tolist(), length[length > SHORT_LIST].tolist(), strict=True):
         # From the least node on: lists of one dense group then mostly give the same links.
         left = np.arange(at, at + n)
         while len(left):
@@ -182,14 +176,10 @@ def _links(key: np.ndarray, node: np.ndarray, fp: np.ndarray, least: int, most:
                 reached += left[near].tolist()
                 left = left[~near]
     none = np.zeros(0, dtype=np.int64)
-    u, v = np.concatenate([none, *us]), np.concatenate([none, *vs])
-    if not whole:
-        return forest(u, v)
-    pairs = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)]), axis=1)
-    return pairs[0], pairs[1]
+    return forest(np.concatenate([none, *us]), np.concatenate([none, *vs]))
 
 
-def candidate_links(prints: DataFrame, n_prints: int, lanes: int, max_diff: int, whole: bool = False) -> DataFrame:
+def candidate_links(prints: DataFrame, n_prints: int, lanes: int, max_diff: int) -> DataFrame:
     """(u, v), u > v: links between (node, fp) rows, found and verified task by task; see ``_links``."""
     least = max(3, 8 * lanes - max_diff)
 
@@ -208,7 +198,7 @@ def candidate_links(prints: DataFrame, n_prints: int, lanes: int, max_diff: int,
             return
         table = pa.Table.from_batches(held)
         flat = table.column("fp").combine_chunks().flatten().to_numpy().view("<u8").reshape(-1, lanes)
-        u, v = _links(table.column("key").to_numpy(), table.column("node").to_numpy(), flat, least, max_diff, whole)
+        u, v = _links(table.column("key").to_numpy(), table.column("node").to_numpy(), flat, least, max_diff)
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     posted = prints.select(F.explode(F.array(*keys)).alias("key"), "node", "fp")
@@ -263,54 +253,223 @@ def simhash_report(docs: DataFrame, shingle_words: int = 4, max_diff: int = 4) -
     )
 
 
-#: Near copies. Candidates: fingerprints of word pairs, which change little when a word changes; bits
-#: that may differ of 256. Estimate: fingerprints of five-word shingles. Two sets of similarity
-#: (Jaccard) 0.8 have a cosine of 8/9, and a share acos(8/9) / pi of bits differs: 78 of 512, give or
-#: take 8. Links up to four such deviations above are verified on the sets themselves. Fingerprints count
-#: each shingle once, as the sets do, and a node is one text, so nothing is linked unverified.
-CANDIDATE_WORDS, CANDIDATE_LANES, CANDIDATE_DIFF = 2, 4, 44
-NEAR_WORDS, NEAR_LANES, MOST_DIFF = 5, 8, 110
-SIMILARITY = 0.8
+#: Near copies: texts whose sets of five-word shingles have a similarity (Jaccard) of 4/5 or more.
+#: Search is exact. Shingles are put in one order for all texts; two sets of sizes m and n that are
+#: alike share one among the first n // 5 + 1 of either, so those are posted. Where the first shared
+#: one stands at i and j, at most min(m - i, n - j) are shared, and 4/9 of m + n must be. The order
+#: takes shingles that are common in a sample last, which keeps posting lists short; what it is has
+#: no effect on the pairs found.
+NEAR_WORDS = 5
+#: Texts sampled for the order; occurrences that make a shingle common; common shingles at most.
+SAMPLE, COMMON_LEAST, COMMON_MOST = 50_000, 8, 500_000
+#: Posting lists above this length are searched in two rounds; members that others meet in the first.
+LONG_LIST, HUBS = 64, 2
+#: Pairs, and 64-bit shingles, held at a time.
+PAIRS, SHINGLES = 1_000_000, 1 << 19
+_LINKS = "u long, v long, key long, n int, at int"
 
 
-def _shingle_sets(texts: DataFrame) -> DataFrame:
-    """(node, shingles) of rows (node, text): the distinct shingles, 32 bits each."""
+def with_shingles(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, shingles (the distinct ones, ordered by hash), n (how many), node (their hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = []
-            for t in batch.column("text").cast(pa.large_binary()):
-                parts = [h.astype(np.uint32) for h, _ in shingle_hashes(t.as_py(), NEAR_WORDS)]
-                sets.append(np.unique(np.concatenate(parts)).view(np.int32) if parts else np.zeros(0, dtype=np.int32))
-            ends = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
-            flat = pa.array(np.concatenate(sets) if sets else np.zeros(0, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(ends, flat)], ["node", "shingles"])
+            sets, start = [], 0
+
+            def held(end: int) -> pa.RecordBatch:
+                size = np.fromiter(map(len, sets), dtype=np.int32, count=len(sets))
+                ends = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
+                flat = pa.array(np.concatenate(sets).view("<i8"))
+                node = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], dtype="<u8").view("<i8")
+                ids, hashes = (batch.column(c).slice(start, end - start) for c in ("doc_id", "text_hash"))
+                columns = [ids, hashes, pa.array(node), pa.array(size), pa.ListArray.from_arrays(ends, flat)]
+                return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "node", "n", "shingles"])
+
+            total = 0
+            for i, t in enumerate(batch.column("text").cast(pa.large_binary())):
+                parts = [h for h, _ in shingle_hashes(t.as_py(), NEAR_WORDS)]
+                sets.append(np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype="<u8"))
+                total += len(sets[-1])
+                if total > SHINGLES:
+                    yield held(i + 1)
+                    sets, start, total = [], i + 1, 0
+            if sets:
+                yield held(start + len(sets))
+
+    text = text_or_empty(F.col("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, node long, n int, shingles array<long>")
 
-    return texts.mapInArrow(run, "node long, shingles array<int>")
 
+def common_shingles(sets: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are common in a sample, ascending, and in how many of its texts each is."""
+    some = sets.where(F.pmod(F.xxhash64("node"), F.lit(max(1, n_docs // SAMPLE))) == 0)
+    counts = some.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"))
+    table = counts.where(F.col("n") >= COMMON_LEAST).orderBy(F.desc("n"), "shingle").limit(COMMON_MOST).toArrow()
+    shingle, n = (table.column(c).to_numpy() for c in ("shingle", "n"))
+    order = np.argsort(shingle)
+    return shingle[order], n[order]
 
-def _both_ends(links: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
-    """Adds of_u and of_v, the column of the link's ends."""
-    for end in ("u", "v"):
-        links = links.join(nodes.select(F.col("node").alias(end), F.col(column).alias(f"of_{end}")), end)
-    return links
 
+def _cuts(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that hold about ``most``, by the running sum of what the rows hold."""
+    at = np.flatnonzero(np.diff(ends // most, prepend=0, append=-1)).tolist()
+    return zip([0, *at[:-1]], at, strict=True)
 
-def verified_links(docs: DataFrame, distinct: DataFrame, candidates: DataFrame) -> DataFrame:
+
+def postings(sets: DataFrame, common: np.ndarray, times: np.ndarray) -> DataFrame:
+    """(key, node, n, at): the first n // 5 + 1 shingles of each set, with their places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for whole in batches:
+            for a, b in _cuts(np.cumsum(whole.column("n").to_numpy().astype(np.int64)), SHINGLES):
+                batch = whole.slice(a, b - a)
+                # Equal sets are posted once a task at most (as far as memory of them goes).
+                fresh = []
+                for node in batch.column("node").to_pylist():
+                    fresh.append(node not in seen)
+                    if len(seen) < 1_000_000:
+                        seen.add(node)
+                batch = batch.filter(pa.array(fresh, type=pa.bool_()))
+                node, n = batch.column("node").to_numpy(), batch.column("n").to_numpy().astype(np.int64)
+                h = batch.column("shingles").flatten().to_numpy()
+                row = np.repeat(np.arange(len(n)), n)
+                rank = np.zeros(len(h), dtype=np.int64)
+                if len(common):
+                    found = np.minimum(np.searchsorted(common, h), len(common) - 1)
+                    rank = np.where(common[found] == h, times[found], 0)
+                order = np.argsort(row << 32 | rank, kind="stable")
+                at = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+                keep = at <= n[row] // 5
+                columns = [h[order][keep], node[row[keep]], n[row[keep]].astype(np.int32), at[keep].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "n", "at"])
+
+    return sets.select("node", "n", "shingles").mapInArrow(run, "key long, node long, n int, at int")
+
+
+class _Lists:
+    """Posting lists of one task, by key, size and node."""
+
+    def __init__(self, batches: list[pa.RecordBatch]) -> None:
+        table = pa.Table.from_batches(batches)
+        key, node, n = (table.column(c).to_numpy() for c in ("key", "node", "n"))
+        order = np.lexsort((node, n, key))
+        key, node = key[order], node[order]
+        first = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
+        order, self.key, self.node = order[first], key[first], node[first]
+        self.n, self.at = n[order].astype(np.int64), table.column("at").to_numpy()[order].astype(np.int64)
+        self.root = table.column("root").to_numpy()[order] if "root" in table.column_names else None
+        start = np.concatenate([[True], self.key[1:] != self.key[:-1]])
+        self.edge = np.flatnonzero(start)
+        self.length = np.diff(np.append(self.edge, len(self.key)))
+        self.place = (np.cumsum(start) - 1) << 32 | self.n
+        #: The most shingles a set may have that is alike and meets this one here first.
+        self.most = (5 * self.n - 9 * self.at) // 4
+
+    def pairs(self, x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of the rows x with the rows y (ascending) of their lists that can be alike, greater
+        node first; if both are the same rows, each pair once."""
+        base = self.place[x] >> 32 << 32
+        low = np.searchsorted(self.place[y], base | -(-4 * self.n[x] // 5))
+        high = np.searchsorted(self.place[y], base | np.minimum(self.most[x], 5 * self.n[x] // 4), side="right")
+        if x is y:
+            high = np.minimum(high, np.arange(len(x)))
+        count = np.maximum(high - low, 0)
+        for a, b in _cuts(np.cumsum(count), PAIRS):
+            c = count[a:b]
+            i = np.repeat(x[a:b], c)
+            j = y[np.repeat(low[a:b] - (np.cumsum(c) - c), c) + np.arange(c.sum())]
+            hit = (self.n[i] <= self.most[j]) & (self.node[i] != self.node[j])
+            if self.root is not None:
+                hit &= self.root[i] != self.root[j]
+            i, j = self.node[i[hit]], self.node[j[hit]]
+            if len(i):
+                yield np.maximum(i, j), np.minimum(i, j)
+
+    def first_round(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All pairs of short lists; of long ones those with their hubs, and neighbours by size."""
+        long = np.repeat(self.length, self.length) > LONG_LIST
+        short = np.flatnonzero(~long)
+        yield from self.pairs(short, short)
+        rows = np.flatnonzero(long)
+        by_node = rows[np.lexsort((self.node[rows], self.place[rows] >> 32))]
+        of = self.place[by_node] >> 32
+        hubs = np.sort(by_node[np.arange(len(rows)) - np.searchsorted(of, of) < HUBS])
+        yield from self.pairs(rows, hubs)
+        i = rows[1:][self.place[rows[1:]] >> 32 == self.place[rows[:-1]] >> 32]
+        j = i - 1
+        hit = (5 * self.n[j] >= 4 * self.n[i]) & (self.n[i] <= self.most[j]) & (self.n[j] <= self.most[i])
+        i, j = self.node[i[hit]], self.node[j[hit]]
+        yield np.maximum(i, j), np.minimum(i, j)
+
+def _unique(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs without repeats, as far as they are held together."""
+    held, size = [], 0
+
+    def out() -> tuple[np.ndarray, np.ndarray]:
+        u, v = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.lexsort((v, u))
+        u, v = u[order], v[order]
+        new = np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])]) if len(u) else np.zeros(0, dtype=bool)
+        return u[new], v[new]
+
+    for part in parts:
+        held.append(part)
+        size += len(part[0])
+        if size > 2 * PAIRS:
+            held = [out()]
+            size = len(held[0][0])
+            if size > PAIRS:
+                yield held.pop()
+                size = 0
+    if held:
+        yield out()
+
+
+def _batch(u: np.ndarray, v: np.ndarray | None, key: np.ndarray | None, n: np.ndarray | None, at: np.ndarray | None) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    columns = [pa.nulls(len(u), t) if c is None else pa.array(c).cast(t) for c, t in zip((u, v, key, n, at), types, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, ["u", "v", "key", "n", "at"])
+
+
+def first_candidates(posted: DataFrame, n_posted: int) -> DataFrame:
+    """Candidate links (u, v), u > v, and the members (u, key, n, at) of long lists, with v null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if sum(b.num_rows for b in held) < 2:
+            return
+        lists = _Lists(held)
+        for u, v in _unique(lists.first_round()):
+            yield _batch(u, v, None, None, None)
+        long = np.repeat(lists.length, lists.length) > LONG_LIST
+        if long.any():
+            yield _batch(lists.node[long], None, lists.key[long], lists.n[long], lists.at[long])
+
+    tasks = max(int(posted.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_posted // ROWS_PER_TASK + 1)
+    return posted.repartition(tasks, "key").mapInArrow(run, _LINKS)
+
+
+def verified_links(sets: DataFrame, candidates: DataFrame) -> DataFrame:
     """The candidate links (u, v) of similarity 0.8 or more, all held against the shingle sets."""
-    differ = sum((F.bit_count(F.col("of_u")[i].bitwiseXOR(F.col("of_v")[i])) for i in range(NEAR_LANES)), F.lit(0))
-    near = _both_ends(candidates, distinct, "sketch").select("u", "v", differ.alias("differ"))
-    near = materialize(near.where(F.col("differ") <= MOST_DIFF), "estimated")
-    open_ = near.select("u", "v")
-    nodes = open_.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    wanted = distinct.join(nodes, "node").select("node", F.col("first.doc_id").alias("id"), F.col("first.text_hash").alias("hash"))
-    text = text_or_empty(F.col("text"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))).select("node", "text")
-    sets = materialize(_shingle_sets(texts), "shingle-sets")
+    candidates = materialize(candidates.distinct(), "candidates")
+    nodes = candidates.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    wanted = materialize(sets.select("node", "shingles").join(nodes, "node").dropDuplicates(["node"]), "wanted-sets")
+    links = candidates
+    for end in ("u", "v"):
+        links = links.join(wanted.select(F.col("node").alias(end), F.col("shingles").alias(f"of_{end}")), end)
     shared = F.size(F.array_intersect("of_u", "of_v"))
-    alike = shared >= SIMILARITY * (F.size("of_u") + F.size("of_v") - shared)
-    return _both_ends(open_, sets, "shingles").where(alike).select("u", "v")
+    alike = 9 * shared >= 4 * (F.size("of_u") + F.size("of_v"))
+    return materialize(links.where(alike).select("u", "v"), "near-links")
+
+
+def near_links(sets: DataFrame) -> DataFrame:
+    """Links (u, v), u > v, of similarity 0.8 or more that connect all nodes that such links connect."""
+    n_docs, n_posted = sets.agg(F.count("*"), F.coalesce(F.sum(F.expr("n div 5 + 1")), F.lit(0))).first()
+    posted = postings(sets, *common_shingles(sets, n_docs))
+    first = materialize(first_candidates(posted, n_posted), "first-candidates")
+    return verified_links(sets, first.where("v IS NOT NULL").select("u", "v"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
@@ -319,13 +478,11 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     Groups are what links of similarity 0.8 or more (five-word shingles) connect. Texts of no words form
     a group. Rows that share doc_id and text stay or go together.
     """
-    shapes = {"fp": (CANDIDATE_WORDS, CANDIDATE_LANES), "sketch": (NEAR_WORDS, NEAR_LANES)}
-    prints = materialize(with_fingerprints(docs, shapes, distinct=True).withColumn("node", F.xxhash64("fp", "sketch", "text_hash")), "prints")
+    sets = materialize(with_shingles(docs), "shingle-sets")
     order = ["doc_id", "text_hash"]
-    distinct = materialize(_distinct(prints, order), "distinct-prints")
-    links = candidate_links(distinct.select("node", "fp"), distinct.count(), CANDIDATE_LANES, CANDIDATE_DIFF, whole=True)
-    links = verified_links(docs, distinct, materialize(links.distinct(), "candidates"))
-    labelled = _label(prints.drop("fp", "sketch"), distinct, links, order)
+    prints = sets.select("doc_id", "text_hash", "node")
+    distinct = materialize(_distinct(prints, order), "distinct-sets")
+    labelled = _label(prints, distinct, near_links(sets), order)
     gone = labelled.where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))))
     gone = materialize(gone.select(F.col("doc_id").alias("id"), "text_hash").distinct(), "near-copies")
     keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(text_or_empty(F.col("text"))).alias("own_hash"))
