@@ -20,12 +20,13 @@ never become a component's id unless it has no other; an empty table gives an em
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.llm.text import text_or_empty
@@ -261,14 +262,30 @@ def simhash_report(docs: DataFrame, shingle_words: int = 4, max_diff: int = 4) -
 #: no effect on the pairs found.
 NEAR_WORDS = 5
 #: Texts sampled for the order; occurrences that make a shingle common; common shingles at most.
-SAMPLE, COMMON_LEAST, COMMON_MOST = 50_000, 8, 500_000
+SAMPLE, COMMON_LEAST, COMMON_MOST = 20_000, 4, 500_000
+#: Nodes up to this number are sent to the shingle sets, so the sets are not shuffled.
+SENT_NODES = 1_000_000
 #: Posting lists above this length are searched in two rounds; members that others meet in the first.
 LONG_LIST, HUBS = 64, 2
 #: Pairs, and 64-bit shingles, held at a time.
-PAIRS, SHINGLES = 1_000_000, 1 << 19
+PAIRS, SHINGLES = 250_000, 1 << 17
+#: Rows of texts or shingle sets sent to Python at once.
+BATCH_ROWS = 1_000
 _LINKS = "u long, v long, key long, n int, at int"
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """What is run inside sends ``BATCH_ROWS`` rows to Python at a time; texts and sets are long rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def with_shingles(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, shingles (the distinct ones, ordered by hash), n (how many), node (their hash)."""
 
@@ -403,6 +420,22 @@ class _Lists:
         i, j = self.node[i[hit]], self.node[j[hit]]
         yield np.maximum(i, j), np.minimum(i, j)
 
+    def second_round(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All pairs of members that verified links do not connect: component by component, the
+        largest first, against those that are left, so members of one are not compared."""
+        low, high = (f.reduceat(self.root, self.edge) for f in (np.minimum, np.maximum))
+        mixed = low != high
+        for at, length in zip(self.edge[mixed].tolist(), self.length[mixed].tolist(), strict=True):
+            rows = np.arange(at, at + length)
+            _, of, size = np.unique(self.root[rows], return_inverse=True, return_counts=True)
+            for c in np.argsort(-size, kind="stable").tolist():
+                if size[c] <= LONG_LIST:
+                    break
+                yield from self.pairs(rows[of != c], rows[of == c])
+                rows, of = rows[of != c], of[of != c]
+            yield from self.pairs(rows, rows)
+
+
 def _unique(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The pairs without repeats, as far as they are held together."""
     held, size = [], 0
@@ -451,10 +484,27 @@ def first_candidates(posted: DataFrame, n_posted: int) -> DataFrame:
     return posted.repartition(tasks, "key").mapInArrow(run, _LINKS)
 
 
+def second_candidates(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Candidate links (u, v) between members of long lists that ``links`` do not connect."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if sum(b.num_rows for b in held) < 2:
+            return
+        for u, v in _unique(_Lists(held).second_round()):
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    rooted = members.join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    return rooted.join(mixed, "key").repartition("key").mapInArrow(run, "u long, v long")
+
+
 def verified_links(sets: DataFrame, candidates: DataFrame) -> DataFrame:
     """The candidate links (u, v) of similarity 0.8 or more, all held against the shingle sets."""
     candidates = materialize(candidates.distinct(), "candidates")
-    nodes = candidates.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    nodes = materialize(candidates.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "candidate-nodes")
+    if nodes.count() <= SENT_NODES:
+        nodes = F.broadcast(nodes)
     wanted = materialize(sets.select("node", "shingles").join(nodes, "node").dropDuplicates(["node"]), "wanted-sets")
     links = candidates
     for end in ("u", "v"):
@@ -465,11 +515,20 @@ def verified_links(sets: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def near_links(sets: DataFrame) -> DataFrame:
-    """Links (u, v), u > v, of similarity 0.8 or more that connect all nodes that such links connect."""
+    """Links (u, v), u > v, of similarity 0.8 or more that connect all nodes that such links connect.
+
+    In the first round members of long lists meet a few others only. What its verified links do not
+    connect then meets in full, so no member is lost by a link that fails.
+    """
     n_docs, n_posted = sets.agg(F.count("*"), F.coalesce(F.sum(F.expr("n div 5 + 1")), F.lit(0))).first()
     posted = postings(sets, *common_shingles(sets, n_docs))
-    first = materialize(first_candidates(posted, n_posted), "first-candidates")
-    return verified_links(sets, first.where("v IS NOT NULL").select("u", "v"))
+    with _small_batches(sets.sparkSession):
+        first = materialize(first_candidates(posted, n_posted), "first-candidates")
+    links = verified_links(sets, first.where("v IS NOT NULL").select("u", "v"))
+    members = first.where("v IS NULL").select("key", F.col("u").alias("node"), "n", "at")
+    if members.isEmpty():
+        return links
+    return links.unionByName(verified_links(sets, second_candidates(members, links)))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
@@ -478,7 +537,8 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     Groups are what links of similarity 0.8 or more (five-word shingles) connect. Texts of no words form
     a group. Rows that share doc_id and text stay or go together.
     """
-    sets = materialize(with_shingles(docs), "shingle-sets")
+    with _small_batches(docs.sparkSession):
+        sets = materialize(with_shingles(docs), "shingle-sets")
     order = ["doc_id", "text_hash"]
     prints = sets.select("doc_id", "text_hash", "node")
     distinct = materialize(_distinct(prints, order), "distinct-sets")
