@@ -6,11 +6,16 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows sent to Python at a time hold about this many bytes; texts are long rows.
+BATCH_BYTES = 8 << 20
+
 _own_dirs: dict[str, str] = {}
 _written: dict[str, list[str]] = {}
+_scopes: list[list[str]] = []
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,39 +23,76 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The folder named in spark.checkpoint.dir, or set on the context.
+
+    Where neither is, a folder of our own: below the warehouse, which a cluster shares, or a temporary one
+    if all of Spark runs in this process.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
+    sc = spark.sparkContext
+    app = sc.applicationId
     if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="lodestream-")
-        spark.sparkContext.setCheckpointDir(_own_dirs[app])
+        set_before = sc.getCheckpointDir()
+        if set_before:
+            _own_dirs[app] = set_before.rstrip("/")
+        elif sc.master.split("[")[0] == "local":
+            _own_dirs[app] = tempfile.mkdtemp(prefix="lodestream-")
+        else:
+            _own_dirs[app] = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/lodestream-{app}"
     return _own_dirs[app]
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def bound_batches(spark: SparkSession) -> None:
+    """Sees to it that a batch of texts sent to Python is bounded in bytes, not in rows alone."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).lower().rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
+
+
+def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     A lost executor then costs a reread of finished files, not a recomputation of
-    everything above, and what is read twice is computed once.
+    everything above, and what is read twice is computed once. What is written inside a
+    ``scratch`` block goes when the block ends; with ``keep``, when the block around that does.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    app = spark.sparkContext.applicationId
-    if app not in _written:
-        _written[app] = []
-        atexit.register(_release_at_exit, spark)
-    _written[app].append(path)
+    scopes = _scopes[:-1] if keep else _scopes
+    if scopes:
+        scopes[-1].append(path)
+    else:
+        app = spark.sparkContext.applicationId
+        if app not in _written:
+            _written[app] = []
+            atexit.register(_release_at_exit, spark)
+        _written[app].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are deleted at the end; nothing that reads them may be returned."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        _delete(spark, _scopes.pop())
+
+
 def release(spark: SparkSession) -> None:
     """Deletes what ``materialize`` has written in this session; results read from it must be done with."""
-    written, _written[spark.sparkContext.applicationId] = _written.get(spark.sparkContext.applicationId, []), []
+    _delete(spark, _written.pop(spark.sparkContext.applicationId, []))
+    _written[spark.sparkContext.applicationId] = []
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in written:
+    for path in paths:
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
 
