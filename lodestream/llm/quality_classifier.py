@@ -25,8 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.llm.buffers import number_words, slices, text_bytes
+from lodestream.llm.buffers import give_back, giving_back, number_words, slices, text_bytes
 from lodestream.llm.text import text_or_empty
+from lodestream.storage import bound_batches
 
 PER_CLASS = 2048
 DIMENSIONS = 48
@@ -34,8 +35,8 @@ NEIGHBOURS = 15
 THRESHOLD = 0.7
 PAIR_TERMS = 1024
 BLOCK = 512
-#: Texts are turned into terms in slices of about this many bytes, which bounds a worker's memory.
-SLICE_BYTES = 1 << 20
+#: Texts are turned into terms in slices of about this many bytes, and rows, which bound a worker's memory.
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 512
 #: The number of parts doc_ids fall into by CRC-32, and the part labels are never learnt from.
 PARTS, HELD_OUT = 4, 2
 
@@ -95,7 +96,7 @@ class Model:
     def scores(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """A score from 0 to 1 for each text."""
         out = np.full(len(offsets) - 1, 0.5)
-        for a, b in slices(offsets, SLICE_BYTES):
+        for a, b in slices(offsets, SLICE_BYTES, SLICE_ROWS):
             terms, words = term_frequencies(np.ascontiguousarray(buf[offsets[a] : offsets[b]]), offsets[a : b + 1] - offsets[a])
             if len(self.labels):
                 out[a:b] = self.vote(self.embed(terms))
@@ -132,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offsets = text_bytes(batch.column("text"))
-            for a, b in slices(offsets, SLICE_BYTES):
+            for a, b in slices(offsets, SLICE_BYTES, SLICE_ROWS):
                 terms, words = term_frequencies(np.ascontiguousarray(buf[offsets[a] : offsets[b]]), offsets[a : b + 1] - offsets[a])
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(
@@ -143,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     texts = docs.select(F.col("doc_id").cast("long").alias("label_id"), text_or_empty(F.col("text")).alias("text"))
     # Of rows that share a doc_id one text is learnt from, so the sample keeps its bound.
     texts = texts.join(chosen, "label_id").groupBy("label_id", "good").agg(F.max("text").alias("text"))
-    rows = texts.mapInArrow(run, "label_id long, good boolean, has_words boolean, terms binary").where("has_words").collect()
+    rows = texts.mapInArrow(giving_back(run), "label_id long, good boolean, has_words boolean, terms binary").where("has_words").collect()
     rows.sort(key=lambda r: r.label_id)
     terms = np.array([np.frombuffer(r.terms, dtype=np.float32) for r in rows], dtype=np.float32).reshape(len(rows), N_TERMS)
     good = np.array([r.good for r in rows], dtype=np.float64)
@@ -157,6 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,17 +168,19 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), verdict], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), text_or_empty(F.col("text")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(giving_back(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier accepts, with all their columns; only texts go to Python."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     @F.arrow_udf("double")
     def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for text in texts:
             yield pa.array(shared.value.scores(*text_bytes(text)))
+        give_back()
 
     # As one struct, so columns may have any names.
     rows = docs.select(F.struct("*").alias("row"), text_or_empty(F.col("text")).alias("text"))

@@ -23,9 +23,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.llm.buffers import SLICE_BYTES, SPACE_BYTE, number_words, slices, text_bytes
+from lodestream.llm.buffers import SLICE_BYTES, SPACE_BYTE, giving_back, number_words, slices, text_bytes
 from lodestream.llm.text import text_or_empty
-from lodestream.storage import materialize
+from lodestream.storage import bound_batches, materialize
 
 MIN_WORDS = 50
 #: A line is boilerplate in a host if more documents than either limit hold it.
@@ -118,7 +118,7 @@ def line_statistics(docs: DataFrame) -> DataFrame:
         text_or_empty(F.col("text")).alias("text"),
     )
     counts = ", ".join(f"{k} long" for k in STATS)
-    return rows.mapInArrow(run, f"uid long, doc_id long, source string, {counts}, lines array<struct<h: long, w: long>>")
+    return rows.mapInArrow(giving_back(run), f"uid long, doc_id long, source string, {counts}, lines array<struct<h: long, w: long>>")
 
 
 def frequent_lines(stats: DataFrame) -> DataFrame:
@@ -131,6 +131,7 @@ def frequent_lines(stats: DataFrame) -> DataFrame:
 
 def quality_report(docs: DataFrame) -> DataFrame:
     """doc_id, the counts, base_failed and kept: one row for each document."""
+    bound_batches(docs.sparkSession)
     stats = materialize(line_statistics(docs), "line-statistics")
     frequent = materialize(frequent_lines(stats), "frequent-lines")
     lines = stats.select("uid", "source", F.explode("lines").alias("line")).select("uid", "source", "line.h", "line.w")

@@ -19,7 +19,9 @@ path is left, and it is the one the library gives.
 A model is read from its file's bytes on the driver and broadcast (its size is checked).
 
 Defined results: null texts count as empty and have no ids; decode(encode(t)) is t, but for the
-blank mark U+2581, which is decoded as a blank as SentencePiece does; rows are independent.
+blank mark U+2581, which is decoded as a blank as SentencePiece does; rows are independent, so ties,
+repeated rows, null or shared doc_ids and further columns have no effect; an empty table gives an empty
+result; a text of any length is encoded whole.
 """
 
 from __future__ import annotations
@@ -29,7 +31,6 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -37,13 +38,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestream.llm.buffers import giving_back
 from lodestream.llm.text import text_or_empty
+from lodestream.storage import bound_batches
 
 BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
-#: Parts a worker remembers in each of two generations, and pairs of pieces.
-MEMORY = 200_000
+#: Parts a worker remembers in each of two generations, and pairs of pieces: some 50 MB and 30 MB.
+MEMORY, PAIRS = 100_000, 250_000
 MAX_MODEL_BYTES = 64 << 20
 MODEL_PATH = os.environ.get("LODESTREAM_SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 SLICE_CHARS = 1 << 20
@@ -108,10 +111,10 @@ class _Memory(dict):
         super().__init__()
         self.compute, self.old = compute, {}
 
-    def __missing__(self, part: str) -> tuple[int, ...]:
+    def __missing__(self, part: str) -> bytes:
         ids = self.old.get(part)
         if ids is None:
-            ids = self.compute(part)
+            ids = np.array(self.compute(part), dtype=np.int32).tobytes()
             if len(part) > 64:
                 return ids
         if len(self) >= MEMORY:
@@ -165,7 +168,7 @@ class Codec:
         """Whether merges leave these two pieces, put together, as they are."""
         key = left << 32 | right
         if (known := self.joined.get(key)) is None:
-            if len(self.joined) >= 8 * MEMORY:
+            if len(self.joined) >= PAIRS:
                 self.joined.clear()
             pieces = self.model.pieces
             known = self.joined[key] = self.merge(pieces[left][0] + pieces[right][0]) == (left, right)
@@ -230,7 +233,7 @@ class Codec:
         if not text:
             return np.zeros(0, dtype=np.int32)
         marked = (" " + text if self.model.dummy_prefix else text).replace(" ", BLANK)
-        return np.fromiter(chain.from_iterable(map(self.known.__getitem__, self.parts.findall(marked))), dtype=np.int32)
+        return np.frombuffer(b"".join(map(self.known.__getitem__, self.parts.findall(marked))), dtype=np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         if not hasattr(self, "piece_bytes"):
@@ -270,6 +273,7 @@ class _Shared:
 
 def encode_documents(docs: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
     """doc_id, n_tokens, ids, and whether decoding the ids gives the text back."""
+    bound_batches(docs.sparkSession)
     shared = _Shared(docs.sparkSession, model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,7 +301,7 @@ def encode_documents(docs: DataFrame, model_path: str = MODEL_PATH) -> DataFrame
                 yield batch_of(*held)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(F.col("text")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
+    return rows.mapInArrow(giving_back(run), "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
 
 
 def decode_documents(tokens: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
@@ -310,4 +314,4 @@ def decode_documents(tokens: DataFrame, model_path: str = MODEL_PATH) -> DataFra
             texts = [codec.decode(np.array(x.as_py() or [], dtype=np.int32)) for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return tokens.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
+    return tokens.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(giving_back(run), "doc_id long, text string")

@@ -1,11 +1,14 @@
 """SimHash near-dedup by a byte-position inverted index with count filtering.
 
-A fingerprint is one or more 64-bit lanes. Two fingerprints that differ in at most d of a lane's bits
-share at least 8 - d of its byte positions. The index posts each distinct fingerprint under the bytes
-at three positions at a time; the 20 triples of ``TRIPLES`` are such that any four shared positions
-hold one of them whole, so with d <= 4 no pair is missed. Fingerprints that meet in a posting list
-are tallied on all their byte positions, pairs below the guaranteed number of matches are dropped,
-and the rest are verified by their differing bits.
+Two fingerprints of 64 bits that differ in at most d of them share at least 8 - d of their 8 byte
+positions. The index posts each distinct fingerprint under the bytes at three positions at a time; the
+20 triples of ``TRIPLES`` are such that any four shared positions hold one of them whole, so with d <= 4
+no pair is missed. Fingerprints that meet in a posting list are tallied on all their byte positions, pairs
+below the guaranteed number of matches are dropped, and the rest are verified by their differing bits.
+
+Lists longer than ``HOT_LIST`` are split: their members are posted again under the byte at one further
+position at a time, each of the five. A pair within the limit shares a fourth position, so it still meets.
+Lists are counted before anything is gathered, so no list of more members reaches a task unsplit.
 
 A posting list gives a spanning forest of its links, never all pairs: short lists are compared in
 blocks, long ones by a search that takes each fingerprint out once it is reached, so a dense group
@@ -14,29 +17,32 @@ by alternating large-star and small-star rounds over the links, which stay distr
 
 Defined results: null texts count as empty; a text of no words has the fingerprint zero, linked like
 any other; a text shorter than a shingle is one shingle; equal texts share a fingerprint; null doc_ids
-never become a component's id unless it has no other; an empty table gives an empty result.
+never become a component's id unless it has no other; an empty table gives an empty result; further
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestream.llm.buffers import giving_back
 from lodestream.llm.text import text_or_empty
-from lodestream.storage import materialize
+from lodestream.storage import bound_batches, materialize
 
 SEED = 42
 #: Shingles held at a time while tallying bits, so a very long text needs no more memory.
 CHUNK = 1 << 15
 #: Posting lists up to this length are compared in blocks.
 SHORT_LIST = 24
+#: Posting lists above this length are split by a further position; keys of such lists that are broadcast.
+HOT_LIST, SENT_KEYS = 512, 1_000_000
 ROWS_PER_TASK = 1_000_000
 
 
@@ -58,16 +64,6 @@ def covering_triples() -> list[tuple[int, int, int]]:
 TRIPLES = covering_triples()
 
 
-def _mix(h: np.ndarray, lane: int) -> np.ndarray:
-    """Hashes for a further lane: a finalizer of the first lane's, so texts are hashed once."""
-    if lane == 0:
-        return h
-    z = h + np.uint64((lane * 0x9E3779B97F4A7C15) & (2**64 - 1))
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
-
-
 def shingle_hashes(text: bytes, shingle_words: int) -> Iterator[tuple[np.ndarray, int]]:
     """Hashes of a text's shingles in chunks, each with the number of all; bytes split and fold as ASCII does."""
     words = text.lower().split()
@@ -84,48 +80,31 @@ def shingle_hashes(text: bytes, shingle_words: int) -> Iterator[tuple[np.ndarray
         yield np.array([digest(joined[a:b], SEED) for a, b in spans], dtype="<u8"), len(start)
 
 
-def shingle_set(text: bytes, shingle_words: int) -> np.ndarray:
-    """The distinct shingles of a text, in order of their hashes."""
-    parts = [h for h, _ in shingle_hashes(text, shingle_words)]
-    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype="<u8")
-
-
-def fingerprint(text: bytes, shingle_words: int, lanes: int = 1) -> np.ndarray:
-    """A text's fingerprint, one unsigned 64-bit number a lane; zero for a text of no words."""
-    tally, n = np.zeros((lanes, 64), dtype=np.int64), 0
+def fingerprint(text: bytes, shingle_words: int) -> int:
+    """A text's fingerprint; zero for a text of no words."""
+    tally, n = np.zeros(64, dtype=np.int64), 0
     for h, n in shingle_hashes(text, shingle_words):
-        for lane in range(lanes):
-            bits = np.unpackbits(_mix(h, lane).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            tally[lane] += bits.sum(axis=0, dtype=np.int32)
-    return np.packbits(2 * tally > n, axis=1, bitorder="little").view("<u8").reshape(lanes)
+        tally += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return int(np.packbits(2 * tally > n, bitorder="little").view("<u8")[0])
 
 
-def with_fingerprints(docs: DataFrame, shapes: dict[str, tuple[int, int]]) -> DataFrame:
-    """doc_id, text_hash and a fingerprint for each of ``shapes``: name to (shingle words, lanes).
-
-    A fingerprint is an array of lanes, each a signed 64-bit number.
-    """
+def with_fingerprints(docs: DataFrame, shingle_words: int) -> DataFrame:
+    """doc_id and node, the fingerprint as a signed number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").cast(pa.large_binary())
-            columns = [batch.column("doc_id"), batch.column("text_hash")]
-            for words, lanes in shapes.values():
-                prints = [fingerprint(t.as_py(), words, lanes).astype("<i8") for t in texts]
-                flat = pa.array(np.concatenate(prints) if prints else np.zeros(0, dtype="<i8"), type=pa.int64())
-                columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(prints) + 1, dtype=np.int32) * lanes), flat))
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", *shapes])
+            prints = [fingerprint(t.as_py(), shingle_words) for t in batch.column("text").cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(prints, dtype="<u8").view("<i8"))], ["doc_id", "node"])
 
-    text = text_or_empty(F.col("text"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, " + ", ".join(f"{name} array<long>" for name in shapes))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(F.col("text")).alias("text"))
+    return rows.mapInArrow(giving_back(run), "doc_id long, node long")
 
 
 def _near(a: np.ndarray, b: np.ndarray, least: int, most: int) -> np.ndarray:
-    """Count filter, then verification, of rows of lanes: shared byte positions, differing bits."""
-    x = a ^ b
-    shared = (x.view(np.uint8).reshape(*x.shape[:-1], -1) == 0).sum(axis=-1)
-    return (shared >= least) & (np.bitwise_count(x).sum(axis=-1, dtype=np.int32) <= most)
+    """Count filter, then verification, of fingerprints: shared byte positions, differing bits."""
+    x = np.ascontiguousarray(a ^ b)
+    shared = (x.view(np.uint8).reshape(*x.shape, 8) == 0).sum(axis=-1)
+    return (shared >= least) & (np.bitwise_count(x) <= most)
 
 
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,10 +127,11 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[member], nodes[label[member]]
 
 
-def _links(key: np.ndarray, node: np.ndarray, fp: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+def _links(key: np.ndarray, node: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """A forest of the links found in the posting lists of one task."""
     order = np.lexsort((node, key))
-    key, node, fp = key[order], node[order], fp[order]
+    key, node = key[order], node[order]
+    fp = node.view("<u8")
     edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     length = np.diff(np.append(edge, len(key)))
     size = np.repeat(length, length)
@@ -180,31 +160,52 @@ def _links(key: np.ndarray, node: np.ndarray, fp: np.ndarray, least: int, most:
     return forest(np.concatenate([none, *us]), np.concatenate([none, *vs]))
 
 
-def candidate_links(prints: DataFrame, n_prints: int, lanes: int, max_diff: int) -> DataFrame:
-    """(u, v), u > v: links between (node, fp) rows, found and verified task by task; see ``_links``."""
-    least = max(3, 8 * lanes - max_diff)
-
-    def byte(lane: int, i: int) -> str:
-        return f"(shiftrightunsigned(fp[{lane}], {8 * i}) & 255L)"
-
-    keys = [
-        F.expr(f"shiftleft({lane * len(TRIPLES) + n}L, 24) | shiftleft({byte(lane, a)}, 16) | shiftleft({byte(lane, b)}, 8) | {byte(lane, c)}")
-        for lane in range(lanes)
+def posting_keys() -> list[str]:
+    """SQL for the keys of a fingerprint ``node``: the number of a triple and the bytes there."""
+    return [
+        f"shiftleft({n}L, 24) | shiftleft({_byte(a)}, 16) | shiftleft({_byte(b)}, 8) | {_byte(c)}"
         for n, (a, b, c) in enumerate(TRIPLES)
     ]
 
+
+def _byte(i: int) -> str:
+    return f"(shiftrightunsigned(node, {8 * i}) & 255L)"
+
+
+def split_keys(posted: DataFrame, hot: DataFrame) -> DataFrame:
+    """Postings under hot keys are posted under these and the byte at each further position instead."""
+    further = ", ".join(
+        f"CASE WHEN shiftright(key, 24) NOT IN ({', '.join(str(n) for n, t in enumerate(TRIPLES) if p in t)}) "
+        f"THEN key | shiftleft({p + 1}L, 32) | shiftleft({_byte(p)}, 40) END"
+        for p in range(8)
+    )
+    side = hot.select(F.col("key").alias("hot_key"))
+    side = F.broadcast(side) if hot.count() <= SENT_KEYS else side
+    keys = F.expr(f"CASE WHEN hot_key IS NULL THEN array(key) ELSE array_compact(array({further})) END")
+    return posted.join(side, F.col("key") == F.col("hot_key"), "left").select(F.explode(keys).alias("key"), "node")
+
+
+def candidate_links(nodes: DataFrame, max_diff: int, hot_list: int = HOT_LIST) -> DataFrame:
+    """(u, v), u > v: links between distinct fingerprints, found and verified task by task; see ``_links``."""
+    if max_diff > 4:
+        raise ValueError("the triples guarantee a shared one for up to 4 differing bits")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
         if sum(b.num_rows for b in held) < 2:
             return
         table = pa.Table.from_batches(held)
-        flat = table.column("fp").combine_chunks().flatten().to_numpy().view("<u8").reshape(-1, lanes)
-        u, v = _links(table.column("key").to_numpy(), table.column("node").to_numpy(), flat, least, max_diff)
+        u, v = _links(table.column("key").to_numpy(), table.column("node").to_numpy(), 8 - max_diff, max_diff)
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    posted = prints.select(F.explode(F.array(*keys)).alias("key"), "node", "fp")
-    tasks = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_prints * len(keys) // ROWS_PER_TASK + 1)
-    return posted.repartition(tasks, "key").mapInArrow(run, "u long, v long")
+    posted = nodes.select(F.explode(F.array(*map(F.expr, posting_keys()))).alias("key"), "node")
+    lists = posted.groupBy("key").agg(F.count("*").alias("n"))
+    lists = materialize(lists.where(F.col("n") > hot_list), "hot-lists")
+    n_posted = nodes.count() * len(TRIPLES) + (lists.agg(F.sum("n")).first()[0] or 0) * 4
+    if not lists.isEmpty():
+        posted = split_keys(posted, lists)
+    tasks = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_posted // ROWS_PER_TASK + 1)
+    return posted.repartition(tasks, "key").mapInArrow(giving_back(run), "u long, v long")
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -225,326 +226,27 @@ def connected_components(links: DataFrame) -> DataFrame:
         seen = now
 
 
-def _label(prints: DataFrame, distinct: DataFrame, links: DataFrame, order: list[str]) -> DataFrame:
-    """Adds first, the least (null-last) ``order`` of all rows that links lead to, to rows of ``prints``."""
+def label_nodes(rows: DataFrame, distinct: DataFrame, links: DataFrame) -> DataFrame:
+    """Adds first, the least of all rows that links lead to, to ``rows`` (each with a node)."""
     roots = connected_components(links)
     rooted = distinct.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = materialize(rooted.select("node", "first", "root"), "rooted")
     firsts = materialize(rooted.groupBy("root").agg(F.min("first").alias("first")), "firsts")
     named = materialize(rooted.select("node", "root").join(firsts, "root").select("node", "first"), "named")
-    return prints.join(named, "node")
+    return rows.join(named, "node")
 
 
-def _distinct(prints: DataFrame, order: list[str]) -> DataFrame:
-    """One row for each node: its fingerprints and its first row by ``order``, nulls last."""
+def least_rows(rows: DataFrame, shapes: list[str], order: list[str]) -> DataFrame:
+    """One row for each node: its ``shapes`` and first, its least row by ``order``, nulls last."""
     least = F.struct(F.col(order[0]).isNull().alias("none"), *order)
-    shapes = [c for c in prints.columns if c not in ("node", "doc_id", "text_hash")]
-    return prints.groupBy("node").agg(*[F.first(c).alias(c) for c in shapes], F.min(least).alias("first"))
+    return rows.groupBy("node").agg(*[F.first(c).alias(c) for c in shapes], F.min(least).alias("first"))
 
 
 def simhash_report(docs: DataFrame, shingle_words: int = 4, max_diff: int = 4) -> DataFrame:
     """One row for each document: doc_id, fingerprint (16 hexadecimal digits), component_id."""
-    prints = with_fingerprints(docs, {"fp": (shingle_words, 1)}).withColumn("node", F.col("fp")[0])
-    prints = materialize(prints.drop("text_hash"), "prints")
-    distinct = materialize(_distinct(prints, ["doc_id"]), "distinct-prints")
-    links = candidate_links(distinct.select("node", "fp"), distinct.count(), 1, max_diff)
-    hexed = F.lpad(F.lower(F.hex(F.col("fp")[0])), 16, "0")
-    return _label(prints, distinct, links, ["doc_id"]).select(
-        "doc_id", hexed.alias("fingerprint"), F.col("first.doc_id").alias("component_id")
-    )
-
-
-#: Near copies: texts whose sets of five-word shingles have a similarity (Jaccard) of 4/5 or more.
-#: Search is exact. Shingles are put in one order for all texts; two sets of sizes m and n that are
-#: alike share one among the first n // 5 + 1 of either, so those are posted. Where the first shared
-#: one stands at i and j, at most min(m - i, n - j) are shared, and 4/9 of m + n must be. The order
-#: takes shingles that are common in a sample last, which keeps posting lists short; what it is has
-#: no effect on the pairs found.
-NEAR_WORDS = 5
-#: Texts sampled for the order; occurrences that make a shingle common; common shingles at most.
-SAMPLE, COMMON_LEAST, COMMON_MOST = 20_000, 4, 500_000
-#: Nodes up to this number are sent to the shingle sets, so the sets are not shuffled.
-SENT_NODES = 1_000_000
-#: Posting lists above this length are searched in two rounds; members that others meet in the first.
-LONG_LIST, HUBS = 64, 2
-#: Pairs, and 64-bit shingles, held at a time.
-PAIRS, SHINGLES = 250_000, 1 << 17
-#: Rows of texts or shingle sets sent to Python at once.
-BATCH_ROWS = 1_000
-_LINKS = "u long, v long, key long, n int, at int"
-
-
-@contextmanager
-def _small_batches(spark: SparkSession) -> Iterator[None]:
-    """What is run inside sends ``BATCH_ROWS`` rows to Python at a time; texts and sets are long rows."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, BATCH_ROWS)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
-def with_shingles(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, shingles (the distinct ones, ordered by hash), n (how many), node (their hash)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets, start = [], 0
-
-            def held(end: int) -> pa.RecordBatch:
-                size = np.fromiter(map(len, sets), dtype=np.int32, count=len(sets))
-                ends = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
-                flat = pa.array(np.concatenate(sets).view("<i8"))
-                node = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], dtype="<u8").view("<i8")
-                ids, hashes = (batch.column(c).slice(start, end - start) for c in ("doc_id", "text_hash"))
-                columns = [ids, hashes, pa.array(node), pa.array(size), pa.ListArray.from_arrays(ends, flat)]
-                return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "node", "n", "shingles"])
-
-            total = 0
-            for i, t in enumerate(batch.column("text").cast(pa.large_binary())):
-                parts = [h for h, _ in shingle_hashes(t.as_py(), NEAR_WORDS)]
-                sets.append(np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype="<u8"))
-                total += len(sets[-1])
-                if total > SHINGLES:
-                    yield held(i + 1)
-                    sets, start, total = [], i + 1, 0
-            if sets:
-                yield held(start + len(sets))
-
-    text = text_or_empty(F.col("text"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, node long, n int, shingles array<long>")
-
-
-def common_shingles(sets: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that are common in a sample, ascending, and in how many of its texts each is."""
-    some = sets.where(F.pmod(F.xxhash64("node"), F.lit(max(1, n_docs // SAMPLE))) == 0)
-    counts = some.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"))
-    table = counts.where(F.col("n") >= COMMON_LEAST).orderBy(F.desc("n"), "shingle").limit(COMMON_MOST).toArrow()
-    shingle, n = (table.column(c).to_numpy() for c in ("shingle", "n"))
-    order = np.argsort(shingle)
-    return shingle[order], n[order]
-
-
-def _cuts(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of rows that hold about ``most``, by the running sum of what the rows hold."""
-    at = np.flatnonzero(np.diff(ends // most, prepend=0, append=-1)).tolist()
-    return zip([0, *at[:-1]], at, strict=True)
-
-
-def postings(sets: DataFrame, common: np.ndarray, times: np.ndarray) -> DataFrame:
-    """(key, node, n, at): the first n // 5 + 1 shingles of each set, with their places."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for whole in batches:
-            for a, b in _cuts(np.cumsum(whole.column("n").to_numpy().astype(np.int64)), SHINGLES):
-                batch = whole.slice(a, b - a)
-                # Equal sets are posted once a task at most (as far as memory of them goes).
-                fresh = []
-                for node in batch.column("node").to_pylist():
-                    fresh.append(node not in seen)
-                    if len(seen) < 1_000_000:
-                        seen.add(node)
-                batch = batch.filter(pa.array(fresh, type=pa.bool_()))
-                node, n = batch.column("node").to_numpy(), batch.column("n").to_numpy().astype(np.int64)
-                h = batch.column("shingles").flatten().to_numpy()
-                row = np.repeat(np.arange(len(n)), n)
-                rank = np.zeros(len(h), dtype=np.int64)
-                if len(common):
-                    found = np.minimum(np.searchsorted(common, h), len(common) - 1)
-                    rank = np.where(common[found] == h, times[found], 0)
-                order = np.argsort(row << 32 | rank, kind="stable")
-                at = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-                keep = at <= n[row] // 5
-                columns = [h[order][keep], node[row[keep]], n[row[keep]].astype(np.int32), at[keep].astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "n", "at"])
-
-    return sets.select("node", "n", "shingles").mapInArrow(run, "key long, node long, n int, at int")
-
-
-class _Lists:
-    """Posting lists of one task, by key, size and node."""
-
-    def __init__(self, batches: list[pa.RecordBatch]) -> None:
-        table = pa.Table.from_batches(batches)
-        key, node, n = (table.column(c).to_numpy() for c in ("key", "node", "n"))
-        order = np.lexsort((node, n, key))
-        key, node = key[order], node[order]
-        first = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
-        order, self.key, self.node = order[first], key[first], node[first]
-        self.n, self.at = n[order].astype(np.int64), table.column("at").to_numpy()[order].astype(np.int64)
-        self.root = table.column("root").to_numpy()[order] if "root" in table.column_names else None
-        start = np.concatenate([[True], self.key[1:] != self.key[:-1]])
-        self.edge = np.flatnonzero(start)
-        self.length = np.diff(np.append(self.edge, len(self.key)))
-        self.place = (np.cumsum(start) - 1) << 32 | self.n
-        #: The most shingles a set may have that is alike and meets this one here first.
-        self.most = (5 * self.n - 9 * self.at) // 4
-
-    def pairs(self, x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of the rows x with the rows y (ascending) of their lists that can be alike, greater
-        node first; if both are the same rows, each pair once."""
-        base = self.place[x] >> 32 << 32
-        low = np.searchsorted(self.place[y], base | -(-4 * self.n[x] // 5))
-        high = np.searchsorted(self.place[y], base | np.minimum(self.most[x], 5 * self.n[x] // 4), side="right")
-        if x is y:
-            high = np.minimum(high, np.arange(len(x)))
-        count = np.maximum(high - low, 0)
-        for a, b in _cuts(np.cumsum(count), PAIRS):
-            c = count[a:b]
-            i = np.repeat(x[a:b], c)
-            j = y[np.repeat(low[a:b] - (np.cumsum(c) - c), c) + np.arange(c.sum())]
-            hit = (self.n[i] <= self.most[j]) & (self.node[i] != self.node[j])
-            if self.root is not None:
-                hit &= self.root[i] != self.root[j]
-            i, j = self.node[i[hit]], self.node[j[hit]]
-            if len(i):
-                yield np.maximum(i, j), np.minimum(i, j)
-
-    def first_round(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """All pairs of short lists; of long ones those with their hubs, and neighbours by size."""
-        long = np.repeat(self.length, self.length) > LONG_LIST
-        short = np.flatnonzero(~long)
-        yield from self.pairs(short, short)
-        rows = np.flatnonzero(long)
-        by_node = rows[np.lexsort((self.node[rows], self.place[rows] >> 32))]
-        of = self.place[by_node] >> 32
-        hubs = np.sort(by_node[np.arange(len(rows)) - np.searchsorted(of, of) < HUBS])
-        yield from self.pairs(rows, hubs)
-        i = rows[1:][self.place[rows[1:]] >> 32 == self.place[rows[:-1]] >> 32]
-        j = i - 1
-        hit = (5 * self.n[j] >= 4 * self.n[i]) & (self.n[i] <= self.most[j]) & (self.n[j] <= self.most[i])
-        i, j = self.node[i[hit]], self.node[j[hit]]
-        yield np.maximum(i, j), np.minimum(i, j)
-
-    def second_round(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """All pairs of members that verified links do not connect: component by component, the
-        largest first, against those that are left, so members of one are not compared."""
-        low, high = (f.reduceat(self.root, self.edge) for f in (np.minimum, np.maximum))
-        mixed = low != high
-        for at, length in zip(self.edge[mixed].tolist(), self.length[mixed].tolist(), strict=True):
-            rows = np.arange(at, at + length)
-            _, of, size = np.unique(self.root[rows], return_inverse=True, return_counts=True)
-            for c in np.argsort(-size, kind="stable").tolist():
-                if size[c] <= LONG_LIST:
-                    break
-                yield from self.pairs(rows[of != c], rows[of == c])
-                rows, of = rows[of != c], of[of != c]
-            yield from self.pairs(rows, rows)
-
-
-def _unique(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The pairs without repeats, as far as they are held together."""
-    held, size = [], 0
-
-    def out() -> tuple[np.ndarray, np.ndarray]:
-        u, v = (np.concatenate(c) for c in zip(*held, strict=True))
-        order = np.lexsort((v, u))
-        u, v = u[order], v[order]
-        new = np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])]) if len(u) else np.zeros(0, dtype=bool)
-        return u[new], v[new]
-
-    for part in parts:
-        held.append(part)
-        size += len(part[0])
-        if size > 2 * PAIRS:
-            held = [out()]
-            size = len(held[0][0])
-            if size > PAIRS:
-                yield held.pop()
-                size = 0
-    if held:
-        yield out()
-
-
-def _batch(u: np.ndarray, v: np.ndarray | None, key: np.ndarray | None, n: np.ndarray | None, at: np.ndarray | None) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-    columns = [pa.nulls(len(u), t) if c is None else pa.array(c).cast(t) for c, t in zip((u, v, key, n, at), types, strict=True)]
-    return pa.RecordBatch.from_arrays(columns, ["u", "v", "key", "n", "at"])
-
-
-def first_candidates(posted: DataFrame, n_posted: int) -> DataFrame:
-    """Candidate links (u, v), u > v, and the members (u, key, n, at) of long lists, with v null."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if sum(b.num_rows for b in held) < 2:
-            return
-        lists = _Lists(held)
-        for u, v in _unique(lists.first_round()):
-            yield _batch(u, v, None, None, None)
-        long = np.repeat(lists.length, lists.length) > LONG_LIST
-        if long.any():
-            yield _batch(lists.node[long], None, lists.key[long], lists.n[long], lists.at[long])
-
-    tasks = max(int(posted.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_posted // ROWS_PER_TASK + 1)
-    return posted.repartition(tasks, "key").mapInArrow(run, _LINKS)
-
-
-def second_candidates(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Candidate links (u, v) between members of long lists that ``links`` do not connect."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if sum(b.num_rows for b in held) < 2:
-            return
-        for u, v in _unique(_Lists(held).second_round()):
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
-
-    rooted = members.join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    return rooted.join(mixed, "key").repartition("key").mapInArrow(run, "u long, v long")
-
-
-def verified_links(sets: DataFrame, candidates: DataFrame) -> DataFrame:
-    """The candidate links (u, v) of similarity 0.8 or more, all held against the shingle sets."""
-    candidates = materialize(candidates.distinct(), "candidates")
-    nodes = materialize(candidates.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "candidate-nodes")
-    if nodes.count() <= SENT_NODES:
-        nodes = F.broadcast(nodes)
-    wanted = materialize(sets.select("node", "shingles").join(nodes, "node").dropDuplicates(["node"]), "wanted-sets")
-    links = candidates
-    for end in ("u", "v"):
-        links = links.join(wanted.select(F.col("node").alias(end), F.col("shingles").alias(f"of_{end}")), end)
-    shared = F.size(F.array_intersect("of_u", "of_v"))
-    alike = 9 * shared >= 4 * (F.size("of_u") + F.size("of_v"))
-    return materialize(links.where(alike).select("u", "v"), "near-links")
-
-
-def near_links(sets: DataFrame) -> DataFrame:
-    """Links (u, v), u > v, of similarity 0.8 or more that connect all nodes that such links connect.
-
-    In the first round members of long lists meet a few others only. What its verified links do not
-    connect then meets in full, so no member is lost by a link that fails.
-    """
-    n_docs, n_posted = sets.agg(F.count("*"), F.coalesce(F.sum(F.expr("n div 5 + 1")), F.lit(0))).first()
-    posted = postings(sets, *common_shingles(sets, n_docs))
-    with _small_batches(sets.sparkSession):
-        first = materialize(first_candidates(posted, n_posted), "first-candidates")
-    links = verified_links(sets, first.where("v IS NOT NULL").select("u", "v"))
-    members = first.where("v IS NULL").select("key", F.col("u").alias("node"), "n", "at")
-    if members.isEmpty():
-        return links
-    return links.unionByName(verified_links(sets, second_candidates(members, links)))
-
-
-def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns: of each group the one with the smallest doc_id.
-
-    Groups are what links of similarity 0.8 or more (five-word shingles) connect. Texts of no words form
-    a group. Rows that share doc_id and text stay or go together.
-    """
-    with _small_batches(docs.sparkSession):
-        sets = materialize(with_shingles(docs), "shingle-sets")
-    order = ["doc_id", "text_hash"]
-    prints = sets.select("doc_id", "text_hash", "node")
-    distinct = materialize(_distinct(prints, order), "distinct-sets")
-    labelled = _label(prints, distinct, near_links(sets), order)
-    gone = labelled.where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))))
-    gone = materialize(gone.select(F.col("doc_id").alias("id"), "text_hash").distinct(), "near-copies")
-    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(text_or_empty(F.col("text"))).alias("own_hash"))
-    stay = keyed.join(gone, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("text_hash")), "left_anti")
-    return stay.select("row.*")
+    bound_batches(docs.sparkSession)
+    prints = materialize(with_fingerprints(docs, shingle_words), "prints")
+    distinct = materialize(least_rows(prints, [], ["doc_id"]), "distinct-prints")
+    links = candidate_links(distinct.select("node"), max_diff)
+    hexed = F.lpad(F.lower(F.hex(F.col("node"))), 16, "0")
+    return label_nodes(prints, distinct, links).select("doc_id", hexed.alias("fingerprint"), F.col("first.doc_id").alias("component_id"))

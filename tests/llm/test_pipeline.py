@@ -8,7 +8,7 @@ import pytest
 
 import corpus_pipeline
 from lodestream.llm.sentencepiece import MODEL_PATH, Codec, Model
-from lodestream.llm.simhash import drop_near_copies
+from lodestream.llm.near_copies import drop_near_copies
 
 DATA = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")

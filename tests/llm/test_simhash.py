@@ -1,10 +1,9 @@
 import re
 
 import numpy as np
-import pytest
 import xxhash
 
-from lodestream.llm.simhash import covering_triples, fingerprint, forest, simhash_report
+from lodestream.llm.simhash import candidate_links, covering_triples, forest, simhash_report
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, fp string, key int"
@@ -89,6 +88,18 @@ def test_forest_keeps_components():
     assert sorted(zip(u.tolist(), v.tolist())) == [(3, 2), (5, 2), (8, 7), (9, 2)]
 
 
-@pytest.mark.parametrize("lanes", [1, 3])
-def test_more_lanes_keep_the_first(lanes):
-    assert fingerprint(b"a b c d e", 4, lanes)[0] == fingerprint(b"a b c d e", 4)[0]
+def test_split_lists_lose_no_link(spark):
+    # A dense ball, a sparse crowd that shares three bytes, and strays: the same components at any limit.
+    rng = np.random.default_rng(6)
+    ball = np.uint64(0x0123456789ABCDEF) ^ (np.uint64(1) << rng.integers(64, size=200).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(64, size=200).astype(np.uint64))
+    crowd = rng.integers(1 << 40, size=300).astype(np.uint64) | np.uint64(0x777777 << 40)
+    near = crowd[:100] ^ (np.uint64(15) << rng.integers(36, size=100).astype(np.uint64))
+    prints = np.unique(np.concatenate([ball, crowd, near, rng.integers(1 << 63, size=100).astype(np.uint64)]))
+    i, j = np.triu_indices(len(prints), 1)
+    hit = np.bitwise_count(prints[i] ^ prints[j]) <= 4
+    signed = prints.view(np.int64)
+    want = sorted(zip(*(x.tolist() for x in forest(signed[i[hit]], signed[j[hit]]))))
+    nodes = spark.createDataFrame([(int(x),) for x in signed], "node long")
+    for limit in (10, 100_000):
+        links = candidate_links(nodes, 4, limit).toPandas()
+        assert sorted(zip(*(x.tolist() for x in forest(links.u.to_numpy(), links.v.to_numpy())))) == want
