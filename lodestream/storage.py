@@ -52,8 +52,8 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_BYTES)
 
 
-def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def materialize(df: DataFrame, label: str, keep: bool = False, by: str | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder, in a folder for each value of ``by``, and read it back.
 
     A lost executor then costs a reread of finished files, not a recomputation of
     everything above, and what is read twice is computed once. What is written inside a
@@ -61,7 +61,7 @@ def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     scopes = _scopes[:-1] if keep else _scopes
     if scopes:
         scopes[-1].append(path)
