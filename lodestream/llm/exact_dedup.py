@@ -5,6 +5,10 @@ the rows that set it; positions set by two rows or more make up the filter. The
 tests each row: a row with an unset position has a hash that no other row has, and passes
 straight through; only the others are shuffled and grouped by their SHA-256.
 
+A filter grows with the rows, and is broadcast in blocks of bounded size. Where one block is not enough,
+rows are written once by block (a part of the hashes each, without a shuffle) and blocks are worked on one
+after the other, each with a filter of its own; what passes straight through is the same at every size.
+
 Defined results: null texts count as empty and equal to empty or all-white texts; a null doc_id
 loses every tie; of rows that are equal in every respect exactly one stays; an empty table gives
 an empty result; further columns are carried, whatever their names.
@@ -12,6 +16,8 @@ an empty result; further columns are carried, whatever their names.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +26,7 @@ from lodestream.storage import materialize
 
 BITS_PER_ROW = 16
 HASHES = 3
-#: Filters up to this size are broadcast; larger ones are joined by a shuffle of hashes.
+#: A block of the filter is at most this large when broadcast.
 MAX_BROADCAST_BYTES = 64 << 20
 
 
@@ -48,18 +54,40 @@ def repeat_filter(keys: DataFrame, key: str, n_bits: int) -> DataFrame:
 def possibly_repeated(rows: DataFrame, key: str, words: DataFrame, n_bits: int, flag: str) -> DataFrame:
     """Pass 2: adds ``flag``, true where every position of the key is in the filter."""
     cols = rows.columns
-    # A slot costs 16 bytes in the broadcast relation, and n_bits / 64 slots are its bound.
-    small = n_bits // 64 * 16 <= MAX_BROADCAST_BYTES
     tests = []
     for i, pos in enumerate(_positions(F.col(key), n_bits)):
         w = words.select(F.col("word").alias(f"__w{i}"), F.col("bits").alias(f"__b{i}"))
         rows = rows.withColumn(f"__p{i}", pos)
-        rows = rows.join(F.broadcast(w) if small else w, F.expr(f"__p{i} div 64 = __w{i}"), "left")
+        rows = rows.join(F.broadcast(w), F.expr(f"__p{i} div 64 = __w{i}"), "left")  # at most MAX_BROADCAST_BYTES
         tests.append(f"coalesce(shiftright(__b{i}, cast(__p{i} % 64 as int)) & 1L, 0L) = 1L")
     return rows.select(*cols, F.expr(" and ".join(tests)).alias(flag))
 
 
-def dedup_report(docs: DataFrame) -> DataFrame:
+def n_blocks(n_rows: int, max_bytes: int) -> int:
+    # A slot of 64 bits costs 16 bytes in the broadcast relation, and n_bits / 64 slots are its bound.
+    return max(1, -(-filter_bits(n_rows) // 64 * 16 // max_bytes))
+
+
+def flag_repeats(rows: DataFrame, hashes: DataFrame, key: str, max_bytes: int) -> DataFrame:
+    """``rows`` with again: false where no other of the ``hashes`` (all rows' keys, written) is the same."""
+    n_rows = hashes.count()
+    blocks = n_blocks(n_rows, max_bytes)
+    if blocks == 1:
+        n_bits = filter_bits(n_rows)
+        return possibly_repeated(rows, key, materialize(repeat_filter(hashes, key, n_bits), "exact-filter"), n_bits, "again")
+    n_bits = filter_bits(-(-n_rows // blocks))
+    of = F.pmod(F.xxhash64(F.lit(HASHES), key), F.lit(blocks))
+    rows = materialize(rows.withColumn("block", of), "exact-blocks", by="block")
+    hashes = materialize(hashes.select(key).withColumn("block", of), "exact-block-hashes", by="block")
+    flagged = []
+    for b in range(blocks):
+        words = materialize(repeat_filter(hashes.where(F.col("block") == b), key, n_bits), "exact-filter")
+        part = rows.where(F.col("block") == b).drop("block")
+        flagged.append(materialize(possibly_repeated(part, key, words, n_bits, "again"), "exact-flagged"))
+    return reduce(DataFrame.unionByName, flagged)
+
+
+def dedup_report(docs: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """One row for each document, dropped ones too: doc_id, keep_id, group_size, kept, text_sha256."""
     rows = materialize(
         docs.select(
@@ -70,9 +98,7 @@ def dedup_report(docs: DataFrame) -> DataFrame:
         ),
         "exact-hashes",
     )
-    n_bits = filter_bits(rows.count())
-    words = materialize(repeat_filter(rows, "sha", n_bits), "exact-filter")
-    tested = possibly_repeated(rows, "sha", words, n_bits, "again")
+    tested = flag_repeats(rows, rows.select("sha"), "sha", max_bytes)
     again = tested.where("again").drop("again")
     # The least of these structs: most code points, then smallest doc_id, nulls last.
     order = F.struct(-F.col("n"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")
@@ -95,7 +121,7 @@ def dedup_report(docs: DataFrame) -> DataFrame:
     return straight.unionByName(shuffled)
 
 
-def exact_dedup(docs: DataFrame) -> DataFrame:
+def exact_dedup(docs: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """The documents that stay, with all their columns; whole rows shuffle only if possibly repeated."""
     keyed = docs.select(
         F.struct("*").alias("row"),
@@ -107,9 +133,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
         ).alias("best"),
     )
     hashes = materialize(keyed.select("sha"), "exact-hashes")
-    n_bits = filter_bits(hashes.count())
-    words = materialize(repeat_filter(hashes, "sha", n_bits), "exact-filter")
-    tested = possibly_repeated(keyed, "sha", words, n_bits, "again")
+    tested = flag_repeats(keyed, hashes, "sha", max_bytes)
     # Copies collapse map-side, so a hot text sends one row from each task.
     stays = tested.where("again").groupBy("sha").agg(F.min_by("row", "best").alias("row"))
     return tested.where(~F.col("again")).select("row.*").unionByName(stays.select("row.*"))
