@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.llm.text import text_or_empty
+from lodestream.llm.text import running, text_or_empty
 
 START, END = "<|im_start|>", "<|im_end|>"
 
@@ -47,27 +47,18 @@ def gather(conversations: DataFrame) -> DataFrame:
 
 
 def rolling_hashes(turns: Column) -> Column:
-    """Array of hashes: the i-th covers turns 0 to i. Lengths are hashed, so no text imitates a break."""
-    empty = F.array().cast("array<string>")
-    return F.aggregate(
-        turns,
-        empty,
-        lambda acc, t: F.concat(
-            acc,
-            F.array(
-                F.sha2(
-                    F.concat_ws(
-                        ":",
-                        F.coalesce(F.get(acc, F.size(acc) - 1), F.lit("")),
-                        F.octet_length(t["role"]).cast("string"),
-                        t["role"],
-                        t["text"],
-                    ).cast("binary"),
-                    256,
-                )
-            ),
-        ),
-    )
+    """Array of (n, a, b): the i-th covers turns 0 to i, n is their number.
+
+    Each turn is hashed twice with its place, and hashes roll on by exclusive or; two of 64 bits and the
+    number of turns stand for a prefix.
+    """
+
+    def lane(seed: int) -> Column:
+        own = F.transform(turns, lambda t, i: F.xxhash64(F.lit(seed), i, t["role"], t["text"]))
+        return running(own, lambda x, y: x.bitwiseXOR(y), F.lit(0).cast("long"))
+
+    both = F.zip_with(lane(1), lane(2), lambda x, y: F.struct(x.alias("a"), y.alias("b")))
+    return F.transform(both, lambda h, i: F.struct((i + 1).alias("n"), h["a"].alias("a"), h["b"].alias("b")))
 
 
 def render(turns: Column) -> Column:

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.llm.text import text_or_empty
+from lodestream.llm.text import running, text_or_empty
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -47,18 +47,13 @@ def _placed(text: Column, pattern: str) -> tuple[Column, Column]:
 
 
 def _spans(matches: Column, between: Column, kind: int) -> Column:
-    """Array of (start, kind, end, match), by a running sum of the lengths of pieces and matches."""
-    shape = "struct<at:int,out:array<struct<start:int,kind:int,end:int,match:string>>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().alias("out")).cast(shape)
-
-    def step(acc: Column, pair: Column) -> Column:
-        begin = acc["at"] + F.length(pair["between"])
-        end = begin + F.length(pair["match"])
-        span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), pair["match"].alias("match"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out")).cast(shape)
-
-    pairs = F.arrays_zip(matches.alias("match"), F.slice(between, 1, F.size(matches)).alias("between"))
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    """Array of (start, kind, end, match), by running sums of the lengths of pieces and matches."""
+    ends = running(F.zip_with(between, matches, lambda a, b: F.length(a) + F.length(b)), lambda a, b: a + b, F.lit(0))
+    return F.zip_with(
+        ends,
+        matches,
+        lambda e, m: F.struct((e - F.length(m)).alias("start"), F.lit(kind).alias("kind"), e.alias("end"), m.alias("match")),
+    )
 
 
 def char_class(s: Column) -> Column:
@@ -111,7 +106,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     for k, p, hint in patterns:
         m, between = _placed(t, p)
         rows = rows.withColumn(f"m_{k}", F.when(t.rlike(hint), m).otherwise(none_m))
-        rows = rows.withColumn(f"b_{k}", F.when(F.size(f"m_{k}") > 0, between).otherwise(none_p))
+        rows = rows.withColumn(f"b_{k}", F.when(F.size(f"m_{k}") > 0, F.slice(between, F.lit(1), F.size(f"m_{k}"))).otherwise(none_p))
     rows = rows.drop("t")
     for n, (k, _, _) in enumerate(patterns):
         rows = rows.withColumn(f"s_{k}", _spans(F.col(f"m_{k}"), F.col(f"b_{k}"), n)).drop(f"m_{k}", f"b_{k}")

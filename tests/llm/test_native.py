@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -59,6 +60,18 @@ def test_dedup_keeps_one_row_of_each_text(spark):
     assert exact_dedup.exact_dedup(docs(spark, [])).collect() == []
 
 
+def test_filters_of_any_number_of_blocks(spark):
+    df, want = docs(spark, ROWS), Counter(r[0] for r in plain_dedup(ROWS) if r[3])
+    assert exact_dedup.n_blocks(15, 128) > 1
+    once, again = (sorted([tuple(r) for r in exact_dedup.dedup_report(df, b).drop("kept").collect()], key=repr) for b in (128, 64 << 20))
+    assert once == again
+    out = exact_dedup.exact_dedup(df, 128)
+    # One shuffle, that of possible repeats by their hash.
+    shuffles = re.findall(r"Exchange hashpartitioning\((\w+)#", plan(out))
+    assert shuffles == ["sha"] and not any(x in plan(out) for x in (*PYTHON_NODES, "SortMergeJoin"))
+    assert Counter(r.doc_id for r in out.collect()) == want
+
+
 def test_filter_misses_no_repeat_and_lets_most_others_through(spark):
     keys = spark.range(5000).select((F.col("id") % 4500).cast("string").alias("k"))
     n_bits = exact_dedup.filter_bits(5000)
@@ -95,9 +108,31 @@ def test_chats(spark):
     rows += [(8, 0, "user", "hi"), (8, 0, "user", "hi"), (9, 0, "u", "ser1:x"), (10, 0, "us", "er1:x"), (11, 0, "user", "w " * 30_000)]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], TURNS)
     assert sorted([tuple(r) for r in chat.format_chats(df).collect()], key=repr) == plain_chats(rows)
+    out = chat.format_chats(df)
+    assert not any(x in plan(out) for x in PYTHON_NODES)
     assert chat.format_chats(df.limit(0)).collect() == []
 
 
+def seconds(run):
+    at = time.perf_counter()
+    run()
+    return time.perf_counter() - at
+
+
+def test_time_grows_with_the_text(spark):
+    def scan(n):
+        return lambda: secrets.secrets_report(docs(spark, [(1, "token=secretvalue1 " * n)])).collect()
+
+    def talk(n):
+        turns = spark.range(n).selectExpr("1L AS conv_id", "id AS turn", "'user' AS role", "concat('turn ', id) AS text")
+        return lambda: chat.format_chats(turns).collect()
+
+    for run in (scan, talk):
+        run(1000)()
+        small, large = seconds(run(20_000)), seconds(run(80_000))
+        assert large < 8 * small + 2, (run.__name__, small, large)
+
+
 def entropy(s):
     return max((-sum(c / 20 * math.log2(c / 20) for c in Counter(s[i : i + 20]).values()) for i in range(len(s) - 19)), default=0.0)
 
