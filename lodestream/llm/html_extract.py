@@ -4,15 +4,18 @@ A page is read into text nodes, each with its path of tags from the root. For ea
 text and the punctuation of all its nodes are added up and divided by the number of nodes; both ratios
 are smoothed over the nodes in page order, fused by their product, and the paths at or above a threshold
 are content paths. The content lies in the smallest element that holds the nodes of these paths (an
-article or main element above it, if there is one); of that element the nodes on content paths, and
-the headings and other nodes between and around them, are kept.
+article or main element above it, if there is one). Of that element blocks are kept, but for those whose
+path is a list of links: a path of several blocks that hold links and nothing else.
 
-Nodes that say what they are not (script, style, nav, form, aside, a class or id such as "ad" or
-"comments", hidden elements) take no part in the ratios and are never kept.
+Elements that say what they are not (nav, form, aside, a class or id such as "ad" or "comments") take no
+part in the ratios and are not kept, unless that would leave nothing that reads like a paragraph: then the
+one of them with the most of such text, say a form around the whole page, counts as unmarked, and so on
+inwards. What is never shown (script, style, hidden elements) is never kept.
 
 Defined results: null and empty pages give an empty text; a page of nothing but excluded nodes gives an
 empty text; unclosed and misnested tags end with their parents; pages are independent of each other,
-so ties, repeated rows, empty tables and further columns have no effect.
+so ties, repeated rows, empty tables and further columns have no effect; time is linear in the page,
+however deep it nests.
 """
 
 from __future__ import annotations
@@ -27,7 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestream.llm.buffers import giving_back
 from lodestream.llm.text import text_or_empty
+from lodestream.storage import bound_batches
 
 #: Without backtracking, and a quote left open ends at the next tag, so time is linear in the page.
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"<]*+"|'[^'<]*+')*+)>""", re.S)
@@ -35,10 +40,9 @@ LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noframes iframe noembed".split())
-EXCLUDED = frozenset(
-    "head script style noscript template textarea title iframe noembed noframes xmp svg math canvas object nav footer aside form button "
-    "select option input label fieldset dialog menu".split()
-)
+#: Never shown as text, whatever is around them.
+UNSEEN = frozenset("head script style noscript template textarea title iframe noembed noframes xmp svg canvas object datalist".split())
+EXCLUDED = frozenset("nav footer aside form button select option input label fieldset dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 "
@@ -62,165 +66,245 @@ PUNCTUATION = re.compile(r"[.,;:!?\"'()\[\]…«»“”¡¿、。！，？]")
 SMOOTH = (1.0, 2.0, 4.0, 2.0, 1.0)
 #: A path is content if its fused value is this part of the greatest on the page, or more.
 THRESHOLD = 0.1
-#: Elements nested deeper than this, as in browsers, do not nest further; their text is read as ever.
-DEPTH = 512
+#: Text of a node outside links that reads like a sentence, and how long is a paragraph.
+SENTENCE, PARAGRAPH = re.compile(r"[.!?…](?:[\s\"')\]»”]|$)|[。！？]"), 60
+#: Unmarked sentences that are this small a part of a page's paragraphs are too few to be its article.
+LEAST_FREE = 0.03
+#: A path of so many blocks of links alone is a menu.
+LINK_BLOCKS = 3
+SHOWN, MARKED, HIDDEN = 0, 1, 2
 
 
-def _marked(tag: str, attributes: str, in_article: bool, by_name: bool) -> bool:
-    """Whether an element announces itself as no article text."""
-    if tag in EXCLUDED or (tag == "header" and not in_article):
-        return True
-    if not by_name or not attributes.strip() or tag in ("html", "body", "article", "main"):
-        return False
+def _mark(tag: str, attributes: str, in_article: bool) -> int:
+    """Whether an element announces itself as no article text, or as not shown."""
+    mark = MARKED if tag in EXCLUDED or (tag == "header" and not in_article) else SHOWN
+    if not attributes.strip() or tag in ("html", "body", "article", "main"):
+        return mark
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
-            return True
+        if name == "hidden" or name == "aria-hidden" and value == "true":
+            return HIDDEN
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return HIDDEN
+        if name == "role" and value in ROLES:
+            mark = MARKED
         if name in ("class", "id"):
             words = [w for name_ in value.split() if not name_.startswith(HAS) for w in re.findall(r"[a-z]+", name_)]
             if any(w in NAMES or w.startswith(STARTS) for w in words) or (not in_article and "header" in words):
-                return True
-    return False
-
-
-def text_nodes(page: str, by_name: bool = True) -> list[tuple[str, tuple[str, ...], tuple[int, ...], int]]:
-    """(text, tag path, element path, block) of each text node outside excluded elements, in order."""
-    names, ids, nodes = [], [], []
-    open_: Counter[str] = Counter()
-    made, block, at, n, skip, articles = 0, 0, 0, len(page), None, 0
-
-    def pop_to(depth: int) -> None:
-        nonlocal skip, articles
-        for tag in names[depth:]:
-            open_[tag] -= 1
-            articles -= tag in ("article", "main")
-        del names[depth:], ids[depth:]
-        if skip is not None and skip >= depth:
-            skip = None
-
-    def innermost(tag: str) -> int:
-        depth = len(names) - 1
-        while names[depth] != tag:
-            depth -= 1
-        return depth
-
-    last_tag_ends = max(page.rfind(">"), page.rfind("<!--") + 1)  # a "<" after it opens nothing
-    while at < n:
-        lt = page.find("<", at)
-        m = None
-        while 0 <= lt < last_tag_ends and (m := TOKEN.match(page, lt) or LOOSE.match(page, lt)) is None:
-            lt = page.find("<", lt + 1)
-        stop = n if m is None else lt
-        if stop > at and skip is None:
-            nodes.append((html.unescape(page[at:stop]), tuple(names), tuple(ids), block))
-        if m is None:
-            break
-        at = m.end()
-        if m[0].startswith("<![CDATA[") and skip is None:
-            nodes.append((m[0][9:].removesuffix("]]>"), tuple(names), tuple(ids), block))
-        if m.lastindex is None or not m[2]:
-            continue
-        tag = m[2].lower()
-        block += tag in BLOCKS
-        if m[1]:
-            if open_[tag]:
-                pop_to(innermost(tag))
-            continue
-        if tag == "br" and skip is None:
-            nodes.append((" ", tuple(names), tuple(ids), block))
-        if tag in BLOCKS and open_["p"]:
-            pop_to(innermost("p"))
-        if tag in ENDS:
-            for depth in range(len(names) - 1, -1, -1):
-                if names[depth] in ENDS[tag]:
-                    pop_to(depth)
-                    if tag != "tr":
+                mark = MARKED
+    return mark
+
+
+class Page:
+    """Elements in the order they open, and text nodes outside those that are never shown."""
+
+    def __init__(self, page: str) -> None:
+        #: Of each element: tag, parent, its last descendant, path (a number) and mark; the first is the page.
+        self.tag, self.parent, self.last, self.path, self.mark = [""], [-1], [0], [0], [SHOWN]
+        #: (text, element, block) of each text node.
+        self.nodes: list[tuple[str, int, int]] = []
+        self._paths: dict[tuple[int, str], int] = {}
+        self._read(page)
+
+    def _read(self, page: str) -> None:
+        tags, stack, nodes = self.tag, [0], self.nodes
+        open_: Counter[str] = Counter()
+        block, at, n, skip, articles = 0, 0, len(page), None, 0
+
+        def pop_to(depth: int) -> None:
+            nonlocal skip, articles
+            for e in stack[depth:]:
+                open_[tags[e]] -= 1
+                articles -= tags[e] in ("article", "main")
+                self.last[e] = len(tags) - 1
+            del stack[depth:]
+            if skip is not None and skip >= depth:
+                skip = None
+
+        def innermost(tag: str) -> int:
+            depth = len(stack) - 1
+            while tags[stack[depth]] != tag:
+                depth -= 1
+            return depth
+
+        last_tag_ends = max(page.rfind(">"), page.rfind("<!--") + 1)  # a "<" after it opens nothing
+        while at < n:
+            lt = page.find("<", at)
+            m = None
+            while 0 <= lt < last_tag_ends and (m := TOKEN.match(page, lt) or LOOSE.match(page, lt)) is None:
+                lt = page.find("<", lt + 1)
+            stop = n if m is None else lt
+            if stop > at and skip is None:
+                nodes.append((html.unescape(page[at:stop]), stack[-1], block))
+            if m is None:
+                break
+            at = m.end()
+            if m[0].startswith("<![CDATA[") and skip is None:
+                nodes.append((m[0][9:].removesuffix("]]>"), stack[-1], block))
+            if m.lastindex is None or not m[2]:
+                continue
+            tag = m[2].lower()
+            block += tag in BLOCKS
+            if m[1]:
+                if open_[tag]:
+                    pop_to(innermost(tag))
+                continue
+            if tag == "br" and skip is None:
+                nodes.append((" ", stack[-1], block))
+            if tag in BLOCKS and open_["p"]:
+                pop_to(innermost("p"))
+            if tag in ENDS and any(open_[t] for t in ENDS[tag]):
+                for depth in range(len(stack) - 1, 0, -1):
+                    if tags[stack[depth]] in ENDS[tag]:
+                        pop_to(depth)
+                        if tag != "tr":
+                            break
+                    elif tags[stack[depth]] in BARRIER:
                         break
-                elif names[depth] in BARRIER:
-                    break
-        if tag in VOID or m[3].rstrip().endswith("/") and tag in ("svg", "path"):
-            continue
-        marked = skip is None and _marked(tag, m[3], articles > 0, by_name)
-        if len(names) >= DEPTH and not marked and tag not in RAW:
-            continue
-        if marked:
-            skip = len(names)
-        made += 1
-        open_[tag] += 1
-        names.append(tag)
-        ids.append(made)
-        articles += tag in ("article", "main")
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
-            pop_to(len(names) - 1)
-    return nodes
-
-
-def content_paths(nodes: list[tuple[str, tuple[str, ...], tuple[int, ...], int]]) -> set[tuple[str, ...]]:
-    """The tag paths at or above the threshold of smoothed, fused ratios."""
-    length: dict[tuple[str, ...], list[int]] = {}
-    for text, path, _, _ in nodes:
-        if bare := text.strip():
-            total = length.setdefault(path, [0, 0, 0])
-            total[0] += len(bare)
-            total[1] += len(PUNCTUATION.findall(bare))
-            total[2] += 1
-    paths = [p for t, p, _, _ in nodes if t.strip()]
-    if not paths:
+            if tag in VOID or m[3].rstrip().endswith("/") and tag in ("svg", "path"):
+                continue
+            mark = HIDDEN if tag in UNSEEN else _mark(tag, m[3], articles > 0)
+            if mark == HIDDEN and skip is None:
+                skip = len(stack)
+            self._open(tag, stack[-1], mark)
+            open_[tag] += 1
+            stack.append(len(tags) - 1)
+            articles += tag in ("article", "main")
+            if tag in RAW:
+                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                at = end.end() if end else n
+                pop_to(len(stack) - 1)
+        pop_to(0)
+
+    def _open(self, tag: str, parent: int, mark: int) -> None:
+        key = (self.path[parent], tag)
+        self.path.append(self._paths.setdefault(key, len(self._paths) + 1))
+        self.tag.append(tag)
+        self.parent.append(parent)
+        self.last.append(0)
+        self.mark.append(mark)
+
+    def _inherited(self, own: list[bool]) -> list[bool]:
+        """For each element, whether it or one around it is so; parents come first."""
+        for e in range(1, len(own)):
+            own[e] = own[e] or own[self.parent[e]]
+        return own
+
+    def excluded(self) -> list[bool]:
+        """For each element, whether its text is out, after marks that would leave no article are lifted."""
+        linked = self._inherited([t == "a" for t in self.tag])
+        article = self._inherited([t in ("article", "main") for t in self.tag])
+        sentences, held = [0] * len(self.tag), [0] * len(self.tag)
+        for text, e, _ in self.nodes:
+            bare = text.strip()
+            if article[e] or not linked[e] and (len(bare) >= PARAGRAPH or SENTENCE.search(bare)):
+                sentences[e] += len(bare)
+                held[e] += len(bare) if article[e] or len(bare) >= PARAGRAPH else 0
+        for e in range(len(held) - 1, 0, -1):
+            held[self.parent[e]] += held[e]
+        while True:
+            out = self._inherited([m != SHOWN for m in self.mark])
+            free = sum(x for x, gone in zip(sentences, out, strict=True) if not gone)
+            named = any(x and in_ and not gone for x, in_, gone in zip(sentences, article, out, strict=True))
+            if not held[0] or named or free >= LEAST_FREE * held[0]:
+                return out
+            outer = [e for e in range(1, len(out)) if self.mark[e] == MARKED and not out[self.parent[e]]]
+            most = max(outer, key=lambda e: (held[e], -e), default=0)
+            if not most or held[most] < LEAST_FREE * held[0]:
+                return out
+            # Inwards from here, as far as a single marked element holds nearly all of it.
+            self.mark[most] = SHOWN
+
+
+def content_paths(nodes: list[tuple[str, int]]) -> set[int]:
+    """The paths at or above the threshold of smoothed, fused ratios; nodes are (text, path)."""
+    nodes = [(bare, p) for t, p in nodes if (bare := t.strip())]
+    length: dict[int, list[int]] = {}
+    for bare, path in nodes:
+        total = length.setdefault(path, [0, 0, 0])
+        total[0] += len(bare)
+        total[1] += len(PUNCTUATION.findall(bare))
+        total[2] += 1
+    if not nodes:
         return set()
     weights = np.array(SMOOTH) / sum(SMOOTH)
     ratios = []
     for k in (0, 1):
-        row = np.array([(length[p][k] + k) / length[p][2] for p in paths])
+        row = np.array([(length[p][k] + k) / length[p][2] for _, p in nodes])
         ratios.append(np.convolve(np.pad(row, len(weights) // 2, mode="edge"), weights, mode="valid"))
     fused = ratios[0] * ratios[1]
-    best: dict[tuple[str, ...], float] = {}
-    for p, x in zip(paths, fused.tolist(), strict=True):
+    best: dict[int, float] = {}
+    for (_, p), x in zip(nodes, fused.tolist(), strict=True):
         # Smoothing lifts a path by its neighbours; by its own ratios it must count for something, too.
         best[p] = max(best.get(p, 0.0), min(x, 8.0 * length[p][0] / length[p][2] * (length[p][1] + 1) / length[p][2]))
     least = THRESHOLD * max(best.values())
     return {p for p, x in best.items() if x >= least}
 
 
-def main_text(page: str) -> str:
-    nodes = text_nodes(page)
-    if not any(t.strip() for t, _, _, _ in nodes) and re.search(r"<(?:article|main)[\s>]", page, re.I):
-        nodes = text_nodes(page, by_name=False)  # an element around the article has a misleading name
-    chosen = content_paths(nodes)
-    hits = [i for i, (t, p, _, _) in enumerate(nodes) if p in chosen and t.strip()]
+def _enclosing(page: Page, first: int, last: int) -> tuple[int, bool]:
+    """The element whose blocks are kept, and whether it is one of the page's inner elements."""
+    # Elements are numbered as they open, so what holds the first and the last hit holds all between.
+    e = first
+    while not e <= last <= page.last[e]:
+        e = page.parent[e]
+    up = e
+    while up and page.tag[up] not in ("article", "main"):
+        up = page.parent[up]
+    if up:
+        return up, True
+    inside = page.parent[e] > 0 and page.tag[e] not in ("html", "body")
+    while inside and page.parent[e] > 0 and page.tag[e] not in BLOCKS - {"p", "li", "ul", "ol"}:
+        e = page.parent[e]
+    return e, inside
+
+
+def _menus(page: Page, blocks: dict[int, list[tuple[str, int]]], linked: list[bool]) -> set[int]:
+    """Paths of blocks that hold links alone, each of which several blocks have."""
+    links, other = Counter(), set()
+    for nodes in blocks.values():
+        inner = [(t, e) for t, e in nodes if t.strip()]
+        if not inner:
+            continue
+        path = page.path[_block_of(page, inner[0][1])]
+        if all(linked[e] for _, e in inner):
+            links[path] += 1
+        else:
+            other.add(path)
+    return {p for p, n in links.items() if n >= LINK_BLOCKS and p not in other}
+
+
+def _block_of(page: Page, e: int) -> int:
+    while e and page.tag[e] not in BLOCKS:
+        e = page.parent[e]
+    return e
+
+
+def main_text(text: str) -> str:
+    page = Page(text)
+    out = page.excluded()
+    nodes = [(t, e, b) for t, e, b in page.nodes if not out[e]]
+    chosen = content_paths([(t, page.path[e]) for t, e, _ in nodes])
+    hits = [i for i, (t, e, _) in enumerate(nodes) if page.path[e] in chosen and t.strip()]
     if not hits:
         return ""
-    common = nodes[hits[0]][2]
-    for i in hits[1:]:
-        ids = nodes[i][2]
-        k = 0
-        while k < min(len(common), len(ids)) and common[k] == ids[k]:
-            k += 1
-        common = common[:k]
-    names = nodes[hits[0]][1]
-    # Up to the innermost element that is an article as a whole, else the element found.
-    depth = next((k for k in range(len(common) - 1, -1, -1) if names[k] in ("article", "main")), None)
-    inside = depth is not None or len(common) > 1 and names[len(common) - 1] not in ("html", "body")
-    while depth is None and inside and len(common) > 1 and names[len(common) - 1] not in BLOCKS - {"p", "li", "ul", "ol"}:
-        common = common[:-1]
-    common = common if depth is None else common[: depth + 1]
+    at = [nodes[i][1] for i in hits]
+    around, inside = _enclosing(page, min(at), max(at))
+    heading = page._inherited([t in HEADINGS for t in page.tag])
     first = hits[0]
-    while first and nodes[first - 1][1] and (not nodes[first - 1][0].strip() or HEADINGS & set(nodes[first - 1][1])):
+    while first and nodes[first - 1][1] and (not nodes[first - 1][0].strip() or heading[nodes[first - 1][1]]):
         first -= 1
-    blocks: list[list[str]] = []
-    last = None
-    for i, (text, _, ids, block) in enumerate(nodes):
-        if ids[: len(common)] != common or not (inside or first <= i <= hits[-1]):
-            continue
-        if block != last:
-            blocks.append([])
-            last = block
-        blocks[-1].append(text)
-    lines = (" ".join("".join(b).split()) for b in blocks)
-    return "\n".join(x for x in lines if x)
+    blocks: dict[int, list[tuple[str, int]]] = {}
+    for i, (t, e, block) in enumerate(nodes):
+        if around <= e <= page.last[around] and (inside or first <= i <= hits[-1]):
+            blocks.setdefault(block, []).append((t, e))
+    linked = page._inherited([t == "a" for t in page.tag])
+    menus = _menus(page, blocks, linked)
+    lines = []
+    for part in blocks.values():
+        line = " ".join("".join(t for t, _ in part).split())
+        if line and not (menus and page.path[_block_of(page, next(e for t, e in part if t.strip()))] in menus):
+            lines.append(line)
+    return "\n".join(lines)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -234,6 +318,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
                 ["page_id", "url", "text", "n_chars"],
             )
 
+    bound_batches(pages.sparkSession)
     rows = pages.select("page_id", "url", text_or_empty(F.col("html")).alias("html"))
     types = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("page_id", "url"))
-    return rows.mapInArrow(run, f"{types}, text string, n_chars long")
+    return rows.mapInArrow(giving_back(run), f"{types}, text string, n_chars long")

@@ -2,9 +2,10 @@
 
 import html
 import re
+import timeit
 from collections import Counter, defaultdict
 
-from lodestream.llm.html_extract import extract_pages, main_text
+from lodestream.llm.html_extract import Page, content_paths, extract_pages, main_text
 from lodestream.llm.quality_rules import quality_report
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -39,6 +40,62 @@ def test_names_of_what_an_element_has():
     assert main_text('<div class="ad"><p>Buy, now. All of it.</p></div>') == ""
 
 
+SENTENCES = "The fox, which lives here, jumps over the lazy dog. Again and again, it does. "
+ARTICLE = "<h1>Title of it</h1>" + f"<p>{SENTENCES * 3}</p>" * 4
+LINES = ["Title of it", *[(SENTENCES * 3).strip()] * 4]
+MENU = "<ul><li><a href=1>Home</a></li><li><a href=2>About us</a></li><li><a href=3>Contact</a></li></ul>"
+REPLIES = f'<div class="comments"><p>{SENTENCES.replace("fox", "cat")}</p></div>'
+
+
+def test_marks_around_the_article_are_lifted():
+    for page in (
+        f'<body><form id="aspnetForm">{MENU}<article>{ARTICLE}</article></form></body>',
+        f'<body><form id="aspnetForm">{MENU}<div>{ARTICLE}</div>{REPLIES * 9}</form></body>',
+        f'<body>{MENU}<div class="post comments-open">{ARTICLE}{REPLIES}</div></body>',
+        f'<nav>{MENU}</nav><div id="content" class="layout-side">{ARTICLE}</div><div class=sidebar><p>{SENTENCES}</p></div>',
+        f'<form><div class="menu-page"><div class="has-share ad-free-toc">{ARTICLE}</div></div></form>',
+        f"<body><div id=c>{MENU}{ARTICLE}</div></body>",
+    ):
+        assert main_text(page).split("\n") == LINES, page[:80]
+    assert main_text(f"<article>{ARTICLE}<p>We have <math><mi>x</mi><mo>=</mo><mn>1</mn></math> here, so.</p></article>").split("\n") == [*LINES, "We have x=1 here, so."]
+    assert main_text(f"<div><p>{SENTENCES}</p></div>{REPLIES * 20}") == SENTENCES.strip()
+
+
+def test_pages_without_article_tags(spark):
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        assert main_text(r.html.replace("<article", "<div").replace("</article", "</div")) == main_text(r.html)
+
+
+def plain_paths(nodes):
+    """Content paths straight from their definition, path by path and place by place."""
+    kept = [(t.strip(), p) for t, p in nodes if t.strip()]
+    ratio = {}
+    for p in {p for _, p in kept}:
+        own = [t for t, q in kept if q == p]
+        marks = sum(len(re.findall(r"[.,;:!?\"'()\[\]…«»“”¡¿、。！，？]", t)) for t in own)
+        ratio[p] = (sum(map(len, own)) / len(own), (marks + 1) / len(own))
+    weight, best = [0.1, 0.2, 0.4, 0.2, 0.1], {}
+    for i, (_, p) in enumerate(kept):
+        near = [ratio[kept[min(max(i + k - 2, 0), len(kept) - 1)][1]] for k in range(5)]
+        x = sum(w * r[0] for w, r in zip(weight, near)) * sum(w * r[1] for w, r in zip(weight, near))
+        best[p] = max(best.get(p, 0), min(x, 8 * ratio[p][0] * ratio[p][1]))
+    return {p for p, x in best.items() if x >= 0.1 * max(best.values())}
+
+
+def test_content_paths(spark):
+    for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
+        page = Page(r.html)
+        nodes = [(t, page.path[e]) for t, e, _ in page.nodes]
+        assert content_paths(nodes) == plain_paths(nodes)
+
+
+def test_deep_pages_in_linear_time():
+    deep = {n: "<div><span>" * n + ARTICLE + "</span></div>" * n for n in (1, 20_000, 80_000)}
+    assert main_text(deep[1]).split("\n") == main_text(deep[80_000]).split("\n") == LINES
+    small, large = (min(timeit.repeat(lambda: main_text(deep[n]), number=1, repeat=2)) for n in (20_000, 80_000))
+    assert large < 8 * small + 0.5
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, None, "plain text, no markup."), (4, "u", "<p>a<p>b"), (5, "u", "<nav><p>only, a menu.</p></nav>"), (6, "u", "<script>never closed"),
             (None, "u", "<div><p>one, two.</p></div></div></p>"), (7, "u", "<article>" + "<p>word, word. &eacute;</p>" * 3000 + "</article>"), (8, "u", "<!-- open"), (9, "u", "<a b='")]
