@@ -4,7 +4,7 @@ Each document gets counts that depend on its text alone and fails outright if it
 repeats itself. The method then looks across documents: lines are normalised (words joined by one
 space, A-Z lowered) and hashed, the distinct documents of a host that hold a line are counted, and
 lines above both limits are boilerplate. A document of which more than half the words lie in such
-lines is depleted and rejected; of others they can be cut with ``strip_lines``.
+lines is depleted and rejected; from others ``strip_lines`` removes them.
 
 A document sends one narrow row for each of its distinct lines, counted map-side before the shuffle.
 
@@ -28,9 +28,11 @@ from lodestream.llm.text import text_or_empty
 from lodestream.storage import bound_batches, materialize
 
 MIN_WORDS = 50
-#: A line is boilerplate in a host if more documents than either limit hold it.
+#: A line is boilerplate in a host if more documents than LINE_DOCS hold it, and either more than this
+#: percentage of the host's or more than LINE_MOST, so a large host is allowed no more than that.
 LINE_DOCS = 10
 LINE_PERCENT = 1
+LINE_MOST = 1000
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -60,7 +62,9 @@ def _analyse(buf: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray
     if len(begin) >= 3:
         at = np.flatnonzero(doc[:-2] == doc[2:])
         many = int(word.max()) + 1
-        _, window = np.unique((word[at] * many + word[at + 1]) * many + word[at + 2], return_inverse=True)
+        # Pairs are numbered before triples, and triples before they meet documents, so no product overflows.
+        _, pair = np.unique(word[at] * many + word[at + 1], return_inverse=True)
+        _, window = np.unique(pair * many + word[at + 2], return_inverse=True)
         _, same, count = np.unique(window * n + doc[at], return_inverse=True, return_counts=True)
         again = at[count[same] > 1]
         for k in range(3):
@@ -88,7 +92,7 @@ def _analyse(buf: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray
 
 
 def line_statistics(docs: DataFrame) -> DataFrame:
-    """uid, doc_id, source, the counts of STATS and lines (h, w) of each document."""
+    """uid, doc_id, source, text_hash, the counts of STATS and lines (h, w) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,20 +109,21 @@ def line_statistics(docs: DataFrame) -> DataFrame:
                 )
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("uid"), part.column("doc_id"), part.column("source")]
+                    [part.column(c) for c in ("uid", "doc_id", "source", "text_hash")]
                     + [pa.array(stats[k].astype(np.int64)) for k in STATS]
                     + [pa.ListArray.from_arrays(pa.array(ends), pairs)],
-                    ["uid", "doc_id", "source", *STATS, "lines"],
+                    ["uid", "doc_id", "source", "text_hash", *STATS, "lines"],
                 )
 
     rows = docs.select(
         F.monotonically_increasing_id().alias("uid"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
+        F.xxhash64(text_or_empty(F.col("text"))).alias("text_hash"),
         text_or_empty(F.col("text")).alias("text"),
     )
     counts = ", ".join(f"{k} long" for k in STATS)
-    return rows.mapInArrow(giving_back(run), f"uid long, doc_id long, source string, {counts}, lines array<struct<h: long, w: long>>")
+    return rows.mapInArrow(giving_back(run), f"uid long, doc_id long, source string, text_hash long, {counts}, lines array<struct<h: long, w: long>>")
 
 
 def frequent_lines(stats: DataFrame) -> DataFrame:
@@ -126,33 +131,58 @@ def frequent_lines(stats: DataFrame) -> DataFrame:
     hosts = stats.groupBy(F.col("source").alias("name")).agg(F.count("*").alias("docs"))
     lines = stats.select(F.col("source").alias("host"), F.explode("lines.h").alias("h"))
     held = lines.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > LINE_DOCS)
-    return held.join(hosts, F.col("host").eqNullSafe(F.col("name"))).where(F.col("n") * 100 > F.col("docs") * LINE_PERCENT).select("host", "h")
+    often = (F.col("n") * 100 > F.col("docs") * LINE_PERCENT) | (F.col("n") > LINE_MOST)
+    return held.join(hosts, F.col("host").eqNullSafe(F.col("name"))).where(often).select("host", "h")
 
 
-def quality_report(docs: DataFrame) -> DataFrame:
-    """doc_id, the counts, base_failed and kept: one row for each document."""
+def _judged(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Statistics with n_removed, base_failed and kept, and the lines (uid, h) that are boilerplate."""
     bound_batches(docs.sparkSession)
     stats = materialize(line_statistics(docs), "line-statistics")
     frequent = materialize(frequent_lines(stats), "frequent-lines")
     lines = stats.select("uid", "source", F.explode("lines").alias("line")).select("uid", "source", "line.h", "line.w")
-    removed = (
-        lines.join(frequent.withColumnRenamed("h", "often"), (F.col("h") == F.col("often")) & F.col("source").eqNullSafe(F.col("host")))
-        .groupBy("uid")
-        .agg(F.sum("w").alias("removed"))
-    )
+    often = lines.join(frequent.withColumnRenamed("h", "often"), (F.col("h") == F.col("often")) & F.col("source").eqNullSafe(F.col("host")))
+    removed = often.groupBy("uid").agg(F.sum("w").alias("removed"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return (
-        stats.drop("lines", "source")
-        .join(removed, "uid", "left")
-        .withColumn("n_removed", F.coalesce("removed", F.lit(0)))
-        .select(
-            "doc_id",
-            *STATS,
-            "n_removed",
-            failed.alias("base_failed"),
-            (~failed & (2 * F.col("n_removed") <= F.col("n_words"))).alias("kept"),
-        )
+    judged = stats.drop("lines").join(removed, "uid", "left").withColumn("n_removed", F.coalesce("removed", F.lit(0)))
+    judged = judged.withColumn("base_failed", failed).withColumn("kept", ~failed & (2 * F.col("n_removed") <= F.col("n_words")))
+    return judged, often.select("uid", "h")
+
+
+def quality_report(docs: DataFrame) -> DataFrame:
+    """doc_id, the counts, base_failed and kept: one row for each document."""
+    return _judged(docs)[0].select("doc_id", *STATS, "n_removed", "base_failed", "kept")
+
+
+def strip_lines(docs: DataFrame) -> DataFrame:
+    """The documents that are kept, without their boilerplate lines; columns of ``docs``, n_chars follows the text.
+
+    What is removed depends on host and text alone, so rows are told apart by these. A document's list of
+    removed lines is no longer than its text.
+    """
+    judged, often = _judged(docs)
+    gone = often.groupBy("uid").agg(F.collect_set("h").alias("gone"))
+    kept = judged.where("kept").join(gone, "uid", "left").groupBy("source", "text_hash").agg(F.first("gone").alias("gone"))
+    kept = materialize(kept.select(F.col("source").alias("host"), "text_hash", "gone"), "kept-texts")
+
+    def without(text: str, lines: frozenset[int]) -> str:
+        return "\n".join(x for x in text.split("\n") if normal_line_hash(x.encode()) not in lines) if lines else text
+
+    @F.arrow_udf("string")
+    def cut(texts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for text, gone in texts:
+            pairs = zip(text.to_pylist(), gone.to_pylist(), strict=True)
+            yield pa.array([without(t, frozenset(g or ())) for t, g in pairs], pa.string())
+
+    rows = docs.select(
+        F.struct("*").alias("row"), F.col("source").cast("string").alias("own"), F.xxhash64(text_or_empty(F.col("text"))).alias("own_hash")
     )
+    rows = rows.join(kept, F.col("own").eqNullSafe(F.col("host")) & (F.col("own_hash") == F.col("text_hash")))
+    rows = rows.withColumn("cut", F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(cut(text_or_empty(F.col("row.text")), "gone")))
+    row = F.col("row").withField("text", F.col("cut"))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.length("cut").cast(docs.schema["n_chars"].dataType))
+    return rows.select(row.alias("row")).select("row.*")
 
 
 ORACLE_SQL = r"""
@@ -170,7 +200,7 @@ ln AS (SELECT uid, source, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+
 dl AS (SELECT uid, count(*) - count(DISTINCT line) AS n FROM ln WHERE nw > 0 GROUP BY uid),
 host AS (SELECT source AS name, count(*) AS docs FROM d GROUP BY source),
 f AS (SELECT source AS host, norm AS often FROM (SELECT source, norm, count(DISTINCT uid) AS n FROM ln WHERE nw > 0 GROUP BY ALL)
-      JOIN host ON source IS NOT DISTINCT FROM name WHERE n > 10 AND n * 100 > docs),
+      JOIN host ON source IS NOT DISTINCT FROM name WHERE n > 10 AND (n * 100 > docs OR n > 1000)),
 r AS (SELECT uid, sum(nw) AS n FROM ln JOIN f ON norm = often AND source IS NOT DISTINCT FROM host GROUP BY uid),
 s AS (SELECT uid, doc_id, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS n_words,
              length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,

@@ -5,8 +5,10 @@ import re
 import timeit
 from collections import Counter, defaultdict
 
+import numpy as np
+
 from lodestream.llm.html_extract import Page, content_paths, extract_pages, main_text
-from lodestream.llm.quality_rules import quality_report
+from lodestream.llm.quality_rules import _analyse, quality_report, strip_lines
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -113,7 +115,7 @@ def plain_report(rows):
     for _, t, s in rows:
         for h in {norm(x) for x in (t or "").split("\n")} - {""}:
             held[s, h] += 1
-    often = {k for k, n in held.items() if n > 10 and n * 100 > hosts[k[0]]}
+    often = {k for k, n in held.items() if n > 10 and (n * 100 > hosts[k[0]] or n > 1000)}
     out = []
     for d, t, s in rows:
         t = t or ""
@@ -136,3 +138,21 @@ def test_quality_rules(spark):
     out = [tuple(r) for r in quality_report(df).collect()]
     assert sorted(out, key=repr) == plain_report(rows)
     assert any(r[-3] for r in out) and quality_report(df.limit(0)).collect() == []
+
+
+def test_boilerplate_lines_are_removed(spark):
+    body = lambda i: " ".join(f"x{i}y{j}" for j in range(55))
+    rows = [(i, f"Shared  LINE\n{body(i)}\nshared line", "h", 1) for i in range(30)] + [(50, f"shared line\n{body(50)}", None, 1), (51, "shared line\n" * 80, "h", 1), (52, None, "h", 1)]
+    rows += [(100 + i, f"top\n{body(i)}", "big", 1) for i in range(1001)] + [(5000 + i, body(5000 + i), "big", 1) for i in range(150_000 // 500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")
+    out = {r.doc_id: r for r in strip_lines(df).collect()}
+    assert strip_lines(df).columns == df.columns and set(out) == {r[0] for r in rows} - {51, 52}
+    assert all(out[i].text == body(i) and out[i].n_chars == len(body(i)) for i in range(30))
+    assert out[50].text == rows[30][1] and out[100].text == body(0) and out[5000].text == body(5000)
+
+
+def test_many_distinct_words_do_not_collide():
+    words = [f"{i:x}" for i in range(1 << 22)]
+    text = " ".join([*words, words[5], words[7], words[9], words[5 + (1 << 20)], words[7], words[9]]).encode()
+    stats, _ = _analyse(np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)]))
+    assert stats["n_words"][0] == (1 << 22) + 6 and stats["n_repeat_words"][0] == 0
