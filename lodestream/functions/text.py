@@ -5,9 +5,13 @@ White space is what Python's ``str.split`` takes for it, which neither Java's ``
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestream.functions.scan import let, running_state
+
 #: The white-space characters.
 WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _WS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
@@ -122,40 +126,72 @@ def heading_level(line: Column, at_boundary: Column, next_line: Column) -> Colum
 def promote_headings(c: Column) -> Column:
     """Heading lines of a text without Markdown headings get their marks.
 
-    A fold over the lines, since whether a line is a heading depends on what the line before became.
+    Whether a line is a heading depends on what the line before became: a machine of two states.
     """
-    state = "struct<out:array<string>,boundary:boolean>"
     lines = F.split(c, "\n")
-    numbered = F.transform(lines, lambda x, i: F.struct(x.alias("line"), F.coalesce(F.get(lines, i + 1), F.lit("")).alias("next")))
 
-    def step(acc: Column, x: Column) -> Column:
-        line = x["line"]
-        bare = strip(line)
-        level = heading_level(line, acc["boundary"], x["next"])
-        ends = F.substring(bare, -1, 1).isin(*BOUNDARY) | bare.rlike(f"(?U){DATA_END}")
-        marker = line.rlike(PAGE_MARKER)
-        promoted = ~marker & level.isNotNull()
-        out = F.when(promoted, F.concat(F.repeat(F.lit("#"), level), F.lit(" "), bare)).otherwise(line)
-        boundary = marker | (bare == "") | promoted | ends
-        return F.struct(F.concat(acc["out"], F.array(out)).alias("out"), F.coalesce(boundary, F.lit(False)).alias("boundary")).cast(state)
+    def bounds(x: Column) -> Column:
+        bare = strip(x)
+        return x.rlike(PAGE_MARKER) | (bare == "") | F.substring(bare, -1, 1).isin(*BOUNDARY) | bare.rlike(f"(?U){DATA_END}")
+
+    def marked(lines: Column) -> Column:
+        def level(x: Column, i: Column, boundary: bool) -> Column:
+            below = F.coalesce(F.get(lines, i + 1), F.lit(""))
+            return F.when(~x.rlike(PAGE_MARKER), heading_level(x, F.lit(boundary), below))
+
+        def facts(x: Column, i: Column) -> Column:
+            return F.struct(x.alias("x"), level(x, i, False).alias("f"), level(x, i, True).alias("t"), bounds(x).alias("e"))
+
+        return let(F.transform(lines, facts), lambda rows: F.array_join(F.zip_with(rows, before(rows), written), "\n"))
 
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(True).alias("boundary")).cast(state)
-    folded = F.aggregate(numbered, start, step, lambda acc: F.array_join(acc["out"], "\n"))
-    return F.when((c == "") | is_markdown(c), c).otherwise(folded)
+    def before(rows: Column) -> Column:
+        after = [F.transform(rows, lambda r: r["e"] | r["f"].isNotNull()), F.transform(rows, lambda r: r["e"] | r["t"].isNotNull())]
+        return F.concat(F.array(F.lit(True)), F.slice(running_state(*after, True), F.lit(1), F.size(rows) - 1))
+
+    def written(r: Column, boundary: Column) -> Column:
+        v = F.when(boundary, r["t"]).otherwise(r["f"])
+        return F.when(v.isNotNull(), F.concat(F.repeat(F.lit("#"), v), F.lit(" "), strip(r["x"]))).otherwise(r["x"])
+
+    return F.when((c == "") | is_markdown(c), c).otherwise(let(lines, marked))
 
 
 def unwrap_lines(c: Column) -> Column:
     """Joins a line to the one before if that was cut at the page's width: 30 characters or more, no end
-    of sentence, neither of the two a table, page marker, heading or list item."""
+    of sentence, neither of the two a table, page marker, heading or list item.
+
+    What was joined is long enough and begins as it did, so a machine of two states (joined or not) decides.
+    """
+    lines = F.split(c, "\n")
+
+    def runs_on(x: Column) -> Column:
+        return ~F.substring(strip(x), -1, 1).isin(*BOUNDARY)
+
+    def open_(x: Column) -> Column:
+        bare = strip(x)
+        return (F.length(bare) >= 30) & runs_on(x) & ~bare.startswith("|") & ~bare.rlike(PAGE_MARKER)
+
+    def goes_on(x: Column) -> Column:
+        bare = strip(x)
+        return (bare != "") & ~F.substring(bare, 1, 1).isin("#", "|") & ~bare.rlike(PAGE_MARKER) & ~bare.rlike(f"(?U){LIST_ITEM}")
+
+    def facts(x: Column) -> Column:
+        return F.struct(x.alias("x"), goes_on(x).alias("on"), open_(x).alias("open"), runs_on(x).alias("runs"))
+
+    def behind(rows: Column, test: str) -> Column:
+        return F.transform(rows, lambda r, i: F.when(i > 0, r["on"] & F.get(rows, i - 1)[test]).otherwise(False))
+
+    def put_together(rows: Column, joined: Column) -> Column:
+        def piece(r: Column, i: Column) -> Column:
+            on, more = F.get(joined, i), F.coalesce(F.get(joined, i + 1), F.lit(False))
+            body = F.when(on, strip(r["x"])).when(more, F.regexp_replace(r["x"], rf"{_WS}+\z", "")).otherwise(r["x"])
+            return F.concat(F.when(on, "").otherwise("\n"), body)
+
+        return F.substring(F.array_join(F.transform(rows, piece), ""), 2, (1 << 31) - 1)
 
-    def step(acc: Column, line: Column) -> Column:
-        bare, prev = strip(line), strip(F.element_at(acc, -1))
-        open_ = (F.length(prev) >= 30) & ~F.substring(prev, -1, 1).isin(*BOUNDARY) & ~prev.startswith("|") & ~prev.rlike(PAGE_MARKER)
-        goes_on = (bare != "") & ~F.substring(bare, 1, 1).isin("#", "|") & ~bare.rlike(PAGE_MARKER) & ~bare.rlike(f"(?U){LIST_ITEM}")
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(F.regexp_replace(F.element_at(acc, -1), rf"{_WS}+\z", ""), bare)))
-        return F.when(F.size(acc) == 0, F.array(line)).when(open_ & goes_on, joined).otherwise(F.concat(acc, F.array(line)))
+    def all_lines(rows: Column) -> Column:
+        return let(running_state(behind(rows, "open"), behind(rows, "runs"), False), lambda joined: put_together(rows, joined))
 
-    return F.aggregate(F.split(c, "\n"), F.array().cast("array<string>"), step, lambda acc: F.array_join(acc, "\n"))
+    return let(F.transform(lines, facts), all_lines)
 
 
 def render_table(rows: Column) -> Column:

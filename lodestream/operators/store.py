@@ -5,10 +5,10 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestream.functions.text import blank, dedup_key, mirror_path, source_key
+from lodestream.functions.text import blank, dedup_key, mirror_path, source_key, source_key_variants
 from lodestream.operators.dedup import first_per_key
 
 CHUNK_SCHEMA = (
@@ -41,7 +41,12 @@ def prune(store: DataFrame, incoming_sources: DataFrame) -> tuple[DataFrame, Dat
 
 
 def upsert(store: DataFrame | None, incoming: DataFrame, incremental: bool = True) -> DataFrame:
-    """The store after a batch: sources of the batch replaced, or the batch alone if not incremental."""
+    """The store after a batch: sources of the batch replaced, or the batch alone if not incremental.
+
+    A batch without chunks is an error: it would leave an index of nothing, or silently drop sources.
+    """
+    if incoming.isEmpty():
+        raise ValueError("no chunks to add")
     if store is None or not incremental:
         return incoming
     return prune(store, incoming.select("source").distinct())[0].unionByName(incoming)
@@ -114,10 +119,22 @@ def audit_rows(store: DataFrame) -> DataFrame:
     )
 
 
-def replace_audit(audit: DataFrame, incoming: DataFrame, incremental: bool = True) -> DataFrame:
+def replace_audit(audit: DataFrame, incoming: DataFrame, incremental: bool = True, root: str = "/") -> DataFrame:
+    """Audit rows after a batch: those of its sources go, under any spelling of their keys."""
     if not incremental:
         return incoming
-    return audit.join(incoming.select("source").distinct(), "source", "left_anti").unionByName(incoming)
+    gone = incoming.select(F.explode(source_key_variants(F.col("source"), root)).alias("source")).distinct()
+    return audit.join(gone, "source", "left_anti").unionByName(incoming)
+
+
+def mirror_listing(store: DataFrame, data_root: str = "") -> DataFrame:
+    """(path, records): the mirror's files and how many records each holds, by path."""
+    return store.groupBy(mirror_path(F.col("source"), data_root).alias("path")).agg(F.count("*").alias("records")).orderBy("path")
+
+
+def mirror_detail(store: DataFrame, path: str, data_root: str = "") -> DataFrame:
+    """The chunks that one file of the mirror holds, in order."""
+    return store.where(mirror_path(F.col("source"), data_root) == path).orderBy("ingest_seq")
 
 
 def chunks_per_source(store: DataFrame) -> DataFrame:
@@ -155,6 +172,26 @@ def client_filter(df: DataFrame, query: str, *columns: str) -> DataFrame:
     return df.where(F.contains(text, F.lit(query.strip().lower())))
 
 
+def preview_parts(parts: DataFrame, key: str, order: str, label: str, max_chars: int = 120_000) -> DataFrame:
+    """(key, preview, truncated): a file's parts (text, with ``label``) under headers, within a running budget.
+
+    A part that does not fit whole is cut where the budget ends, and nothing follows it; blank lines between
+    parts count. Only parts that begin within the budget are gathered, so a preview is bounded.
+    """
+    w = Window.partitionBy(key).orderBy(order)
+    name = blank(F.col(label))
+    head = F.concat(F.lit("--- part "), F.row_number().over(w), F.when(name != "", F.concat(F.lit(" (page="), name, F.lit(")"))).otherwise(""), F.lit(" ---\n"))
+    blocks = parts.select(F.col(key), F.col(order).alias("nth"), F.concat(head, blank(F.col("text"))).alias("block"))
+    running = Window.partitionBy(key).orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    placed = blocks.withColumn("end", F.sum(F.length("block") + 2).over(running) - 2)
+    placed = placed.withColumns({"left": max_chars - (F.col("end") - F.length("block")), "over": F.col("end") > max_chars})
+    kept = placed.where("left > 0").withColumn("block", F.expr("substring(block, 1, CAST(left AS INT))"))
+    shown = kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("nth", "block"))).alias("rows"))
+    cut = placed.groupBy(key).agg(F.max("over").alias("truncated"))
+    text = F.array_join(F.transform("rows", lambda r: r["block"]), "\n\n")
+    return cut.join(shown, key).select(key, text.alias("preview"), "truncated")
+
+
 def preview(docs: DataFrame, max_chars: int = 120_000) -> DataFrame:
     text = blank(F.col("text"))
     return docs.withColumns({"preview": F.substring(text, 1, max_chars), "truncated": F.length(text) > max_chars})

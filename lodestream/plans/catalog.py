@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lodestream.plans import dialogue_queries, retrieval_queries, store_queries, text_queries
+from lodestream.plans import dialogue_queries, retrieval_queries, session_queries, store_queries, text_queries
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (text_queries, retrieval_queries, store_queries, dialogue_queries):
+for _module in (text_queries, retrieval_queries, store_queries, dialogue_queries, session_queries):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

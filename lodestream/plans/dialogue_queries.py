@@ -58,9 +58,23 @@ def pending_asks(spark: SparkSession, d: str) -> DataFrame:
     return dialogue.pending_ask(_log(spark, d))
 
 
-@register()
+def _last(table: str, value: str, n: int, name: str) -> str:
+    return f"""{name}_ AS (SELECT visitor, string_agg({value}, '|' ORDER BY seq) AS {name} FROM
+      (SELECT *, row_number() OVER (PARTITION BY visitor ORDER BY seq DESC) AS nth FROM {table}) WHERE nth <= {n} GROUP BY visitor)"""
+
+
+@register(
+    f"""WITH {_LOG}, f AS (SELECT * FROM (SELECT *, lag(text) OVER (PARTITION BY visitor ORDER BY seq) AS b FROM a WHERE text <> '') WHERE b IS NULL OR b <> text),
+    w AS (SELECT * FROM v WHERE reply IS NOT NULL AND ask IS NOT NULL), {_last("u", "text", 8, "utterances")}, {_last("w", "ask || ' -> ' || reply", 6, "answered")}, {_last("f", "text", 6, "recent")},
+    k AS (SELECT visitor, max(seq) AS said FROM u GROUP BY visitor),
+    n AS (SELECT visitor, arg_max(text, seq) AS pending FROM a LEFT JOIN k USING (visitor) GROUP BY visitor, said HAVING said IS NULL OR max(seq) > said)
+    SELECT visitor, utterances, answered, recent, pending FROM (SELECT DISTINCT visitor FROM l) LEFT JOIN utterances_ USING (visitor)
+      LEFT JOIN answered_ USING (visitor) LEFT JOIN recent_ USING (visitor) LEFT JOIN n USING (visitor)"""
+)
 def visitor_memory(spark: SparkSession, d: str) -> DataFrame:
-    return dialogue.memory(_log(spark, d))
+    memory = dialogue.memory(_log(spark, d))
+    pairs = F.transform("answered", lambda p: F.concat(p["ask"], F.lit(" -> "), p["reply"]))
+    return memory.select("visitor", F.array_join("utterances", "|").alias("utterances"), F.array_join(pairs, "|").alias("answered"), F.array_join("recent", "|").alias("recent"), "pending")
 
 
 _TURNS = """e AS (SELECT user_id AS session, event_id AS seq, CASE WHEN event_type IN ('click', 'view') AND event_id % 3 = 0 THEN [event_type] END AS detected,

@@ -75,12 +75,40 @@ def heading_candidates(spark: SparkSession, d: str) -> DataFrame:
     return lines.select("doc_id", F.col("pos").cast("long").alias("pos"), "line", text.heading_level(F.col("line"), F.col("boundary"), F.col("next")).alias("level"))
 
 
-@register()
+#: A line's state follows from the line before unless it is sure: it is on if one since the last break is sure.
+_ON = "max(CAST(sure AS INTEGER)) OVER (PARTITION BY doc_id, run ORDER BY i ROWS UNBOUNDED PRECEDING) = 1"
+_RUN = "sum(CAST(NOT (sure OR carries) AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run"
+_LINES = f"l AS (SELECT doc_id, i, line, {sql_strip('line')} AS bare FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, 1 + len(string_split(text, chr(10))))) AS i FROM documents))"
+
+
+@register(
+    rf"""WITH {_LINES},
+    n AS (SELECT *, regexp_matches(line, '^\[\[PAGE=\d+\]\]\s*$') AS marker,
+      length(bare) BETWEEN 1 AND 40 AND substr(bare, 1, 1) NOT IN ('#', '|') AND NOT regexp_matches(bare, '^\s*([-*•·]|\d+[.、）)])\s+') AND NOT regexp_matches(bare, '[。！？，；、!?,;…]$') AS possible,
+      length(bare) <= 20 AND len(regexp_split_to_array(bare, '\s+')) <= 2 AND coalesce(lead(bare) OVER (PARTITION BY doc_id ORDER BY i), '') <> ''
+        AND NOT regexp_matches(bare, '[。，；：,;:]') AND NOT regexp_matches(bare, '^[\d\s.%-]+$') AS short,
+      CASE WHEN regexp_matches(bare, '^\d+\.\d+\.\d+(?:[\s、.．]|$)') THEN 4 WHEN regexp_matches(bare, '^\d+\.\d+(?:[\s、.．]|$)') THEN 3 END AS numbered FROM l),
+    m AS (SELECT *, CASE WHEN NOT marker AND possible THEN numbered END AS lf, CASE WHEN NOT marker AND possible THEN coalesce(numbered, CASE WHEN short THEN 2 END) END AS lt FROM n),
+    e AS (SELECT doc_id, i, marker OR bare = '' OR regexp_matches(bare, '[。！？!?…；;：]$') OR regexp_matches(bare, '\d+(?:\.\d+)?\s*[a-zA-Z%‰°℃入万亿元件个条款]{{0,6}}$') OR lf IS NOT NULL AS sure, lt IS NOT NULL AS carries FROM m
+      UNION ALL SELECT doc_id, 0, true, false FROM documents),
+    r AS (SELECT *, {_RUN} FROM e), b AS (SELECT doc_id, i + 1 AS i, {_ON} AS boundary FROM r),
+    o AS (SELECT doc_id, string_agg(CASE WHEN CASE WHEN boundary THEN lt ELSE lf END IS NULL THEN line ELSE repeat('#', CASE WHEN boundary THEN lt ELSE lf END) || ' ' || bare END, chr(10) ORDER BY i) AS t FROM m JOIN b USING (doc_id, i) GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN text = '' OR len(regexp_extract_all(text, '(?m)^#{{1,6}}\s+\S')) >= 2 THEN text ELSE t END AS promoted FROM documents JOIN o USING (doc_id)"""
+)
 def promoted_headings(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", text.promote_headings(F.col("text")).alias("promoted"))
 
 
-@register()
+@register(
+    rf"""WITH {_LINES},
+    n AS (SELECT *, NOT regexp_matches(bare, '[。！？!?…；;：]$') AS runs, regexp_matches(bare, '^\[\[PAGE=\d+\]\]\s*$') AS marker FROM l),
+    m AS (SELECT *, runs AND length(bare) >= 30 AND NOT starts_with(bare, '|') AND NOT marker AS opens,
+      bare <> '' AND substr(bare, 1, 1) NOT IN ('#', '|') AND NOT marker AND NOT regexp_matches(bare, '^\s*([-*•·]|\d+[.、）)])\s+') AS goes FROM n),
+    e AS (SELECT *, coalesce(goes AND lag(opens) OVER w, false) AS sure, coalesce(goes AND lag(runs) OVER w, false) AS carries FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    r AS (SELECT *, {_RUN} FROM e), j AS (SELECT *, {_ON} AS joined FROM r),
+    k AS (SELECT *, coalesce(lead(joined) OVER (PARTITION BY doc_id ORDER BY i), false) AS more FROM j)
+    SELECT doc_id, substr(string_agg(CASE WHEN joined THEN bare WHEN more THEN chr(10) || regexp_replace(line, '\s+$', '') ELSE chr(10) || line END, '' ORDER BY i), 2) AS unwrapped FROM k GROUP BY doc_id"""
+)
 def unwrapped_lines(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", text.unwrap_lines(F.col("text")).alias("unwrapped"))
 
