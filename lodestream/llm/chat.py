@@ -16,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.llm.text import running, text_or_empty
+from lodestream.functions.scan import running
+from lodestream.llm.text import text_or_empty
 
 START, END = "<|im_start|>", "<|im_end|>"
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,18 +16,3 @@ def text_or_empty(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     return F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long")
-
-
-def running(values: Column, combine: Callable[[Column, Column], Column], neutral: Column) -> Column:
-    """Array of ``values`` combined from the first up to each, by doubling.
-
-    n log n steps: a fold that appends would copy what it has at each of n.
-    """
-    n = F.size(values)
-    steps = F.filter(F.array(*[F.lit(1 << i) for i in range(31)]), lambda k: k < n)
-
-    def step(acc: Column, k: Column) -> Column:
-        before = F.concat(F.array_repeat(neutral, k), F.slice(acc, F.lit(1), n - k))
-        return F.zip_with(acc, before, combine)
-
-    return F.aggregate(steps, values, step)
