@@ -8,8 +8,9 @@ one run of words cut into blocks; a quota of q out of n blocks takes all of them
 q mod n of them once more, chosen from a seeded start at even steps over that order.
 
 Only (doc_id, source, size) rows are shuffled for the plan. Sources are split into up to
-``MAX_SHARDS`` shards of about ``SHARD_WORDS`` words, so a hot source is spread; the driver gets one
-row for each source.
+``MAX_SHARDS`` shards of about ``SHARD_WORDS`` words, so a hot source is spread. Sources stay a table: the
+level to which targets rise and the divisor that deals out the blocks are found by sums over it, so the
+driver gets a few numbers, however many sources there are.
 
 Defined results: null and empty texts have size 0 and are never taken; a null source is a source
 of its own, after all others; a null doc_id is a value like any other; equal rows are placed one
@@ -24,7 +25,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestream.llm.text import WORD, word_count
@@ -38,27 +39,11 @@ SHARD_WORDS = 20_000
 MAX_SHARDS = 4096
 #: Sources beyond this many are joined by a shuffle, not broadcast.
 MAX_BROADCAST_SOURCES = 100_000
+#: Divisors tried at a time.
+DIVISORS = 32
 SEED = 17
 
 
-def targets(sizes: Sequence[int], weights: Sequence[float], budget: float, max_repeats: float) -> list[float]:
-    """Shares of ``budget`` by weight, none above its cap, the excess reshared by weight."""
-    caps = [max_repeats * n for n in sizes]
-    out, free, left = [0.0] * len(caps), set(range(len(caps))), float(budget)
-    while free:
-        total = sum(weights[i] for i in free)
-        over = {i for i in free if left * weights[i] / total >= caps[i]}
-        if not over:
-            for i in free:
-                out[i] = left * weights[i] / total
-            break
-        for i in sorted(over):
-            out[i] = float(caps[i])
-            left -= caps[i]
-        free -= over
-    return out
-
-
 def sainte_lague(votes: Sequence[float], seats: int) -> list[int]:
     """Seats by highest quotients votes / (2 q + 1); ties go to the earlier party.
 
@@ -84,21 +69,89 @@ def sainte_lague(votes: Sequence[float], seats: int) -> list[int]:
     return won.tolist()
 
 
+def _ranked(rows: DataFrame) -> DataFrame:
+    """(source, source_size, rank): sources by code point, null last, numbered along a sort."""
+    held = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    held = held.orderBy(F.col("source").isNull(), "source").withColumn("at", F.monotonically_increasing_id())
+    held = materialize(held.withColumn("part", F.expr("shiftright(at, 33)")), "mix-held")
+    begin, first = 0, []
+    for r in sorted(held.groupBy("part").count().collect()):  # one for each partition of the sort
+        first.append((r["part"], begin))
+        begin += r["count"]
+    first = F.broadcast(rows.sparkSession.createDataFrame(first, "part long, first long"))
+    return held.join(first, "part").select("source", "source_size", (F.col("first") + F.expr("at & 8589934591L")).alias("rank"))
+
+
+def _level(sources: DataFrame, budget: float) -> float | None:
+    """How much a weight of one gets where no cap is in the way; none if all caps are reached.
+
+    The excess of capped sources lifts the level for others until none is above its cap.
+    """
+    level, n_over = 0.0, -1
+    while True:
+        over = F.col("cap") <= F.col("weight") * level
+        n, caps, weights = sources.agg(
+            F.sum(over.cast("long")), F.sum(F.when(over, F.col("cap")).otherwise(0.0)), F.sum(F.when(over, 0.0).otherwise(F.col("weight")))
+        ).first()
+        if not weights:
+            return None
+        if n == n_over:
+            return level
+        n_over, level = n, (budget - caps) / weights
+
+
+def _dealt(sources: DataFrame, seats: int) -> DataFrame:
+    """Adds blocks, by highest quotients target / (2 q + 1): Sainte-Lague over a table.
+
+    A divisor that deals out no more than the seats is found by sums for some divisors at a time; what is
+    then left goes to the next highest quotients, ties to the lesser rank.
+    """
+
+    def won(divisor: float) -> Column:
+        return F.floor(F.col("target") / divisor + 0.5)
+
+    most = sources.agg(F.max("target")).first()[0] or 0.0
+    if seats <= 0 or most <= 0:
+        return sources.withColumn("blocks", F.lit(0).cast("long"))
+    low, high, given = 0.0, 2 * most + 1, 0
+    while given < seats and high - low > 1e-12 * high:
+        start = max(low, high / 2**DIVISORS)
+        tried = [start + (high - start) * k / (DIVISORS + 1) for k in range(1, DIVISORS + 1)]
+        sums = list(sources.agg(*[F.sum(won(x)) for x in tried]).first())
+        fits = [k for k, n in enumerate(sums) if n <= seats]
+        if fits:
+            high, given = tried[fits[0]], sums[fits[0]]
+            low = tried[fits[0] - 1] if fits[0] else start
+        else:
+            low = tried[-1]
+    dealt = sources.withColumn("blocks", won(high).cast("long"))
+    if given == seats:
+        return dealt
+    following = (F.col("target") / (2 * F.col("blocks") + 1)).desc()
+    last = dealt.where("target > 0").orderBy(following, "rank").limit(int(seats - given)).select(F.col("rank").alias("lucky"))
+    dealt = dealt.join(last, F.col("rank") == F.col("lucky"), "left")
+    return dealt.withColumn("blocks", F.col("blocks") + F.col("lucky").isNotNull().cast("long")).drop("lucky")
+
+
+def _sources(rows: DataFrame) -> DataFrame:
+    """(source, rank, source_size, target, blocks, shards)."""
+    weights = F.array(*[F.lit(float(w)) for w in WEIGHTS])
+    sources = _ranked(rows).withColumns(
+        {"weight": F.get(weights, (F.col("rank") % len(WEIGHTS)).cast("int")), "cap": (MAX_REPEATS * F.col("source_size")).cast("double")}
+    )
+    sources = materialize(sources, "mix-ranked")
+    level = _level(sources, BUDGET * (sources.agg(F.sum("source_size")).first()[0] or 0))
+    goal = F.col("cap") if level is None else F.least("cap", F.col("weight") * level)
+    sources = materialize(sources.withColumn("target", goal), "mix-targets")
+    dealt = _dealt(sources, round((sources.agg(F.sum("target")).first()[0] or 0.0) / BLOCK_WORDS))
+    shards = F.expr(f"CAST(greatest(1, least({MAX_SHARDS}, ceil(source_size / {SHARD_WORDS}))) AS INT)")
+    return materialize(dealt.select("source", "rank", "source_size", "target", "blocks", shards.alias("shards")), "mix-sources")
+
+
 def _plan(rows: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
     """For rows with source and size: per source (rank, target, shards), per shard its quota."""
-    held = rows.groupBy("source").agg(F.sum("size").alias("size")).collect()
-    held.sort(key=lambda r: (r.source is None, r.source or ""))
-    sizes = [r["size"] for r in held]
-    total = sum(sizes)
-    goal = targets(sizes, [WEIGHTS[i % len(WEIGHTS)] for i in range(len(held))], BUDGET * total, MAX_REPEATS)
-    blocks = sainte_lague(goal, round(sum(goal) / BLOCK_WORDS))
-    table = [
-        (r.source, i, n, t, b, max(1, min(MAX_SHARDS, -(-n // SHARD_WORDS))))
-        for i, (r, n, t, b) in enumerate(zip(held, sizes, goal, blocks, strict=True))
-    ]
-    schema = "source string, rank int, source_size long, target double, blocks long, shards int"
-    sources = rows.sparkSession.createDataFrame(table, schema)
-    placed = _place(rows, sources, len(table), seed)
+    sources = _sources(rows)
+    placed = _place(rows, sources, sources.count(), seed)
 
     def quotas(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("shard", ignore_index=True)
@@ -107,7 +160,7 @@ def _plan(rows: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
         return pdf.assign(n=n, quota=won)[["rank", "shard", "n", "quota"]]
 
     shard_words = placed.groupBy("rank", "shard").agg(F.sum("size").alias("words"), F.first("blocks").alias("blocks"))
-    quota = shard_words.groupBy("rank").applyInPandas(quotas, "rank int, shard long, n long, quota long")
+    quota = shard_words.groupBy("rank").applyInPandas(quotas, "rank long, shard long, n long, quota long")
     return sources, materialize(quota, "mix-quotas")
 
 

@@ -4,12 +4,30 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from lodestream.llm.mixing import BLOCK_WORDS, mix_sources, mixing_report, sainte_lague, targets
+from lodestream.llm.mixing import BLOCK_WORDS, _dealt, mix_sources, mixing_report, sainte_lague
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, source string, n_chars long, key int, size string, rank string"
 
 
+def targets(sizes, weights, budget, max_repeats):
+    """Shares of ``budget`` by weight, none above its cap, the excess reshared by weight."""
+    caps = [max_repeats * n for n in sizes]
+    out, free, left = [0.0] * len(caps), set(range(len(caps))), float(budget)
+    while free:
+        total = sum(weights[i] for i in free)
+        over = {i for i in free if left * weights[i] / total >= caps[i]}
+        if not over:
+            for i in free:
+                out[i] = left * weights[i] / total
+            break
+        for i in sorted(over):
+            out[i] = float(caps[i])
+            left -= caps[i]
+        free -= over
+    return out
+
+
 def plain_sainte_lague(votes, seats):
     won = [0] * len(votes)
     for _ in range(seats if sum(votes) else 0):
@@ -26,6 +44,31 @@ def test_seats_match_dealing_one_by_one(seed):
     assert sainte_lague(votes, seats) == plain_sainte_lague(votes, seats)
 
 
+def test_seats_over_a_table(spark):
+    rng = np.random.default_rng(7)
+    for votes, seats in (
+        ([float(x) for x in rng.integers(0, 500, 40)], 333),
+        ([5.0, 5.0, 5.0], 4),
+        ([float(x) for x in rng.integers(1, 1 << 50, 300)], 10_000),
+        ([16.0] * 50, 25),
+        ([0.0, 0.0], 3),
+        ([7.0], 3),
+    ):
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(votes)], "rank long, target double")
+        got = [r.blocks for r in _dealt(df, seats).orderBy("rank").collect()]
+        assert got == sainte_lague(votes, seats), (votes[:3], seats)
+
+
+def test_many_sources(spark):
+    df = spark.range(3000).selectExpr("id AS doc_id", "repeat('w ', cast(1 + id % 97 as int)) AS text", "concat('http://', id) AS source")
+    rows = [(r.doc_id, r.text, r.source) for r in df.collect()]
+    out = mixing_report(df).collect()
+    sizes = [r.source_size for r in sorted(out, key=lambda r: rows[r.doc_id][2])]
+    goal = targets(sizes, [(3, 1, 2)[i % 3] for i in range(3000)], 1.5 * sum(sizes), 2)
+    assert [r.target for r in sorted(out, key=lambda r: rows[r.doc_id][2])] == pytest.approx(goal)
+    assert all(abs(r.taken - r.target) <= 4 * BLOCK_WORDS and r.taken <= 2 * r.size for r in out)
+
+
 def test_seats_with_ties_and_nothing():
     assert sainte_lague([5.0, 5.0, 5.0], 4) == [2, 1, 1]
     assert sainte_lague([], 3) == [] and sainte_lague([0.0], 3) == [0]
