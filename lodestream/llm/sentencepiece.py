@@ -13,8 +13,7 @@ are remembered in a bounded table.
 For a unigram model the path with the greatest sum of scores wins. In a model trained as BPE a
 score is the rank of a merge, and the pieces of a text are those that the merges leave. There a piece
 relaxes its end only if the merges leave it and the piece before it as they are when the two are put
-together; the piece that ends the merged form of a prefix is the only one of which this holds, so one
-path is left, and it is the one the library gives.
+together; the best path of such pieces is the one the library gives.
 
 A model is read from its file's bytes on the driver and broadcast (its size is checked).
 
@@ -213,20 +212,31 @@ class Codec:
         return tuple(ids)
 
     def merged(self, text: str) -> tuple[int, ...]:
-        """Ids of the one path of pieces that merges leave side by side.
+        """Ids of the best path of pieces that merges leave side by side.
 
-        The same pass as ``viterbi``; an end is settled by the first piece that stays beside the one
-        before it, so the shorter ones on the output links need not be looked at.
+        The same pass: every piece that ends at a position, by its own state or an output link, relaxes that
+        position's best score, unless merges would change it and the last piece of the path it goes on from.
         """
-        n, stays, joined = len(text), self._stays, self.joined
-        origin, by = list(range(-1, n)), [-1] * (n + 1)
-        settled = -1
-        for last, (size, _, i) in self.automaton.iter(text):
-            if last != settled:
-                start = last + 1 - size
+        n, low, unknown = len(text), float("-inf"), self.unknown_score
+        stays, joined = self._stays, self.joined
+        best, origin, by = [low] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        best[0], at = 0.0, 0
+        for last, (size, score, i) in self.automaton.iter(text):
+            end = last + 1
+            while at < end:  # positions that no piece ends at are reached by an unknown character
+                if at and best[at] == low:
+                    best[at], origin[at] = best[at - 1] + unknown, at - 1
+                at += 1
+            start = end - size
+            total = best[start] + score
+            if total > best[end]:
                 left = by[start]
                 if left < 0 or (known := joined.get(left << 32 | i)) or (known is None and stays(left, i)):
-                    origin[last + 1], by[last + 1], settled = start, i, last
+                    best[end], origin[end], by[end] = total, start, i
+        while at <= n:
+            if at and best[at] == low:
+                best[at], origin[at] = best[at - 1] + unknown, at - 1
+            at += 1
         return self._ids(text, origin, by)
 
     def encode(self, text: str) -> np.ndarray:
