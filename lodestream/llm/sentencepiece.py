@@ -44,8 +44,8 @@ from lodestream.storage import bound_batches
 BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
-#: Parts a worker remembers in each of two generations, and pairs of pieces: some 50 MB and 30 MB.
-MEMORY, PAIRS = 100_000, 250_000
+#: Parts a worker remembers in each of two generations, and pairs of pieces: some 80 MB and 30 MB.
+MEMORY, PAIRS = 160_000, 250_000
 MAX_MODEL_BYTES = 64 << 20
 MODEL_PATH = os.environ.get("LODESTREAM_SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 SLICE_CHARS = 1 << 20
@@ -220,23 +220,28 @@ class Codec:
         n, low, unknown = len(text), float("-inf"), self.unknown_score
         stays, joined = self._stays, self.joined
         best, origin, by = [low] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
-        best[0], at = 0.0, 0
+        best[0] = 0.0
+
+        def reach(at: int) -> None:
+            """A position that no piece ends at is reached by an unknown character."""
+            first = at
+            while best[first - 1] == low:
+                first -= 1
+            for k in range(first, at + 1):
+                best[k], origin[k] = best[k - 1] + unknown, k - 1
+
         for last, (size, score, i) in self.automaton.iter(text):
             end = last + 1
-            while at < end:  # positions that no piece ends at are reached by an unknown character
-                if at and best[at] == low:
-                    best[at], origin[at] = best[at - 1] + unknown, at - 1
-                at += 1
             start = end - size
+            if best[start] == low:
+                reach(start)
             total = best[start] + score
             if total > best[end]:
                 left = by[start]
                 if left < 0 or (known := joined.get(left << 32 | i)) or (known is None and stays(left, i)):
                     best[end], origin[end], by[end] = total, start, i
-        while at <= n:
-            if at and best[at] == low:
-                best[at], origin[at] = best[at - 1] + unknown, at - 1
-            at += 1
+        if best[n] == low:
+            reach(n)
         return self._ids(text, origin, by)
 
     def encode(self, text: str) -> np.ndarray:
