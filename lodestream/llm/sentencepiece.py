@@ -216,6 +216,7 @@ class Codec:
 
         The same pass: every piece that ends at a position, by its own state or an output link, relaxes that
         position's best score, unless merges would change it and the last piece of the path it goes on from.
+        Of the pieces that end at a position one at most is left so, and a score once set is the best.
         """
         n, low, unknown = len(text), float("-inf"), self.unknown_score
         stays, joined = self._stays, self.joined
@@ -232,14 +233,14 @@ class Codec:
 
         for last, (size, score, i) in self.automaton.iter(text):
             end = last + 1
+            if best[end] != low:
+                continue
             start = end - size
             if best[start] == low:
                 reach(start)
-            total = best[start] + score
-            if total > best[end]:
-                left = by[start]
-                if left < 0 or (known := joined.get(left << 32 | i)) or (known is None and stays(left, i)):
-                    best[end], origin[end], by[end] = total, start, i
+            left = by[start]
+            if left < 0 or (known := joined.get(left << 32 | i)) or (known is None and stays(left, i)):
+                best[end], origin[end], by[end] = best[start] + score, start, i
         if best[n] == low:
             reach(n)
         return self._ids(text, origin, by)
