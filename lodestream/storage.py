@@ -25,8 +25,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir, or set on the context.
 
-    Where neither is, a folder of our own: below the warehouse, which a cluster shares, or a temporary one
-    if all of Spark runs in this process.
+    Where neither is, a folder of our own: a temporary one if all of Spark runs in this process, else below
+    the warehouse, which must then be in a store that all executors share; a local path is refused.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -40,7 +40,10 @@ def shared_dir(spark: SparkSession) -> str:
         elif sc.master.split("[")[0] == "local":
             _own_dirs[app] = tempfile.mkdtemp(prefix="lodestream-")
         else:
-            _own_dirs[app] = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/lodestream-{app}"
+            warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+            if warehouse.split(":")[0] == "file" or ":" not in warehouse:
+                raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share; the warehouse, {warehouse}, is another disk on each node")
+            _own_dirs[app] = f"{warehouse}/lodestream-{app}"
     return _own_dirs[app]
 
 
@@ -60,8 +63,14 @@ def materialize(df: DataFrame, label: str, keep: bool = False, by: str | None =
     ``scratch`` block goes when the block ends; with ``keep``, when the block around that does.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = new_folder(spark, label, keep)
     df.write.parquet(path, partitionBy=by)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def new_folder(spark: SparkSession, label: str, keep: bool = False) -> str:
+    """A path in the shared folder that nothing has yet; what is written there goes as ``materialize`` says."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     scopes = _scopes[:-1] if keep else _scopes
     if scopes:
         scopes[-1].append(path)
@@ -71,7 +80,7 @@ def materialize(df: DataFrame, label: str, keep: bool = False, by: str | None =
             _written[app] = []
             atexit.register(_release_at_exit, spark)
         _written[app].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 @contextlib.contextmanager
