@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestream.llm import chat, exact_dedup, html_extract, mixing, quality_classifier, quality_rules, secrets, sentencepiece, simhash, suffix_dedup
+from lodestream.llm import chat, exact_dedup, html_extract, merkle, mixing, quality_classifier, quality_rules, secrets, sentencepiece, simhash, spelling, spotsigs, suffix_dedup
 from lodestream.storage import read_table
 
 
@@ -50,6 +50,18 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(read_table(spark, sf_dir, "pages"))
 
 
+def op11_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprint_report(read_table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_report(read_table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_report(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -63,6 +75,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_secret_scan,
         op9_sentencepiece,
         op10_html_extraction,
+        op11_spotsigs,
+        op12_spelling_variants,
+        op13_merkle_manifest,
     )
 }
 ORACLES: dict[str, str] = {
@@ -70,4 +85,5 @@ ORACLES: dict[str, str] = {
     "op6_quality_rules": quality_rules.ORACLE_SQL,
     "op7_exact_dedup": exact_dedup.ORACLE_SQL,
     "op8_secret_scan": secrets.oracle_sql(),
+    "op11_spotsigs": spotsigs.oracle_sql(),
 }
