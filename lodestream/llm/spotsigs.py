@@ -62,16 +62,17 @@ def is_anchor(word: Column) -> Column:
 def signatures(text: Column) -> Column:
     """Array of the signatures as texts, in order, repeats included."""
 
-    def chains(ws: Column) -> Column:
-        anchors = F.filter(F.transform(ws, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: is_anchor(x["w"]))
+    def chains(tagged: Column) -> Column:
+        anchors = F.filter(tagged, lambda x: x["anchor"])
         # Before the j-th anchor, at i, there are i - j content words.
         after = F.transform(anchors, lambda x, j: F.struct(x["w"].alias("w"), (x["i"] - j).alias("k")))
         every = F.concat(F.array(F.struct(F.lit("^").alias("w"), F.lit(0).alias("k"))), after)
-        content = F.filter(ws, lambda w: ~is_anchor(w))
-        joined = let(content, lambda c: F.transform(every, lambda x: F.array_join(F.concat(F.array(x["w"]), F.slice(c, x["k"] + 1, F.lit(CHAIN))), " ")))
-        return F.when(F.size(ws) == 0, F.array().cast("array<string>")).otherwise(joined)
+        content = F.transform(F.filter(tagged, lambda x: ~x["anchor"]), lambda x: x["w"])
+        joined = let(content, lambda c: F.transform(every, lambda x: F.concat_ws(" ", x["w"], *[F.get(c, x["k"] + i) for i in range(CHAIN)])))
+        return F.when(F.size(tagged) == 0, F.array().cast("array<string>")).otherwise(joined)
 
-    return let(words(text), chains)
+    tagged = F.transform(words(text), lambda w, i: F.struct(w.alias("w"), i.alias("i"), is_anchor(w).alias("anchor")))
+    return let(tagged, chains)
 
 
 def signature_set(text: Column) -> Column:
@@ -101,13 +102,13 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def with_next(texts: DataFrame) -> DataFrame:
-    """``texts`` (key, doc_id, text) as (key, next, take): each distinct key, the one after it by
+    """``texts`` (key, doc_id, text) as (key, doc_id, next, take): each distinct key, the one after it by
     (doc_id, key), and a quarter of the text's code points."""
     keys = materialize(texts.select("key", "doc_id", F.length("text").alias("n"), F.lit("").alias("all")).distinct(), "spot-keys")
     runs = sorted_runs(keys, F.col("all"), F.col("doc_id").asc_nulls_first(), F.col("key"), label="spot-runs")
     places = materialize(numbered(runs, "all"), "spot-places")
     after = places.select(F.pmod(F.col("pos") - 1, F.col("size")).alias("pos"), F.col("key").alias("next"))
-    return places.join(after, "pos").select("key", "next", F.expr("n div 4").cast("int").alias("take"))
+    return places.join(after, "pos").select("key", "doc_id", "next", F.expr("n div 4").cast("int").alias("take"))
 
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:
@@ -120,15 +121,17 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
     texts = texts.withColumn("key", F.unhex(F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "text").cast("binary"), 256)))
     with scratch(spark):
         order = materialize(with_next(texts), "spot-order", keep=True)
-    asked = order.select(F.col("key").alias("asker"), F.col("next").alias("key"), "take")
+    asked = order.select(F.col("key").alias("asker"), F.col("doc_id").alias("asker_id"), F.col("next").alias("key"), "take")
+    # The same two columns on both sides below, by the same key: shuffled once.
+    signed = texts.select("key", F.struct("text", signature_set(F.col("text")).alias("sigs")).alias("doc"))
     # What the document before asks for; rows that are equal send it once.
-    sent = texts.join(asked, "key").select(F.col("asker").alias("key"), "take", F.substring("text", F.lit(1), F.col("take")).alias("start"), signature_set(F.col("text")).alias("next_sigs"))
-    sent = sent.groupBy("key").agg(*[F.first(c).alias(c) for c in ("take", "start", "next_sigs")])
-    rows = texts.join(sent, "key").withColumn("n_chars", F.length("text").cast("long"))
-    rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - F.col("take")).cast("int")), "start"))
-    rows = rows.select(
-        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), signature_set(F.col("text")).alias("sigs"), signature_set(F.col("edited")).alias("edited_sigs"), "next_sigs"
+    sent = signed.join(asked, "key").select(
+        F.col("asker").alias("key"), F.col("asker_id").alias("doc_id"), "take", F.substring("doc.text", F.lit(1), F.col("take")).alias("start"), F.col("doc.sigs").alias("next_sigs")
     )
+    sent = sent.groupBy("key").agg(*[F.first(c).alias(c) for c in ("doc_id", "take", "start", "next_sigs")])
+    rows = signed.join(sent, "key").withColumn("n_chars", F.length("doc.text").cast("long"))
+    rows = rows.withColumn("edited", F.concat(F.substring("doc.text", F.lit(1), (F.col("n_chars") - F.col("take")).cast("int")), "start"))
+    rows = rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.col("doc.sigs").alias("sigs"), signature_set(F.col("edited")).alias("edited_sigs"), "next_sigs")
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("sigs")).alias("fingerprint"), fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"),
         likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"), likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
