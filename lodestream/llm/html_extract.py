@@ -20,6 +20,7 @@ however deep it nests.
 
 from __future__ import annotations
 
+import heapq
 import html
 import re
 from collections import Counter
@@ -62,6 +63,14 @@ HAS = ("has-", "has_", "with-", "with_", "no-", "no_", "without-", "not-", "is-"
 STARTS = ("advert", "sponsor", "promo", "banner", "cookie", "consent", "gdpr", "notice", "notification", "popup", "modal", "overlay", "newsletter",
           "subscri", "announce", "sidebar", "breadcrumb", "paginat", "comment", "disqus", "respond", "replies", "related", "recommend", "footer", "masthead",
           "navigation", "skip")
+#: Elements that hold text, whose classes mostly speak of it; of these and of articles fewer names are believed.
+TEXTUAL = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd td th blockquote pre figure figcaption caption span a em strong b i u code q cite small mark".split())
+TEXT_NAMES = frozenset("ad ads adv adbox adsense dfp share sharing social signup".split())
+#: Words that may stand beside those in a name without changing what it says.
+PARTS = frozenset(
+    "area article bar block body bottom box btn button buttons card container content entry form google header inline inner item items js label left link links "
+    "list main outer page panel post posts reader right section slot spot stories story text thread title top unit user wrap wrapper author count".split()
+)
 PUNCTUATION = re.compile(r"[.,;:!?\"'()\[\]…«»“”¡¿、。！，？]")
 SMOOTH = (1.0, 2.0, 4.0, 2.0, 1.0)
 #: A path is content if its fused value is this part of the greatest on the page, or more.
@@ -75,11 +84,19 @@ LINK_BLOCKS = 3
 SHOWN, MARKED, HIDDEN = 0, 1, 2
 
 
+def _names_furniture(name: str, known: frozenset[str]) -> bool:
+    """Whether a class or id as a whole names what is no article text: "ad-slot", but not "notice-period"."""
+    words = [w for w in re.findall(r"[a-z]+", name) if len(w) > 1]
+    told = [w in known or w.startswith(STARTS) for w in words]
+    return any(told) and all(t or w in PARTS for w, t in zip(words, told, strict=True))
+
+
 def _mark(tag: str, attributes: str, in_article: bool) -> int:
     """Whether an element announces itself as no article text, or as not shown."""
     mark = MARKED if tag in EXCLUDED or (tag == "header" and not in_article) else SHOWN
-    if not attributes.strip() or tag in ("html", "body", "article", "main"):
+    if not attributes.strip() or tag in ("html", "body", "main"):
         return mark
+    strict = in_article or tag in TEXTUAL or tag == "article"
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
@@ -88,7 +105,14 @@ def _mark(tag: str, attributes: str, in_article: bool) -> int:
             return HIDDEN
         if name == "role" and value in ROLES:
             mark = MARKED
-        if name in ("class", "id"):
+        if name == "class" and strict:
+            known = TEXT_NAMES if tag in TEXTUAL or tag == "article" else NAMES
+            mark = MARKED if any(_names_furniture(x, known) for x in value.split() if not x.startswith(HAS)) else mark
+        elif name == "id" and strict:
+            # Ids of headings and sections are made from their titles, so they say what the text is about.
+            if tag in ("div", "ul", "ol", "section") and _names_furniture(value.strip(), NAMES) and (tag != "section" or "comment" in value):
+                mark = MARKED
+        elif name in ("class", "id"):
             words = [w for name_ in value.split() if not name_.startswith(HAS) for w in re.findall(r"[a-z]+", name_)]
             if any(w in NAMES or w.startswith(STARTS) for w in words) or (not in_article and "header" in words):
                 mark = MARKED
@@ -192,28 +216,37 @@ class Page:
 
     def excluded(self) -> list[bool]:
         """For each element, whether its text is out, after marks that would leave no article are lifted."""
+        size = len(self.tag)
         linked = self._inherited([t == "a" for t in self.tag])
-        article = self._inherited([t in ("article", "main") for t in self.tag])
-        sentences, held = [0] * len(self.tag), [0] * len(self.tag)
+        article = self._inherited([t in ("article", "main") and m == SHOWN for t, m in zip(self.tag, self.mark, strict=True)])
+        # The marked element that keeps an element out, the innermost one; 0 for none. Inside each, marked ones wait.
+        owner, inner = [0] * size, [[] for _ in range(size)]
+        for e in range(1, size):
+            owner[e] = owner[self.parent[e]] if self.mark[e] == SHOWN else e
+            if self.mark[e] == MARKED:
+                inner[owner[self.parent[e]]].append(e)
+        held, free, named = [0] * size, [0] * size, [False] * size
         for text, e, _ in self.nodes:
             bare = text.strip()
             if article[e] or not linked[e] and (len(bare) >= PARAGRAPH or SENTENCE.search(bare)):
-                sentences[e] += len(bare)
+                free[owner[e]] += len(bare)
+                named[owner[e]] |= article[e] and bool(bare)
                 held[e] += len(bare) if article[e] or len(bare) >= PARAGRAPH else 0
-        for e in range(len(held) - 1, 0, -1):
+        for e in range(size - 1, 0, -1):
             held[self.parent[e]] += held[e]
-        while True:
-            out = self._inherited([m != SHOWN for m in self.mark])
-            free = sum(x for x, gone in zip(sentences, out, strict=True) if not gone)
-            named = any(x and in_ and not gone for x, in_, gone in zip(sentences, article, out, strict=True))
-            if not held[0] or named or free >= LEAST_FREE * held[0]:
-                return out
-            outer = [e for e in range(1, len(out)) if self.mark[e] == MARKED and not out[self.parent[e]]]
-            most = max(outer, key=lambda e: (held[e], -e), default=0)
-            if not most or held[most] < LEAST_FREE * held[0]:
-                return out
-            # Inwards from here, as far as a single marked element holds nearly all of it.
-            self.mark[most] = SHOWN
+        outer = [(-held[e], e) for e in inner[0]]
+        heapq.heapify(outer)
+        so_far, seen = free[0], named[0]
+        # Inwards, always into the outermost marked element that holds most; each is lifted once at most.
+        while held[0] and not seen and so_far < LEAST_FREE * held[0] and outer:
+            most, e = heapq.heappop(outer)
+            if -most < LEAST_FREE * held[0]:
+                break
+            self.mark[e] = SHOWN
+            so_far, seen = so_far + free[e], seen or named[e]
+            for x in inner[e]:
+                heapq.heappush(outer, (-held[x], x))
+        return self._inherited([m != SHOWN for m in self.mark])
 
 
 def content_paths(nodes: list[tuple[str, int]]) -> set[int]:
@@ -298,7 +331,8 @@ def main_text(text: str) -> str:
         if around <= e <= page.last[around] and (inside or first <= i <= hits[-1]):
             blocks.setdefault(block, []).append((t, e))
     linked = page._inherited([t == "a" for t in page.tag])
-    menus = _menus(page, blocks, linked)
+    # Inside an article a list of links is a part of it, such as its sources.
+    menus = set() if page.tag[around] == "article" else _menus(page, blocks, linked)
     lines = []
     for part in blocks.values():
         line = " ".join("".join(t for t, _ in part).split())

@@ -1,11 +1,14 @@
 """HTML extraction and quality rules, against plain versions."""
 
 import html
+import random
 import re
+import time
 import timeit
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from lodestream.llm.html_extract import Page, content_paths, extract_pages, main_text
 from lodestream.llm.quality_rules import _analyse, quality_report, strip_lines
@@ -156,3 +159,83 @@ def test_many_distinct_words_do_not_collide():
     text = " ".join([*words, words[5], words[7], words[9], words[5 + (1 << 20)], words[7], words[9]]).encode()
     stats, _ = _analyse(np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)]))
     assert stats["n_words"][0] == (1 << 22) + 6 and stats["n_repeat_words"][0] == 0
+
+
+WORDS = "A sentence of some length, that an article would have. It goes on, and ends."
+
+
+def article(inside, before="", after=""):
+    return f"<html><body><nav><a href='/'>Home</a></nav>{before}<article><h1>Title</h1><p>{WORDS}</p>{inside}</article>{after}<footer>c</footer></body></html>"
+
+
+@pytest.mark.parametrize(
+    "inside, kept",
+    [
+        ('<h2 id="related-work">Related work</h2><p>Others did it, too.</p>', "Related work\nOthers did it, too."),
+        ('<section id="discussion"><h2>Discussion</h2><p>It was long.</p></section>', "Discussion\nIt was long."),
+        ('<p class="notice-period">A notice period, of weeks.</p><p class="side effects">Side effects are few.</p>', "A notice period, of weeks.\nSide effects are few."),
+        ('<h2>Sources</h2><ul><li><a href="1">One</a></li><li><a href="2">Two</a></li><li><a href="3">Three</a></li></ul>', "Sources\nOne\nTwo\nThree"),
+        ('<div class="share-price"><p>The share price rose.</p></div><div id="search-algorithms"><p>Search is old.</p></div>', "The share price rose.\nSearch is old."),
+        ('<div class="ad-slot">Buy now!</div><div class="related-posts"><a href="x">More</a></div><ul class="share-buttons"><li>Share</li></ul><p class="advert">Buy.</p>', ""),
+        ('<div class="comments"><p>Nice post, I liked it.</p></div><section id="comments"><p>Me, too, as ever.</p></section>', ""),
+    ],
+)
+def test_only_what_is_no_article_goes(inside, kept):
+    assert main_text(article(inside)) == "\n".join(x for x in ("Title", WORDS, kept) if x)
+
+
+def test_comments_that_are_articles_go():
+    comments = "".join(f'<article class="comment"><p>{WORDS} Says reader {i}, who has read it.</p></article>' for i in range(5))
+    page = f"<html><body><main><h1>Title</h1><p>{WORDS}</p><p>{WORDS}</p>{comments}</main></body></html>"
+    assert main_text(page) == f"Title\n{WORDS}\n{WORDS}"
+    assert main_text(article("", after=f"<div class='thread'>{comments}</div>")) == f"Title\n{WORDS}"
+
+
+def test_nested_marks_in_linear_time():
+    def seconds(n):
+        page = '<div class="ad">' * n + f"<p>{WORDS}</p>" + "</div>" * n
+        began = time.perf_counter()
+        assert main_text(page) == WORDS
+        return time.perf_counter() - began
+
+    seconds(500)
+    assert seconds(8000) < 12 * max(seconds(2000), 0.02)
+
+
+def plain_lines(page):
+    """The lines of the article of a page of simple elements: each p, h1, h2 and li inside <article> that has no marked element around it."""
+    out, at, depth, skip = [], 0, 0, None
+    for m in re.finditer(r"<(/?)(\w+)([^>]*)>([^<]*)", page):
+        close, tag, attrs, text = m.groups()
+        if tag == "article":
+            at += -1 if close else 1
+        if tag in ("div", "nav", "aside"):
+            depth += -1 if close else 1
+            if not close and skip is None and (tag != "div" or 'class="ad"' in attrs):
+                skip = depth
+            elif close and skip is not None and depth < skip:
+                skip = None
+        if at and skip is None and not close and tag in ("p", "h1", "h2", "li") and text.strip():
+            out.append(" ".join(text.split()))
+    return "\n".join(out)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_random_pages_against_a_plain_reading(seed):
+    rng = random.Random(seed)
+
+    def blocks(depth):
+        out = []
+        for _ in range(rng.randint(1, 4)):
+            kind = rng.choice(["p", "p", "p", "h2", "list", "div", "ad", "aside"])
+            if kind in ("p", "h2"):
+                out.append(f"<{kind}>{rng.choice(['Some', 'Other', 'More'])} text {rng.random()}, with marks. {WORDS}</{kind}>")
+            elif kind == "list":
+                out.append("<ul>" + "".join(f"<li>Item {rng.random()}, one. {WORDS}</li>" for _ in range(rng.randint(1, 5))) + "</ul>")
+            elif depth < 3:
+                open_, close = {"div": ("<div>", "</div>"), "ad": ('<div class="ad">', "</div>"), "aside": ("<aside>", "</aside>")}[kind]
+                out.append(open_ + "".join(blocks(depth + 1)) + close)
+        return out
+
+    page = f"<html><body><nav><ul><li>Home</li></ul></nav><article><h1>Title of it</h1><p>{WORDS}</p>{''.join(blocks(0))}</article><aside><p>{WORDS}</p></aside></body></html>"
+    assert main_text(page) == plain_lines(page)
