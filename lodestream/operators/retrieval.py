@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from lodestream.functions.overlap import repeats_known
 from lodestream.functions.text import blank
+from lodestream.operators.vectors import CellIndex, build_index, scan_top_k
 
 OVERFETCH = 8
 TOP_K = 8
-#: A query set may be broadcast up to this many rows; more are answered in blocks.
+#: A query set is sent to every task up to this many rows.
 MAX_QUERIES = 10_000
 
 
@@ -41,18 +42,19 @@ def _ranked(scored: DataFrame, k: int, id_col: str) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def top_k(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, id_col: str = "vec_id", n_queries: int | None = None) -> DataFrame:
-    """Each query (query_id, query_vector) against all chunks (``id_col``, embedding, ...)."""
-    n = queries.count() if n_queries is None else n_queries
-    if n > MAX_QUERIES:
-        blocks = n // MAX_QUERIES + 1
-        parts = [top_k(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b), chunks, k, id_col, 0) for b in range(blocks)]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-    scored = chunks.crossJoin(F.broadcast(queries)).withColumn("vector_score", F.round(cosine(F.col("query_vector"), F.col("embedding")), 6))
-    return _ranked(scored.drop("query_vector", "embedding"), k, id_col)
+def top_k(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, id_col: str = "vec_id") -> DataFrame:
+    """Each query (query_id, query_vector) against all chunks (``id_col``, embedding, ...): exact.
+
+    Up to ``MAX_QUERIES`` go to every task, which scans its chunks once; more meet the chunks block by block.
+    """
+    if queries.count() > MAX_QUERIES:
+        return search(build_index(chunks, id_col), queries, k)
+    return _ranked(scan_top_k(queries, chunks, k, id_col), k, id_col)
+
+
+def search(index: CellIndex, queries: DataFrame, k: int = TOP_K, probes: int | None = None) -> DataFrame:
+    """``top_k`` over an index; with ``probes`` over the nearest cells only, which may miss some."""
+    return _ranked(index.search(queries, k, probes), k, index.id_col)
 
 
 def top_k_tagged(
