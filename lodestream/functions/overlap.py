@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestream.functions.scan import let
 from lodestream.functions.text import blank, squash, strip
 
 #: Marks of questions, where clauses end, and replies that say nothing.
@@ -17,10 +18,12 @@ QUESTION_COVERAGE, UTTERANCE_COVERAGE = 0.32, 0.50
 
 def bigrams(text: Column) -> Column:
     """Distinct pairs of neighbouring characters, white space left out; a single character is itself."""
-    c = squash(blank(text), "")
-    n = F.length(c)
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2)))
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(pairs))
+
+    def paired(chars: Column) -> Column:
+        pairs = F.transform(F.slice(chars, F.lit(1), F.size(chars) - 1), lambda c, i: F.concat(c, F.get(chars, i + 1)))
+        return F.when(F.size(chars) <= 1, chars).otherwise(F.array_distinct(pairs))
+
+    return let(F.regexp_extract_all(squash(blank(text), ""), F.lit("(?s)."), F.lit(0)), paired)
 
 
 def coverage(a: Column, b: Column) -> Column:
@@ -42,18 +45,28 @@ def clause_cores(text: Column, hints: tuple[str, ...] = QUESTION_HINTS, least: i
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.concat(F.array(bare), asked))
 
 
-def max_coverage(left: Column, right: Column) -> Column:
-    pairs = F.flatten(F.transform(clause_cores(left), lambda a: F.transform(clause_cores(right), lambda b: coverage(bigrams(a), bigrams(b)))))
+def core_sets(text: Column) -> Column:
+    """The character pairs of each of a text's clause cores: made once a text, before any two texts meet."""
+    return F.transform(clause_cores(text), bigrams)
+
+
+def sets_cover(left: Column, right: Column) -> Column:
+    """The greatest coverage of any two of the sets of two texts; 0 where a text has none."""
+    pairs = F.flatten(F.transform(left, lambda a: F.transform(right, lambda b: coverage(a, b))))
     return F.coalesce(F.array_max(pairs), F.lit(0.0))
 
 
+def max_coverage(left: Column, right: Column) -> Column:
+    return let(core_sets(left), lambda a: let(core_sets(right), lambda b: sets_cover(a, b)))
+
+
 def repeats_known(text: Column, asks: Column, utterances: Column, ask_limit: float = QUESTION_COVERAGE, said_limit: float = UTTERANCE_COVERAGE) -> Column:
     """Whether a text asks again what was asked, or repeats what the visitor said."""
 
-    def near(known: Column, limit: float) -> Column:
-        return F.exists(F.filter(F.transform(known, lambda k: strip(blank(k))), lambda k: k != ""), lambda k: max_coverage(text, k) >= limit)
+    def near(sets: Column, known: Column, limit: float) -> Column:
+        return F.exists(known, lambda k: let(core_sets(k), lambda b: sets_cover(sets, b)) >= limit)
 
-    return (strip(blank(text)) != "") & (near(asks, ask_limit) | near(utterances, said_limit))
+    return let(core_sets(text), lambda sets: (F.size(sets) > 0) & (near(sets, asks, ask_limit) | near(sets, utterances, said_limit)))
 
 
 def is_command(query: Column, prefix: str = COMMAND_PREFIX) -> Column:

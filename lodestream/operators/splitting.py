@@ -16,9 +16,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from lodestream.functions.text import SPLIT_ITEM, context_header, dedup_key, document_title
+from lodestream.functions.text import SPLIT_ITEM, context_header, document_title, strip
 from lodestream.operators.dedup import dedup_documents, number_chunks
+from lodestream.operators.vectors import unit_rows
+from lodestream.storage import materialize
 
 Embedder = Callable[[list[str]], np.ndarray]
 
@@ -121,11 +124,10 @@ def split_sentences(text: str) -> list[str]:
 
 def breakpoints(vectors: np.ndarray, percentile: float) -> set[int]:
     """Places after which neighbours are at least as far apart as the percentile of such distances."""
-    v = np.asarray(vectors, dtype=np.float32)
-    size = np.linalg.norm(v, axis=1, keepdims=True)
-    v = v / np.where(size == 0, 1, size)
-    apart = 1.0 - (v[:-1] * v[1:]).sum(axis=1)
-    return set(np.flatnonzero(apart >= float(np.percentile(apart, percentile))).tolist()) if len(apart) else set()
+    rows = unit_rows(np.asarray(vectors, dtype=np.float64))
+    gaps = 1.0 - np.einsum("ij,ij->i", rows[1:], rows[:-1])
+    limit = np.quantile(gaps, percentile / 100) if gaps.size else 0.0
+    return {i for i, gap in enumerate(gaps) if gap >= limit}
 
 
 def group_sentences(sentences: Sequence[str], breaks: set[int], chunk_size: int, max_chunk_size: int) -> list[str]:
@@ -197,39 +199,46 @@ def split_record(text: str, record_type: str | None, config: SplitConfig, embed:
 
 
 def candidates(records: DataFrame, config: SplitConfig, embed: Embedder | None = None) -> DataFrame:
-    """(doc_id, pos, body, path, page, split_method, atomic) of records (doc_id, text, record_type)."""
+    """``records`` (text, record_type, ...), a row for each candidate chunk in place of the text: pos, body, path, own_page,
+    split_method, atomic. The other columns go along, so nothing is joined back."""
+    carried = [c for c in records.columns if c != "text"]
+    names = ["pos", "body", "path", "own_page", "split_method", "atomic"]
+    types = [pa.int32(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.string(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [
-                (d, pos, *c)
-                for d, t, k in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "record_type")), strict=True)
-                for pos, c in enumerate(split_record(t, k, config, embed))
-            ]
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 7
-            types = [pa.int64(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.string(), pa.bool_()]
-            names = ["doc_id", "pos", "body", "path", "own_page", "split_method", "atomic"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+            row, rows = [], []
+            for i, (t, k) in enumerate(zip(batch.column("text").to_pylist(), batch.column("record_type").to_pylist(), strict=True)):
+                parts = split_record(t, k, config, embed)
+                row += [i] * len(parts)
+                rows += [(pos, *c) for pos, c in enumerate(parts)]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+            kept = batch.select(carried).take(pa.array(row, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], [*carried, *names])
 
-    rows = records.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "record_type")
-    return rows.mapInArrow(run, "doc_id long, pos int, body string, path array<string>, own_page int, split_method string, atomic boolean")
+    added = StructType.fromDDL("pos int, body string, path array<string>, own_page int, split_method string, atomic boolean")
+    schema = StructType([*(records.schema[c] for c in carried), *added.fields])
+    return records.withColumn("text", F.coalesce("text", F.lit(""))).select(*carried, "text").mapInArrow(run, schema)
 
 
 def split_records(records: DataFrame, config: SplitConfig | None = None, embed: Embedder | None = None) -> DataFrame:
     """Chunks of a batch of records (doc_id, source, text, and record_type, tag, page, doc_hash if there).
 
-    Records with the text of an earlier one are left out, as are chunks; see ``number_chunks``.
+    Records with the text of an earlier one are left out, as are chunks; see ``number_chunks``. Each record is a
+    document of its own, whatever its doc_id: null, or that of another record.
     """
     config = config or SplitConfig()
     for c, t in (("record_type", "string"), ("tag", "string"), ("page", "int"), ("doc_hash", "string")):
         if c not in records.columns:
             records = records.withColumn(c, F.lit(None).cast(t))
-    kept = dedup_documents(records)
+    columns = ["doc_id", "source", "text", "record_type", "tag", "page", "doc_hash"]
+    # Written once: numbers of rows in files stay what they are, whoever reads them again.
+    kept = materialize(dedup_documents(records.select(*columns)), "split-records").withColumn("record", F.monotonically_increasing_id())
     head = context_header(document_title(F.col("source")), F.col("path")) if config.add_header else F.lit("")
-    parts = candidates(kept, config, embed).join(kept.drop("text"), "doc_id")
+    parts = candidates(kept, config, embed)
     header = F.when(F.coalesce(F.col("record_type").isin(*WHOLE_RECORDS), F.lit(False)), "").otherwise(head)
     texts = parts.withColumn("text", F.when(header == "", F.col("body")).otherwise(F.concat_ws("\n", header, F.col("body"))))
-    chunks = number_chunks(texts.where(dedup_key(F.col("text")) != ""), config.min_chunk_chars)
+    chunks = number_chunks(texts.where(strip(F.col("text")) != ""), config.min_chunk_chars, "record")
     return chunks.select(
         "source", "tag", "doc_id", "chunk_id", F.coalesce("own_page", "page").alias("page"), "doc_hash", "record_type", "split_method",
         F.when(F.size("path") > 0, F.array_join("path", " > ")).alias("section_path"), "text",

@@ -8,8 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestream.functions.text import blank, dedup_key, mirror_path, source_key, source_key_variants
-from lodestream.operators.dedup import first_per_key
+from lodestream.functions.text import blank, mirror_path, source_key, source_key_variants
+from lodestream.operators.dedup import first_per_text
 
 CHUNK_SCHEMA = (
     "source string, tag string, doc_id long, chunk_id int, page int, doc_hash string, record_type string, "
@@ -34,7 +34,7 @@ def prune(store: DataFrame, incoming_sources: DataFrame) -> tuple[DataFrame, Dat
     keyed = store.withColumn("norm", source_key(F.col("source")))
     coming = incoming_sources.select(source_key(F.col("source")).alias("norm")).where("norm <> ''").distinct()
     left = keyed.join(coming, "norm", "left_anti").drop("norm")
-    stays = first_per_key(left, dedup_key(F.col("text")), "ingest_seq")
+    stays = first_per_text(left, "ingest_seq")
     n = lambda df, name: df.agg(F.count("*").alias(name))
     counts = n(store, "a").crossJoin(n(left, "b")).crossJoin(n(stays, "c"))  # one row each
     return stays, counts.select((F.col("a") - F.col("b")).alias("removed_replaced"), (F.col("b") - F.col("c")).alias("removed_duplicates"))

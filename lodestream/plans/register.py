@@ -16,6 +16,8 @@ class Registry:
 
     def __call__(self, sql: str | None = None) -> Callable[[Query], Query]:
         def add(f: Query) -> Query:
+            if f.__name__ in self.queries:
+                raise ValueError(f"a query named {f.__name__} is there already")
             self.queries[f.__name__] = f
             if sql:
                 self.oracles[f.__name__] = sql

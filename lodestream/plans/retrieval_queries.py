@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestream.functions import tags
 from lodestream.operators import prompt, retrieval, session
 from lodestream.operators.dedup import blank_repeated_slots
+from lodestream.operators.vectors import build_index
 from lodestream.plans.register import Registry
 from lodestream.storage import read_table
 
@@ -43,11 +44,21 @@ def _rank_long(df: DataFrame) -> DataFrame:
     return df.withColumn("rank", F.col("rank").cast("long"))
 
 
-@register(f"WITH {_SCORED} SELECT query_id, vec_id, tag, vector_score, rank FROM r WHERE rank <= 8")
+_TOP_K = f"WITH {_SCORED} SELECT query_id, vec_id, tag, vector_score, rank FROM r WHERE rank <= 8"
+
+
+@register(_TOP_K)
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return _rank_long(retrieval.top_k(_queries(spark, d), _chunks(spark, d), K))
 
 
+@register(_TOP_K)
+def vector_index_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The same through an index of cells: the nearest ones first, then those that their bounds do not rule out."""
+    index = build_index(_chunks(spark, d), "vec_id", n_cells=16)
+    return _rank_long(retrieval.search(index, _queries(spark, d), K)).select("query_id", "vec_id", "tag", "vector_score", "rank")
+
+
 @register(
     f"""WITH {_SCORED}, f AS (SELECT query_id, vec_id, tag, vector_score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM r WHERE rank <= 64 AND tag IN ('l1', 'l2', 'l3'))
     SELECT * FROM f WHERE rank <= 8"""
@@ -122,18 +133,15 @@ def _sql_bigrams(x: str) -> str:
 @register(
     f"""WITH c AS (SELECT conv_id // 3 AS visitor, conv_id, turn, role, text, {_sql_bigrams("text")} AS x FROM conversations)
     SELECT visitor, conv_id, turn FROM c WHERE role = 'user'
-      AND NOT EXISTS (SELECT 1 FROM c a WHERE a.visitor = c.visitor AND a.role = 'assistant' AND len(list_intersect(a.x, c.x)) / least(len(a.x), len(c.x)) >= 0.32)
-      AND NOT EXISTS (SELECT 1 FROM c u WHERE u.visitor = c.visitor AND u.role = 'user' AND u.conv_id < c.conv_id AND len(list_intersect(u.x, c.x)) / least(len(u.x), len(c.x)) >= 0.5)"""
+      AND NOT EXISTS (SELECT 1 FROM c a WHERE a.visitor = c.visitor AND a.role = 'assistant' AND len(list_intersect(a.x, c.x)) / least(len(a.x), len(c.x)) >= 0.7)
+      AND NOT EXISTS (SELECT 1 FROM c u WHERE u.visitor = c.visitor AND u.role = 'user' AND u.conv_id < c.conv_id AND len(list_intersect(u.x, c.x)) / least(len(u.x), len(c.x)) >= 0.8)"""
 )
 def contamination_suppress(spark: SparkSession, d: str) -> DataFrame:
     """Turns that neither ask what the visitor was asked, nor repeat what the same visitor said in an earlier conversation."""
     c = read_table(spark, d, "conversations").withColumn("visitor", F.expr("conv_id div 3"))
-    asks = c.where("role = 'assistant'").groupBy("visitor").agg(F.collect_list("text").alias("asks"))
-    said = c.where("role = 'user'").groupBy("visitor").agg(F.collect_list(F.struct("conv_id", "text")).alias("said"))
-    hits = c.where("role = 'user'").join(asks, "visitor", "left").join(said, "visitor", "left")
-    before = F.transform(F.filter("said", lambda s: s["conv_id"] < F.col("conv_id")), lambda s: s["text"])
-    none = F.array().cast("array<string>")
-    return retrieval.drop_known_scripts(hits, F.coalesce("asks", none), before).select("visitor", "conv_id", "turn")
+    said = c.where("role = 'user'").select("visitor", F.col("conv_id").alias("seq"), "turn", "text")
+    new = session.drop_said(session.drop_asked(said, c.where("role = 'assistant'"), 0.7), said, 0.8)
+    return new.select("visitor", F.col("seq").alias("conv_id"), "turn")
 
 
 @register(
@@ -147,75 +155,6 @@ def asked_anti_join(spark: SparkSession, d: str) -> DataFrame:
     return session.drop_asked(c.where("role = 'user'"), c.where("role = 'assistant'"), 0.4).select("visitor", "conv_id", "turn")
 
 
-@register(
-    f"""WITH {_SCORED}, h AS (SELECT query_id, rank, {_TEXT} AS text, round(1 - sqrt(2) * (1 - vector_score), 6) AS score FROM r WHERE rank <= 8),
-    c AS (SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context FROM h WHERE score >= 0.3 GROUP BY query_id)
-    SELECT query_id, coalesce(context, '') AS context FROM (SELECT DISTINCT query_id FROM h) LEFT JOIN c USING (query_id)"""
-)
-def vector_threshold_context(spark: SparkSession, d: str) -> DataFrame:
-    """Hits as relevances, those at the threshold or above joined into contexts."""
-    hits = _with_text(retrieval.top_k(_queries(spark, d), _chunks(spark, d), K))
-    scored = hits.withColumn("vector_score", F.round(retrieval.relevance(F.col("vector_score")), 6))
-    return retrieval.build_context(scored, 0.3)
-
-
-_COPIES = f"""{_SCORED}, h AS (SELECT query_id, vec_id % 20 AS slot, rank, {_TEXT} AS text FROM r WHERE rank <= 8)"""
-
-
-@register(
-    f"""WITH {_COPIES} SELECT query_id, slot, rank, CASE WHEN row_number() OVER (PARTITION BY query_id, slot ORDER BY rank) = 1 THEN text ELSE '' END AS text FROM h"""
-)
-def hit_slot_dedup(spark: SparkSession, d: str) -> DataFrame:
-    hits = _with_text(retrieval.top_k(_queries(spark, d), _chunks(spark, d), K)).withColumn("slot", F.col("vec_id") % 20)
-    return _rank_long(blank_repeated_slots(hits.select("query_id", "slot", "rank", "text"), "slot"))
-
-
-@register(
-    f"""WITH {_SCORED}, h AS (SELECT query_id, vec_id, rank AS r0, CAST((vec_id * 37) % 11 AS DOUBLE) AS rerank_score FROM r WHERE rank <= 8),
-    n AS (SELECT query_id, vec_id, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, r0) AS rank FROM h)
-    SELECT * FROM n WHERE rank <= 3"""
-)
-def rerank_topn(spark: SparkSession, d: str) -> DataFrame:
-    hits = retrieval.top_k(_queries(spark, d), _chunks(spark, d), K).select("query_id", "vec_id", "rank")
-    return _rank_long(retrieval.rerank(hits, ((F.col("vec_id") * 37) % 11).cast("double"), 3))
-
-
-@register(f"WITH {_SCORED} SELECT query_id, vec_id, rank, CAST(NULL AS DOUBLE) AS rerank_score FROM r WHERE rank <= 3")
-def rerank_off(spark: SparkSession, d: str) -> DataFrame:
-    hits = retrieval.top_k(_queries(spark, d), _chunks(spark, d), K).select("query_id", "vec_id", "rank")
-    return _rank_long(retrieval.rerank(hits, None, 3))
-
-
-@register(
-    """WITH n AS (SELECT label AS doc_id, vec_id AS sent_id, round(1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), lead(CAST(embedding AS DOUBLE[])) OVER w), 6) AS distance
-      FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)),
-    t AS (SELECT doc_id, round(quantile_cont(distance, 0.88), 6) AS threshold FROM n WHERE distance IS NOT NULL GROUP BY doc_id)
-    SELECT doc_id, sent_id, distance, distance >= threshold AS breaks FROM n JOIN t USING (doc_id) WHERE distance IS NOT NULL"""
-)
-def semantic_breakpoints(spark: SparkSession, d: str) -> DataFrame:
-    e = read_table(spark, d, "embeddings").select(F.col("label").alias("doc_id"), F.col("vec_id").alias("sent_id"), "embedding")
-    return retrieval.semantic_breaks(e)
-
-
-def _sql_bigrams(x: str) -> str:
-    return rf"list_distinct(list_transform(range(1, length(regexp_replace({x}, '\s+', '', 'g'))), lambda i: substr(regexp_replace({x}, '\s+', '', 'g'), i, 2)))"
-
-
-@register(
-    f"""WITH a AS (SELECT {_sql_bigrams("text")} AS x FROM benchmark WHERE item_id < 3),
-    d AS (SELECT item_id, text, {_sql_bigrams("text")} AS y FROM benchmark)
-    SELECT item_id FROM d WHERE NOT EXISTS (SELECT 1 FROM a WHERE len(list_intersect(x, y)) / least(len(x), len(y)) >= 0.9)"""
-)
-def contamination_suppress(spark: SparkSession, d: str) -> DataFrame:
-    """Texts that neither repeat three known ones nor, at the same limit, what was said."""
-    b = read_table(spark, d, "benchmark")
-    known = b.where("item_id < 3").agg(F.collect_list("text").alias("known"))  # three rows
-    hits = b.crossJoin(F.broadcast(known))
-    from lodestream.functions.overlap import repeats_known
-
-    return hits.where(~repeats_known(F.col("text"), F.col("known"), F.col("known"), 0.9, 0.9)).select("item_id")
-
-
 @register(
     f"""WITH {_SCORED}, h AS (SELECT query_id, rank, {_TEXT} AS text FROM r WHERE rank <= 8 AND vector_score >= 0.2),
     c AS (SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context FROM h GROUP BY query_id),

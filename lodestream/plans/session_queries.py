@@ -146,12 +146,17 @@ def commit_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register(
-    """SELECT name, mtime, name LIKE '%9.log' OR row_number() OVER (PARTITION BY name LIKE '%9.log' ORDER BY mtime DESC, name) <= 50 AS keep
-      FROM (SELECT c_name || CASE WHEN c_custkey % 10 = 9 THEN '' ELSE '' END || '.log' AS name, c_acctbal AS mtime FROM customer WHERE c_custkey % 10 <> 9)"""
+    """SELECT name, mtime, name IN ('running.log', 'notes.txt') OR name NOT LIKE '%.log' OR row_number() OVER (PARTITION BY name LIKE '%.log' AND name <> 'running.log' ORDER BY mtime DESC, name) <= 50 AS keep
+      FROM (SELECT CASE WHEN o_orderkey = (SELECT min(o_orderkey) FROM orders) THEN 'running.log' WHEN o_orderpriority = '5-LOW' THEN 'log' || o_orderkey || '.txt' ELSE 'log' || o_orderkey || '.log' END AS name,
+            epoch(CAST(o_orderdate AS TIMESTAMP)) AS mtime FROM orders)"""
 )
 def log_retention(spark: SparkSession, d: str) -> DataFrame:
-    c = read_table(spark, d, "customer").where("c_custkey % 10 <> 9")
-    return runtime.retained(c.select(F.concat("c_name", F.lit(".log")).alias("name"), F.col("c_acctbal").alias("mtime")))
+    """Of a log for each order, at its date, the first of them the running one, those to keep; others are no logs."""
+    o = read_table(spark, d, "orders")
+    first = o.agg(F.min("o_orderkey")).first()[0]
+    key = F.concat(F.lit("log"), F.col("o_orderkey").cast("string"))
+    name = F.when(F.col("o_orderkey") == first, "running.log").when(F.col("o_orderpriority") == "5-LOW", F.concat(key, F.lit(".txt"))).otherwise(F.concat(key, F.lit(".log")))
+    return runtime.retained(o.select(name.alias("name"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).cast("double").alias("mtime")), running="running.log")
 
 
 @register("SELECT CAST(to_json({'n_nationkey': n_nationkey, 'n_name': n_name, 'none': NULL}) AS VARCHAR) AS json FROM nation")

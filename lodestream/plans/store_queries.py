@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.operators import pages, store
+from lodestream.operators.versions import VersionedStore
 from lodestream.plans.register import Registry, sql_key, sql_strip
-from lodestream.storage import read_table
+from lodestream.storage import new_folder, read_table
 
 register = Registry()
 QUERIES, ORACLES = register.queries, register.oracles
@@ -67,11 +68,23 @@ def _batches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return s.where("doc_id % 2 = 0"), new
 
 
-@register(f"WITH {_OLD_NEW}, {_COMING}, {_KEPT} SELECT source, doc_id, ingest_seq FROM k UNION ALL SELECT regexp_replace(source, '[1357]$', '0'), doc_id, ingest_seq FROM n")
+_UPSERTED = f"WITH {_OLD_NEW}, {_COMING}, {_KEPT} SELECT source, doc_id, ingest_seq FROM k UNION ALL SELECT regexp_replace(source, '[1357]$', '0'), doc_id, ingest_seq FROM n"
+
+
+@register(_UPSERTED)
 def upsert_replace(spark: SparkSession, d: str) -> DataFrame:
     return store.upsert(*_batches(spark, d)).select("source", "doc_id", "ingest_seq")
 
 
+@register(_UPSERTED)
+def upsert_versions(spark: SparkSession, d: str) -> DataFrame:
+    """The same by buckets and manifests: two commits, of which the second writes only the buckets it touches."""
+    kept = VersionedStore(spark, new_folder(spark, "chunk-store"))
+    for batch in _batches(spark, d):
+        kept.upsert(batch)
+    return kept.read().select("source", "doc_id", "ingest_seq")
+
+
 @register(
     f"""WITH {_OLD_NEW}, {_COMING}, {_KEPT} SELECT (SELECT count(*) FROM o) - (SELECT count(*) FROM l) AS removed_replaced, (SELECT count(*) FROM l) - (SELECT count(*) FROM k) AS removed_duplicates"""
 )

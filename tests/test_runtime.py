@@ -1,4 +1,4 @@
-"""Configuration, tails, timings and jobs; arrays that run on; sessions."""
+"""Configuration and timings; arrays that run on; sessions."""
 
 import time
 
@@ -21,29 +21,11 @@ def test_configuration(tmp_path):
     assert str(paths["data_dir"]) == "/x/y" and paths["index_dir"].is_absolute() and set(paths) == set(runtime.FOLDERS)
 
 
-def test_tail(tmp_path):
-    f = tmp_path / "log"
-    f.write_bytes(b"0123456789")
-    assert runtime.read_tail(f, 0, 4) == ("0123", 4, True)
-    assert runtime.read_tail(f, 4, 100) == ("456789", 10, False)
-    assert runtime.read_tail(f, 99, 2) == runtime.read_tail(f, -5, 2) == ("01", 2, True)
-
-
-def test_timings_and_jobs():
+def test_timings():
     t = runtime.Timings()
     with t.part("a"), t.part("b"):
         time.sleep(0.01)
     assert set(t.report()) == {"a", "b", "total"} and t.report()["total"] >= 0.02
-    jobs = runtime.Jobs()
-    assert jobs.snapshot()["status"] == "idle"
-    running_ = jobs.submit("build", lambda say: (say("half"), time.sleep(0.3), 7)[-1])
-    assert jobs.submit("delete", lambda say: 1) is None
-    time.sleep(0.1)
-    assert jobs.snapshot()["message"] == "half"
-    running_.join()
-    assert (jobs.snapshot()["status"], jobs.snapshot()["result"]) == ("success", 7)
-    jobs.submit("build", lambda say: 1 / 0).join()
-    assert jobs.snapshot()["status"] == "error" and "ZeroDivisionError" in jobs.snapshot()["error"]
 
 
 def test_running(spark):
