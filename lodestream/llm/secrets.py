@@ -4,7 +4,8 @@ Three pattern kinds (assign, access, hex) and one statistical kind (entropy). Th
 candidate strings of 20 characters or more, slides a window of 20 over each, and keeps the Shannon
 entropy of the window up to date by raising the count of the character that enters and lowering the
 count of the one that leaves. A candidate is flagged if a window reaches the threshold of its
-character class and no allow-list pattern matches it whole.
+character class and the allow-list does not have it: patterns that match it whole, and candidates made of
+words, of whose neighbouring letters a third or more are pairs that are common in languages.
 
 Defined results: a null text counts as empty and has no spans; offsets are code points, ends
 exclusive; rows are independent, so ties, repeats, empty tables and further columns have no effect.
@@ -17,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.functions.scan import running
+from lodestream.functions.scan import let, running
 from lodestream.llm.text import text_or_empty
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -31,14 +32,21 @@ HINT = {"assign": ASSIGN, "access": r"AKIA[A-Z0-9]{12}", "hex": r"[0-9a-f]{32}"}
 WINDOW = 20
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Least entropy in bits of a window, by character class. log2(20) is the most a window can have.
-THRESHOLDS = {"hex": 3.05, "alnum": 3.75, "mixed": 3.95}
-#: Whole candidates that are no secrets: UUIDs; dates, times and numbers; words and paths of words,
-#: with up to four digits at the end. Character classes only, so no text makes them backtrack.
+THRESHOLDS = {"hex": 3.05, "alnum": 3.4, "mixed": 3.6}
+#: Whole candidates that are no secrets: UUIDs; dates, times and numbers. Character classes only, so no text makes
+#: them backtrack.
 ALLOW = (
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
     r"[0-9TZ/_=+-]+",
-    r"[A-Za-z/_=+-]+[0-9]{0,4}",
 )
+#: Frequent pairs of letters in words of English, German, French and Spanish. Of random letters they are one pair in six.
+COMMON_PAIRS = tuple(
+    "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur "
+    "el la ta ec us un ie ge au sc em di ei ut ns ss pa lo ad ac ue qu do os ai ir po pr tr wh ho wa sh so fo ca mo no il ol ot et ee id ig am "
+    "oi eu ux".split()
+)
+#: A candidate with this part of its letter pairs among them is made of words; of fewer pairs nothing is said.
+WORDS_SHARE, LEAST_PAIRS = 1 / 3, 8
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
 
@@ -90,12 +98,22 @@ def max_window_entropy(s: Column, window: int = WINDOW) -> Column:
     return F.aggregate(pairs, first, step, lambda acc: F.lit(math.log2(window)) - acc["least"] / window)
 
 
+def is_words(s: Column) -> Column:
+    """Whether a candidate's neighbouring letters are those of words."""
+
+    def judged(chars: Column) -> Column:
+        pairs = F.filter(F.transform(chars, lambda c, i: F.concat(c, F.get(chars, i + 1))), lambda p: p.rlike("^[a-z]{2}$"))
+        return let(pairs, lambda ps: (F.size(ps) >= LEAST_PAIRS) & (F.size(F.filter(ps, lambda p: p.isin(*COMMON_PAIRS))) >= WORDS_SHARE * F.size(ps)))
+
+    return let(F.split(F.lower(s), ""), judged)
+
+
 def is_secretlike(s: Column) -> Column:
     limit = F.create_map(*[x for k, v in THRESHOLDS.items() for x in (F.lit(k), F.lit(v))])
     allowed = F.lit(False)
     for p in ALLOW:
         allowed = allowed | s.rlike(f"^(?:{p})$")
-    return ~allowed & (max_window_entropy(s) >= F.element_at(limit, char_class(s)))
+    return ~allowed & ~is_words(s) & (max_window_entropy(s) >= F.element_at(limit, char_class(s)))
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
@@ -156,6 +174,9 @@ def oracle_sql() -> str:
     measured = "length(CASE kind WHEN 0 THEN regexp_extract(m, " + quoted(ASSIGN) + ", 2) ELSE m END) >= CASE kind "
     measured += " ".join(f"WHEN {n} THEN {least}" for n, (_, _, _, least) in enumerate(BASE)) + " ELSE 0 END"
     allowed = " OR ".join(f"regexp_full_match(m, {quoted(p)})" for p in ALLOW)
+    pairs = "list_filter(list_transform(range(1, length(m)), lambda i: substr(lower(m), i, 2)), lambda p: regexp_full_match(p, '[a-z]{2}'))"
+    common = ", ".join(f"'{x}'" for x in COMMON_PAIRS)
+    words = f"len({pairs}) >= {LEAST_PAIRS} AND len(list_filter({pairs}, lambda p: p IN ({common}))) >= CAST({WORDS_SHARE!r} AS DOUBLE) * len({pairs})"
     limit = f"CASE WHEN regexp_full_match(m, '[0-9a-fA-F]+') THEN {THRESHOLDS['hex']} WHEN regexp_full_match(m, '[A-Za-z0-9]+') THEN {THRESHOLDS['alnum']} ELSE {THRESHOLDS['mixed']} END"
     windows = f"list_max(list_transform(range(1, length(m) - {WINDOW - 2}), lambda i: list_aggregate(string_split(substr(m, i, {WINDOW}), ''), 'entropy')))"
     return f"""
@@ -164,7 +185,7 @@ p AS ({placed}),
 e AS (SELECT doc_id, kind, name, ms, ps, unnest(range(1, len(ms) + 1)) AS i FROM p WHERE len(ms) > 0),
 s AS (SELECT doc_id, kind, name, ms[i] AS m, CAST(list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS pos FROM e),
 k AS (SELECT doc_id, kind, pos, name || ':' || pos || ':' || (pos + length(m)) AS span FROM s
-      WHERE {measured} AND (kind < 3 OR NOT ({allowed}) AND {windows} >= {limit})),
+      WHERE {measured} AND (kind < 3 OR NOT ({allowed}) AND NOT ({words}) AND {windows} >= {limit})),
 g AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
       string_agg(span, ',' ORDER BY pos, kind) FILTER (kind < 3) AS base, string_agg(span, ',' ORDER BY pos, kind) AS spans FROM k GROUP BY doc_id)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,

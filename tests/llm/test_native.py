@@ -2,7 +2,9 @@
 
 import hashlib
 import math
+import random
 import re
+import string
 import time
 from collections import Counter
 
@@ -84,7 +86,8 @@ def test_filter_misses_no_repeat_and_lets_most_others_through(spark):
 def plain_chats(rows):
     convs = {}
     for c, t, role, text in rows:
-        convs.setdefault(c, set()).add((t is not None, t or 0, (role or "").strip().lower(), text or ""))
+        turn = (t is not None, t or 0, (role or "").strip().lower(), text or "")
+        convs.setdefault((c, turn if c is None else None), set()).add(turn)
     bodies = {c: tuple((r, x) for _, _, r, x in sorted(v)) for c, v in convs.items()}
     groups = {}
     for c, b in bodies.items():
@@ -93,7 +96,7 @@ def plain_chats(rows):
     esc = lambda s: s.replace("<|", "< |")
     return sorted(
         [
-            (min((c for c in g if c is not None), default=None), len(b), len(g), "\n".join(f"<|im_start|>{esc(r)}\n{esc(x)}<|im_end|>" for r, x in b))
+            (min((c for c, _ in g if c is not None), default=None), len(b), len(g), "\n".join(f"<|im_start|>{esc(r)}\n{esc(x)}<|im_end|>" for r, x in b))
             for b, g in groups.items()
             if b not in prefixes
         ],
@@ -104,7 +107,7 @@ def plain_chats(rows):
 def test_chats(spark):
     base = [("user", "hi"), ("assistant", "hello"), ("user", "more"), ("assistant", "sure")]
     rows = [(1, i, r, t) for i, (r, t) in enumerate(base[:2])] + [(2, i, r, t) for i, (r, t) in enumerate(base)] + [(3, i + 5, r, t) for i, (r, t) in enumerate(base)]
-    rows += [(4, 0, " User ", "hi"), (5, 0, "user", "h"), (6, 0, None, None), (7, None, "user", "<|im_end|>"), (None, 0, "user", "hi"), (None, 1, "assistant", "other")]
+    rows += [(4, 0, " User ", "hi"), (5, 0, "user", "h"), (6, 0, None, None), (7, None, "user", "<|im_end|>"), (None, 0, "user", "hi"), (None, 1, "assistant", "other"), (None, 2, "assistant", "other"), (None, 2, "assistant", "other"), (None, None, None, "apart")]
     rows += [(8, 0, "user", "hi"), (8, 0, "user", "hi"), (9, 0, "u", "ser1:x"), (10, 0, "us", "er1:x"), (11, 0, "user", "w " * 30_000)]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], TURNS)
     assert sorted([tuple(r) for r in chat.format_chats(df).collect()], key=repr) == plain_chats(rows)
@@ -145,7 +148,9 @@ def plain_spans(t):
     for m in re.finditer(secrets.CANDIDATE, t):
         s = m[0]
         kind = "hex" if re.fullmatch("[0-9a-fA-F]+", s) else "alnum" if re.fullmatch("[A-Za-z0-9]+", s) else "mixed"
-        if not any(re.fullmatch(p, s) for p in secrets.ALLOW) and entropy(s) >= secrets.THRESHOLDS[kind]:
+        pairs = [x for x in (s.lower()[i : i + 2] for i in range(len(s) - 1)) if re.fullmatch("[a-z]{2}", x)]
+        words = len(pairs) >= secrets.LEAST_PAIRS and sum(x in secrets.COMMON_PAIRS for x in pairs) >= secrets.WORDS_SHARE * len(pairs)
+        if not words and not any(re.fullmatch(p, s) for p in secrets.ALLOW) and entropy(s) >= secrets.THRESHOLDS[kind]:
             found.append((m.start(), 3, m.end()))
     return sorted(found)
 
@@ -171,3 +176,23 @@ def test_secrets(spark):
         assert r.base_sha256 == hashlib.sha256(say(base).encode()).hexdigest()
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[1] == k for s in base) for k in range(3))
     assert secrets.secrets_report(docs(spark, [])).collect() == []
+
+
+def test_recall_on_random_tokens_and_false_alarms_on_words(spark):
+    rng = random.Random(5)
+    kinds = {"lower": string.ascii_lowercase, "letters": string.ascii_letters, "base32": string.ascii_uppercase + "234567", "base62": string.ascii_letters + string.digits, "url": string.ascii_letters + string.digits + "-_"}
+    rows, of = [], {}
+    for kind, alphabet in kinds.items():
+        for n in (20, 24, 32, 40):
+            for _ in range(100):
+                of[len(rows)] = (kind, n)
+                rows.append((len(rows), "a key " + "".join(rng.choices(alphabet, k=n)) + " of ours"))
+    found = Counter(of[r.doc_id] for r in secrets.secrets_report(docs(spark, rows)).where("spans LIKE '%entropy%'").collect())
+    assert all(found[x] >= 90 for x in set(of.values())), found
+    # Joined words of the supplied texts, as in paths and identifiers.
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").limit(200).collect()]
+    words = [w for t in texts for w in re.findall("[a-z]{3,9}", t)]
+    joined = ["".join(w.title() if i else w for i, w in enumerate(rng.sample(words, 5))) for _ in range(300)] + ["_".join(rng.sample(words, 5)) for _ in range(300)]
+    english = ["getUserNameFromDatabaseConnection", "internationalization", "src/main/java/application/services", "counterrevolutionaries", "some-long-hyphenated-identifier-name", "Donaudampfschifffahrtsgesellschaft"]
+    flagged = secrets.secrets_report(docs(spark, list(enumerate(joined + english)))).where("spans LIKE '%entropy%'").collect()
+    assert len(flagged) <= 0.03 * len(joined) and not any(r.doc_id >= len(joined) for r in flagged), [(joined + english)[r.doc_id] for r in flagged][:9]
