@@ -5,8 +5,8 @@ over its turns; one whose full hash is the hash of a proper prefix of a longer c
 snapshot of it and goes. Equal conversations collapse into the one with the smallest conv_id. What
 remains is maximal and is rendered.
 
-Defined results: null roles and texts count as empty; rows with a null conv_id make up one
-conversation; turns are ordered by (turn, role, text), nulls first, and rows equal in all of them count
+Defined results: null roles and texts count as empty; a row with a null conv_id is a
+conversation of its own, of one turn; turns are ordered by (turn, role, text), nulls first, and rows equal in all of them count
 once; an empty table gives an empty result; further columns are ignored. A conversation becomes
 one row, so the longest conversation, not the number of its copies, bounds the memory of a task.
 """
@@ -33,18 +33,16 @@ def _escape(text: Column) -> Column:
 
 def gather(conversations: DataFrame) -> DataFrame:
     """(conv_id, turns): each conversation's turns in order."""
-    return conversations.groupBy("conv_id").agg(
-        F.array_sort(
-            F.collect_set(
-                F.struct(
-                    F.col("turn").isNotNull().alias("known"),
-                    F.coalesce(F.col("turn").cast("long"), F.lit(0)).alias("turn"),
-                    _role(F.col("role")).alias("role"),
-                    text_or_empty(F.col("text")).alias("text"),
-                )
-            )
-        ).alias("turns")
+    turn = F.struct(
+        F.col("turn").isNotNull().alias("known"),
+        F.coalesce(F.col("turn").cast("long"), F.lit(0)).alias("turn"),
+        _role(F.col("role")).alias("role"),
+        text_or_empty(F.col("text")).alias("text"),
     )
+    # Rows that belong to no conversation are told apart by what they hold, so they do not meet in one task.
+    alone = F.sha2(F.concat_ws(":", F.col("turn").cast("string"), F.length("x.role").cast("string"), "x.role", "x.text").cast("binary"), 256)
+    rows = conversations.select("conv_id", "turn", turn.alias("x")).withColumn("alone", F.when(F.col("conv_id").isNull(), alone))
+    return rows.groupBy("conv_id", "alone").agg(F.array_sort(F.collect_set("x")).alias("turns")).drop("alone")
 
 
 def rolling_hashes(turns: Column) -> Column:
@@ -96,7 +94,7 @@ WITH c AS (
   SELECT conv_id, list({'turn': turn, 'role': role, 'text': text} ORDER BY turn, role, text) AS turns
   FROM (SELECT DISTINCT conv_id, turn, lower(trim(coalesce(role, ''))) AS role, coalesce(text, '') AS text
         FROM conversations)
-  GROUP BY conv_id
+  GROUP BY conv_id, CASE WHEN conv_id IS NULL THEN {'turn': turn, 'role': role, 'text': text} END
 ), k AS (
   SELECT conv_id, turns, list_transform(turns, lambda t: [t.role, t.text]) AS body FROM c
 ), w AS (
