@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestream.functions import tags
 from lodestream.operators import prompt, retrieval, session
 from lodestream.operators.dedup import blank_repeated_slots
+from lodestream.operators.reranking import rerank_texts
 from lodestream.operators.vectors import build_index
 from lodestream.plans.register import Registry
 from lodestream.storage import read_table
@@ -26,6 +27,10 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY vector_score D
 _TEXT = "'text ' || vec_id || CASE WHEN vec_id % 7 = 0 THEN '' ELSE ' of ' || tag END"
 
 
+def _sql_bigrams(x: str) -> str:
+    return rf"list_distinct(list_transform(range(1, length(regexp_replace({x}, '\s+', '', 'g'))), lambda i: substr(regexp_replace({x}, '\s+', '', 'g'), i, 2)))"
+
+
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "embeddings").select("vec_id", "embedding", F.concat(F.lit("l"), F.col("label").cast("string")).alias("tag"))
 
@@ -109,6 +114,24 @@ def rerank_topn(spark: SparkSession, d: str) -> DataFrame:
     return _rank_long(retrieval.rerank(hits, ((F.col("vec_id") * 37) % 11).cast("double"), 3))
 
 
+def _sql_overlap(a: str, b: str) -> str:
+    x, y = _sql_bigrams(a), _sql_bigrams(b)
+    return f"CAST(len(list_intersect({x}, {y})) AS DOUBLE) / least(len({x}), len({y}))"
+
+
+@register(
+    f"""WITH {_SCORED}, h AS (SELECT query_id, vec_id, rank AS r0, {_TEXT} AS text, 'text ' || (query_id + 13) || ' of l' || (query_id % 7) AS query FROM r WHERE rank <= 8),
+    c AS (SELECT query_id, vec_id, r0, {_sql_overlap("query", "text")} AS rerank_score FROM h),
+    n AS (SELECT query_id, vec_id, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, r0) AS rank FROM c)
+    SELECT * FROM n WHERE rank <= 3"""
+)
+def rerank_by_text(spark: SparkSession, d: str) -> DataFrame:
+    """Hits in the order of what a scorer of pairs of texts makes of them."""
+    q = F.concat(F.lit("text "), (F.col("query_id") + 13).cast("string"), F.lit(" of l"), (F.col("query_id") % 7).cast("string"))
+    hits = _with_text(retrieval.top_k(_queries(spark, d), _chunks(spark, d), K)).withColumn("query", q)
+    return _rank_long(rerank_texts(hits, 3)).select("query_id", "vec_id", "rerank_score", "rank")
+
+
 @register(f"WITH {_SCORED} SELECT query_id, vec_id, rank, CAST(NULL AS DOUBLE) AS rerank_score FROM r WHERE rank <= 3")
 def rerank_off(spark: SparkSession, d: str) -> DataFrame:
     hits = retrieval.top_k(_queries(spark, d), _chunks(spark, d), K).select("query_id", "vec_id", "rank")
@@ -126,10 +149,6 @@ def semantic_breakpoints(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.semantic_breaks(e)
 
 
-def _sql_bigrams(x: str) -> str:
-    return rf"list_distinct(list_transform(range(1, length(regexp_replace({x}, '\s+', '', 'g'))), lambda i: substr(regexp_replace({x}, '\s+', '', 'g'), i, 2)))"
-
-
 @register(
     f"""WITH c AS (SELECT conv_id // 3 AS visitor, conv_id, turn, role, text, {_sql_bigrams("text")} AS x FROM conversations)
     SELECT visitor, conv_id, turn FROM c WHERE role = 'user'
