@@ -28,7 +28,7 @@ from __future__ import annotations
 import os
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import ahocorasick
@@ -46,6 +46,7 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
 #: Parts a worker remembers in each of two generations, and pairs of pieces: some 80 MB and 30 MB.
 MEMORY, PAIRS = 160_000, 250_000
+MAX_DIFFER = 10_000
 MAX_MODEL_BYTES = 64 << 20
 MODEL_PATH = os.environ.get("LODESTREAM_SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 SLICE_CHARS = 1 << 20
@@ -150,7 +151,9 @@ class Codec:
         else:
             part = f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n"
         self.parts = re.compile(part)
-        self.known = _Memory(self.merged if model.merges else self.viterbi)
+        self.known = _Memory(self._part)
+        #: Parts whose ids do not give them back; when there are too many to hold, whole texts are decoded.
+        self.differ: set[str] = set()
 
     def merge(self, text: str) -> tuple[int, ...]:
         """Ids by replaying merges, best score first, leftmost first; -1 for an unknown character."""
@@ -216,7 +219,6 @@ class Codec:
 
         The same pass: every piece that ends at a position, by its own state or an output link, relaxes that
         position's best score, unless merges would change it and the last piece of the path it goes on from.
-        Of the pieces that end at a position one at most is left so, and a score once set is the best.
         """
         n, low, unknown = len(text), float("-inf"), self.unknown_score
         stays, joined = self._stays, self.joined
@@ -233,31 +235,53 @@ class Codec:
 
         for last, (size, score, i) in self.automaton.iter(text):
             end = last + 1
-            if best[end] != low:
-                continue
             start = end - size
             if best[start] == low:
                 reach(start)
+            total = best[start] + score
+            if total <= best[end]:
+                continue
             left = by[start]
             if left < 0 or (known := joined.get(left << 32 | i)) or (known is None and stays(left, i)):
-                best[end], origin[end], by[end] = best[start] + score, start, i
+                best[end], origin[end], by[end] = total, start, i
         if best[n] == low:
             reach(n)
         return self._ids(text, origin, by)
 
+    def _part(self, text: str) -> tuple[int, ...]:
+        ids = self.merged(text) if self.model.merges else self.viterbi(text)
+        if len(self.differ) < MAX_DIFFER and self._text(ids) != text.replace(BLANK, " "):
+            self.differ.add(text)
+        return ids
+
     def encode(self, text: str) -> np.ndarray:
+        return self.encode_checked(text)[0]
+
+    def encode_checked(self, text: str) -> tuple[np.ndarray, bool]:
+        """The ids of a text, and whether they give it back.
+
+        A text is decoded part by part, as it is encoded: each part when its ids are found, and all of it where the
+        ids of any of its parts do not give that back.
+        """
         if not text:
-            return np.zeros(0, dtype=np.int32)
+            return np.zeros(0, dtype=np.int32), True
         marked = (" " + text if self.model.dummy_prefix else text).replace(" ", BLANK)
-        return np.frombuffer(b"".join(map(self.known.__getitem__, self.parts.findall(marked))), dtype=np.int32)
+        parts = self.parts.findall(marked)
+        ids = np.frombuffer(b"".join(map(self.known.__getitem__, parts)), dtype=np.int32)
+        if len(self.differ) < MAX_DIFFER and self.differ.isdisjoint(parts) and sum(map(len, parts)) == len(marked):
+            return ids, True
+        return ids, self.decode(ids) == text.replace(BLANK, " ")
 
-    def decode(self, ids: np.ndarray) -> str:
+    def _text(self, ids: Sequence[int]) -> str:
         if not hasattr(self, "piece_bytes"):
             self.piece_bytes = [
                 bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else p.replace(BLANK, " ").encode()
                 for p, _, k in self.model.pieces
             ]
-        text = b"".join(map(self.piece_bytes.__getitem__, ids.tolist())).decode("utf-8", errors="replace")
+        return b"".join(map(self.piece_bytes.__getitem__, ids)).decode("utf-8", errors="replace")
+
+    def decode(self, ids: np.ndarray) -> str:
+        text = self._text(ids.tolist())
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
 
@@ -305,10 +329,10 @@ def encode_documents(docs: DataFrame, model_path: str = MODEL_PATH) -> DataFrame
             held, chars = ([], [], []), 0
             for doc_id, value in zip(batch.column("doc_id"), batch.column("text"), strict=True):
                 text = value.as_py()
-                ids = codec.encode(text)
+                ids, same = codec.encode_checked(text)
                 held[0].append(doc_id.as_py())
                 held[1].append(ids)
-                held[2].append(codec.decode(ids) == text.replace(BLANK, " "))
+                held[2].append(same)
                 chars += len(text)
                 if chars >= SLICE_CHARS:
                     yield batch_of(*held)

@@ -96,3 +96,31 @@ def test_a_model_that_rewrites_texts_is_refused():
     with pytest.raises(NotImplementedError):
         Model.parse(field(3, field(2, b"map")))
     assert np.array_equal(Codec(Model.parse(DATA)).encode("a"), Codec(Model.parse(DATA)).encode("a"))
+
+
+def test_the_best_of_the_pieces_that_merges_leave():
+    """At each position the score kept is the greatest of all pieces that end there and may follow what they go on from."""
+    codec = Codec(Model.parse(open(MODEL_PATH, "rb").read()))
+    for text in ("▁the", "▁unbelievable", "▁queleletre", "▁aaaaab", "▁Straßenbahn", "▁été"):
+        best, by = [0.0] + [float("-inf")] * len(text), [-1] * (len(text) + 1)
+        for end in range(1, len(text) + 1):
+            for start in range(end):
+                piece = text[start:end]
+                if piece in codec.score_of and best[start] > float("-inf"):
+                    score, i = codec.score_of[piece]
+                    if codec.merge(piece) == (i,) and (by[start] < 0 or codec._stays(by[start], i)) and best[start] + score > best[end]:
+                        best[end], by[end] = best[start] + score, i
+        ids, n = [], len(text)
+        while n > 0:
+            assert by[n] >= 0
+            ids.append(by[n])
+            n -= len(codec.model.pieces[by[n]][0])
+        assert codec.merged(text) == tuple(reversed(ids))
+
+
+def test_what_does_not_come_back_is_found(monkeypatch):
+    pieces = [("<unk>", 0.0, 2), ("▁", -1.0, 1), ("a", -1.0, 1), ("b", -2.0, 1), ("▁a", -0.5, 1)]
+    for most in (10_000, 1):
+        monkeypatch.setattr("lodestream.llm.sentencepiece.MAX_DIFFER", most)
+        codec = Codec(Model(pieces))
+        assert [codec.encode_checked(t)[1] for t in ("a b", "a c", "a b", "", "c", "d a", "▁a")] == [True, False, True, True, False, False, True]
