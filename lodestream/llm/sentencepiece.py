@@ -131,6 +131,7 @@ class Codec:
         self.model = model
         live = [(p, s, i) for i, (p, s, k) in enumerate(model.pieces) if k in (NORMAL, USER_DEFINED) and p]
         self.score_of = {p: (s, i) for p, s, i in live}
+        self.merge_score = {p: s for p, s, _ in live}
         self.joined: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
         for p, s, i in live:
@@ -157,13 +158,16 @@ class Codec:
 
     def merge(self, text: str) -> tuple[int, ...]:
         """Ids by replaying merges, best score first, leftmost first; -1 for an unknown character."""
-        parts = list(text)
-        while len(parts) > 1:
-            ranked = [(-self.score_of[x][0], k) for k, x in enumerate(map("".join, zip(parts, parts[1:]))) if x in self.score_of]
-            if not ranked:
-                break
-            k = min(ranked)[1]
+        parts, score, none = list(text), self.merge_score.get, float("-inf")
+        scores = [score(x + y, none) for x, y in zip(parts, parts[1:])]
+        while scores and (most := max(scores)) != none:
+            k = scores.index(most)
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del scores[k]
+            if k:
+                scores[k - 1] = score(parts[k - 1] + parts[k], none)
+            if k < len(scores):
+                scores[k] = score(parts[k] + parts[k + 1], none)
         return tuple(self.score_of[x][1] if x in self.score_of else -1 for x in parts)
 
     def _stays(self, left: int, right: int) -> bool:
@@ -172,8 +176,9 @@ class Codec:
         if (known := self.joined.get(key)) is None:
             if len(self.joined) >= PAIRS:
                 self.joined.clear()
-            pieces = self.model.pieces
-            known = self.joined[key] = self.merge(pieces[left][0] + pieces[right][0]) == (left, right)
+            text = self.model.pieces[left][0] + self.model.pieces[right][0]
+            # Two pieces that make up a third are merged into it, if nothing else happens to them before.
+            known = self.joined[key] = text not in self.merge_score and self.merge(text) == (left, right)
         return known
 
     def viterbi(self, text: str) -> tuple[int, ...]:
