@@ -28,6 +28,7 @@ from __future__ import annotations
 import os
 import re
 import struct
+from array import array
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -44,8 +45,8 @@ from lodestream.storage import bound_batches
 BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
-#: Parts a worker remembers in each of two generations, and pairs of pieces: some 80 MB and 30 MB.
-MEMORY, PAIRS = 160_000, 250_000
+#: Parts a worker remembers in each of two generations, and pairs of pieces: some 120 MB and 60 MB.
+MEMORY, PAIRS = 240_000, 500_000
 MAX_DIFFER = 10_000
 MAX_MODEL_BYTES = 64 << 20
 MODEL_PATH = os.environ.get("LODESTREAM_SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -114,7 +115,7 @@ class _Memory(dict):
     def __missing__(self, part: str) -> bytes:
         ids = self.old.get(part)
         if ids is None:
-            ids = np.array(self.compute(part), dtype=np.int32).tobytes()
+            ids = array("i", self.compute(part)).tobytes()
             if len(part) > 64:
                 return ids
         if len(self) >= MEMORY:
@@ -124,6 +125,13 @@ class _Memory(dict):
         return ids
 
 
+class _Anything(dict):
+    """Pieces that may follow what is no piece: all of them."""
+
+    def get(self, key: int, default: bool = True) -> bool:
+        return True
+
+
 class Codec:
     """A model made ready to encode and decode; one for each worker process."""
 
@@ -132,7 +140,10 @@ class Codec:
         live = [(p, s, i) for i, (p, s, k) in enumerate(model.pieces) if k in (NORMAL, USER_DEFINED) and p]
         self.score_of = {p: (s, i) for p, s, i in live}
         self.merge_score = {p: s for p, s, _ in live}
-        self.joined: dict[int, bool] = {}
+        self.sizes = [len(p) for p, _, _ in model.pieces]
+        #: What is known of pieces after each piece; the last entry, number -1, is for those after none.
+        self.follow: list[dict[int, bool]] = [*({} for _ in model.pieces), _Anything()]
+        self.pairs = 0
         self.automaton = ahocorasick.Automaton()
         for p, s, i in live:
             # A piece that merges do not lead to can end no path of merges.
@@ -172,50 +183,54 @@ class Codec:
 
     def _stays(self, left: int, right: int) -> bool:
         """Whether merges leave these two pieces, put together, as they are."""
-        key = left << 32 | right
-        if (known := self.joined.get(key)) is None:
-            if len(self.joined) >= PAIRS:
-                self.joined.clear()
+        if (known := self.follow[left].get(right)) is None:
+            if self.pairs >= PAIRS:
+                for pieces in self.follow:
+                    pieces.clear()
+                self.pairs = 0
             text = self.model.pieces[left][0] + self.model.pieces[right][0]
             # Two pieces that make up a third are merged into it, if nothing else happens to them before.
-            known = self.joined[key] = text not in self.merge_score and self.merge(text) == (left, right)
+            known = self.follow[left][right] = text not in self.merge_score and self.merge(text) == (left, right)
+            self.pairs += 1
         return known
 
     def viterbi(self, text: str) -> tuple[int, ...]:
         """Ids of the best path through ``text``, which is normalised."""
         n, low, unknown = len(text), float("-inf"), self.unknown_score
-        best, origin, by = [low] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        best, by = [low] * (n + 1), [-1] * (n + 1)
         best[0], at, single = 0.0, 0, False
         # ``at`` is the last position reached; it is settled when matches of a later one come.
         for last, (size, score, i) in self.automaton.iter(text):
             end = last + 1
             while at < end:
                 if at and not single and best[at - 1] + unknown > best[at]:
-                    best[at], origin[at], by[at] = best[at - 1] + unknown, at - 1, -1
+                    best[at], by[at] = best[at - 1] + unknown, -1
                 at, single = at + 1, False
             single = single or size == 1
             start = end - size
             total = best[start] + score
             if total > best[end]:
-                best[end], origin[end], by[end] = total, start, i
+                best[end], by[end] = total, i
         while at <= n:
             if at and not single and best[at - 1] + unknown > best[at]:
-                best[at], origin[at], by[at] = best[at - 1] + unknown, at - 1, -1
+                best[at], by[at] = best[at - 1] + unknown, -1
             at, single = at + 1, False
-        return self._ids(text, origin, by)
+        return self._ids(text, by)
 
-    def _ids(self, text: str, origin: list[int], by: list[int]) -> tuple[int, ...]:
-        """The pieces of a path, read back from its end."""
+    def _ids(self, text: str, by: list[int]) -> tuple[int, ...]:
+        """The pieces of a path, read back from its end; where it has none, an unknown character."""
         ids: list[int] = []
-        n = len(text)
+        n, sizes = len(text), self.sizes
         while n:
-            if by[n] >= 0:
-                ids.append(by[n])
-            elif self.byte_ids:
-                ids += [self.byte_ids[b] for b in reversed(text[origin[n] : n].encode())]
+            if (i := by[n]) >= 0:
+                ids.append(i)
+                n -= sizes[i]
+                continue
+            n -= 1
+            if self.byte_ids:
+                ids += [self.byte_ids[b] for b in reversed(text[n].encode())]
             else:
                 ids.append(self.unknown_id)
-            n = origin[n]
         ids.reverse()
         return tuple(ids)
 
@@ -226,8 +241,8 @@ class Codec:
         position's best score, unless merges would change it and the last piece of the path it goes on from.
         """
         n, low, unknown = len(text), float("-inf"), self.unknown_score
-        stays, joined = self._stays, self.joined
-        best, origin, by = [low] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        stays, follow = self._stays, self.follow
+        best, by = [low] * (n + 1), [-1] * (n + 1)
         best[0] = 0.0
 
         def reach(at: int) -> None:
@@ -236,22 +251,23 @@ class Codec:
             while best[first - 1] == low:
                 first -= 1
             for k in range(first, at + 1):
-                best[k], origin[k] = best[k - 1] + unknown, k - 1
+                best[k] = best[k - 1] + unknown
 
         for last, (size, score, i) in self.automaton.iter(text):
             end = last + 1
             start = end - size
-            if best[start] == low:
+            so_far = best[start]
+            if so_far == low:
                 reach(start)
-            total = best[start] + score
-            if total <= best[end]:
-                continue
-            left = by[start]
-            if left < 0 or (known := joined.get(left << 32 | i)) or (known is None and stays(left, i)):
-                best[end], origin[end], by[end] = total, start, i
+                so_far = best[start]
+            if so_far + score > best[end]:
+                left = by[start]
+                known = follow[left].get(i)
+                if known or (known is None and stays(left, i)):
+                    best[end], by[end] = so_far + score, i
         if best[n] == low:
             reach(n)
-        return self._ids(text, origin, by)
+        return self._ids(text, by)
 
     def _part(self, text: str) -> tuple[int, ...]:
         ids = self.merged(text) if self.model.merges else self.viterbi(text)
