@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestream.functions.names import is_person_name
-from lodestream.functions.overlap import QUESTION_COVERAGE, UTTERANCE_COVERAGE, asked_texts, core_sets, is_command, sets_cover
+from lodestream.functions.overlap import QUESTION_COVERAGE, UTTERANCE_COVERAGE, asked_texts, is_command
 from lodestream.functions.text import blank, strip
 from lodestream.operators import funnel, interest
+from lodestream.operators.repeats import drop_covered
 from lodestream.operators.rules import Rule, classify, preferences
 
 
@@ -50,22 +51,18 @@ def all_asked(last_ask: Column, answered: Column) -> Column:
 def drop_asked(hits: DataFrame, asks: DataFrame, limit: float = QUESTION_COVERAGE) -> DataFrame:
     """Hits (visitor, text) that none of the visitor's asks (visitor, text) covers; blank asks cover nothing.
 
-    An anti join by visitor with the coverage as a further condition, so asks of others never meet.
+    Each text meets the visitor's asks in blocks; see ``repeats``.
     """
-    known = asks.select(F.col("visitor").alias("of"), strip(blank(F.col("text"))).alias("known")).where("known <> ''").distinct()
-    # The character pairs of each text are made once, before any two texts meet.
-    known = known.select("of", core_sets(F.col("known")).alias("known_sets"))
-    sets = hits.withColumn("hit_sets", core_sets(F.col("text")))
-    covers = (F.size("hit_sets") > 0) & (sets_cover(F.col("hit_sets"), F.col("known_sets")) >= limit)
-    return sets.join(known, F.col("visitor").eqNullSafe(F.col("of")) & covers, "left_anti").drop("hit_sets")
+    return drop_covered(hits, asks.select("visitor", "text"), limit)
 
 
 def drop_said(hits: DataFrame, said: DataFrame, limit: float = UTTERANCE_COVERAGE) -> DataFrame:
-    """Hits (visitor, seq, text) that nothing the visitor said before, in ``said`` (visitor, seq, text), covers."""
-    known = said.select(F.col("visitor").alias("of"), F.col("seq").alias("at"), core_sets(F.col("text")).alias("known_sets")).where(F.size("known_sets") > 0)
-    sets = hits.withColumn("hit_sets", core_sets(F.col("text")))
-    covers = (F.col("at") < F.col("seq")) & (F.size("hit_sets") > 0) & (sets_cover(F.col("hit_sets"), F.col("known_sets")) >= limit)
-    return sets.join(known, F.col("visitor").eqNullSafe(F.col("of")) & covers, "left_anti").drop("hit_sets")
+    """Hits (visitor, seq, text) that nothing the visitor said before, in ``said`` (visitor, seq, text), covers.
+
+    Rows of ``said`` without a seq come before nothing, and nothing comes before hits without one.
+    """
+    earlier = said.where(F.col("seq").isNotNull()).select("visitor", "text", F.col("seq").alias("at"))
+    return drop_covered(hits, earlier, limit, "seq")
 
 
 def ask_context(states: DataFrame, titles: dict[str, str] | None = None) -> DataFrame:
