@@ -86,10 +86,11 @@ def first_covers(texts: DataFrame, known: DataFrame, limit: float) -> DataFrame:
         return sets.groupBy(key, "block").agg(F.sort_array(F.collect_list(F.struct(payload, "pairs"))).alias("sets"))
 
     met = dealt(known, "of", "at").withColumnRenamed("sets", "known_sets")
-    # One row a block and visitor: the blocks that a visitor's texts have to meet.
     meets = F.col("visitor").eqNullSafe(F.col("of"))
     ours = dealt(texts.withColumn("covered", digest(F.col("text"))), "visitor", "covered").withColumnRenamed("block", "own")
-    pairs = ours.join(met.select("of", "block"), meets).drop("of").withColumnRenamed("block", "other")
+    # The known blocks that a visitor's blocks have to meet are told by their number, so no known text is read for that.
+    blocks = known.groupBy("of").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    pairs = ours.join(blocks, meets).select("visitor", "sets", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     pairs = pairs.join(met, meets & (F.col("other") == F.col("block"))).select("of", "sets", "known_sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
