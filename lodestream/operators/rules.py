@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -11,10 +12,16 @@ from pyspark.sql import functions as F
 from lodestream.functions.tags import detect_entities
 from lodestream.functions.text import blank
 
+#: Edges of words of ASCII letters, digits and underscores; Java's own take other letters in, by version.
+_EDGES = {"b": r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))", "B": r"(?:(?<=\w)(?=\w)|(?<!\w)(?!\w))"}
+
 
 @dataclass(frozen=True)
 class Rule:
-    """A text is hit if any of ``any_of`` is found in it and all of ``all_of`` are, in any case."""
+    """A text is hit if any of ``any_of`` is found in it and all of ``all_of`` are, in any case.
+
+    ``\\b`` and ``\\B`` go by ASCII words, as ``\\w`` does.
+    """
 
     rule_id: str
     any_of: tuple[str, ...]
@@ -22,10 +29,14 @@ class Rule:
     title: str = ""
 
 
+def _by_ascii_words(pattern: str) -> str:
+    return re.sub(r"\\(.)", lambda m: _EDGES.get(m[1], m[0]), pattern, flags=re.DOTALL)
+
+
 def _hit(text: Column, rule: Rule) -> Column:
-    found = text.rlike("(?iu)" + "|".join(f"(?:{p})" for p in rule.any_of)) if rule.any_of else F.lit(False)
+    found = text.rlike("(?iu)" + "|".join(f"(?:{_by_ascii_words(p)})" for p in rule.any_of)) if rule.any_of else F.lit(False)
     for p in rule.all_of:
-        found = found & text.rlike(f"(?iu){p}")
+        found = found & text.rlike(f"(?iu){_by_ascii_words(p)}")
     return found
 
 

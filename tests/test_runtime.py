@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestream.functions import text
 from lodestream.functions.scan import running, running_state
 from lodestream.operators import prompt, runtime, session, store
-from lodestream.operators.rules import Rule
+from lodestream.operators.rules import Rule, classify
 
 
 def test_configuration(tmp_path):
@@ -80,3 +80,10 @@ def test_name_prompts(spark):
     ).first()
     assert "张三" in row.echo and row.none == prompt.TEMPLATES["progress_none"] and row.blocks.count("\n") == 4
     assert row.place == prompt.TEMPLATES["location_none"]
+
+
+def test_edges_of_words_are_ascii(spark):
+    rule = [Rule("ending", ("ment\\b", "\\bvis\\B"), ("\\w\\\\?",))]
+    given = ["onmentç èen", "mentß", "Ment", "ment_x", "mentor", "év visé", "èvisit", "ævis", None]
+    rows = spark.createDataFrame(list(enumerate(given)), "i int, t string").select("i", classify(F.col("t"), rule).alias("c")).collect()
+    assert [r.i for r in sorted(rows) if r.c] == [0, 1, 2, 6]
