@@ -87,3 +87,10 @@ def test_edges_of_words_are_ascii(spark):
     given = ["onmentç èen", "mentß", "Ment", "ment_x", "mentor", "év visé", "èvisit", "ævis", None]
     rows = spark.createDataFrame(list(enumerate(given)), "i int, t string").select("i", classify(F.col("t"), rule).alias("c")).collect()
     assert [r.i for r in sorted(rows) if r.c] == [0, 1, 2, 6]
+
+
+def test_letters_beyond_ascii_end_a_word_in_marks(spark):
+    rules = [Rule("ending", ("ment\\b",))]
+    turns = spark.createDataFrame([(1, 1, 1.0, "the onmentç"), (1, 2, 2.0, "a ment")], "visitor long, seq long, ts double, text string")
+    out = session.mark_from_texts(turns, rules, rules, {"the": "the"})
+    assert [(r.seq, r.stages) for r in out["newly_marked"].collect()] == [(1, ["ending"])]
