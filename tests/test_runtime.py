@@ -94,3 +94,10 @@ def test_letters_beyond_ascii_end_a_word_in_marks(spark):
     turns = spark.createDataFrame([(1, 1, 1.0, "the onmentç"), (1, 2, 2.0, "a ment")], "visitor long, seq long, ts double, text string")
     out = session.mark_from_texts(turns, rules, rules, {"the": "the"})
     assert [(r.seq, r.stages) for r in out["newly_marked"].collect()] == [(1, ["ending"])]
+
+
+def test_letters_beyond_ascii_end_a_word_in_topics(spark):
+    rules = [Rule("ending", ("ment\\b",))]
+    turns = spark.createDataFrame([(1, 1, 1.0, "the onmentç"), (1, 2, 2.0, "a ment")], "visitor long, seq long, ts double, text string")
+    out = session.mark_from_texts(turns, rules, rules, {"the": "the"})
+    assert [(r.entity, r.topic, r.n) for r in out["topics"].collect()] == [("the", "ending", 2)]
