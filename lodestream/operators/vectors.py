@@ -1,7 +1,7 @@
 """Vector search by blocked products: one scan for a bounded set of queries, or an index of cells.
 
 Vectors are compared by cosine, rounded to six places; of equal scores the smaller id comes first. A batch of vectors
-meets all queries in one matrix product. The index files each vector under the nearest of some centroids, fitted on
+meets the queries in matrix products of bounded size. The index files each vector under the nearest of some centroids, fitted on
 a bounded sample; a cell is stored in a folder of its own, in blocks of bounded size, so a cell that holds a third
 of all rows is many blocks. By the triangle inequality on angles no member of a cell can be nearer to a query than
 the angle to the centroid less the cell's widest angle. ``search`` looks into the nearest cells first, and then
@@ -18,7 +18,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +32,8 @@ MAX_CELLS = 4096
 CELL_ROWS = 1 << 10
 #: Vectors, and queries, of one block.
 BLOCK_ROWS, BLOCK_QUERIES = 1 << 13, 1 << 10
+#: Scores of rows by queries that are held at a time.
+BLOCK_SCORES = 1 << 20
 #: Cells that an exact search looks into before it uses the bounds.
 FIRST_PROBES = 4
 FIT_ROUNDS = 12
@@ -57,20 +58,72 @@ def _matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return unit_rows(flat.reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 1)))
 
 
-def _candidates(scores: np.ndarray, k: int, least: np.ndarray | float) -> tuple[np.ndarray, np.ndarray]:
+def _candidates(scores: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows and queries of a block (rows x queries) that may be among the best k: ties at the limit stay in."""
-    if len(scores) > k:
-        least = np.maximum(least, np.partition(scores, len(scores) - k, axis=0)[len(scores) - k])
-    return np.nonzero(scores >= least)
+    hit = scores >= least
+    if len(scores) > k and np.count_nonzero(hit) > 2 * k * scores.shape[1]:
+        hit &= scores >= np.partition(scores, len(scores) - k, axis=0)[len(scores) - k]
+    return np.nonzero(hit)
+
+
+def _ids(column: pa.ChunkedArray) -> np.ndarray:
+    """Numbers in the order of the ids."""
+    if pa.types.is_integer(column.type) or pa.types.is_floating(column.type):
+        return column.to_numpy()
+    return column.to_pandas().rank(method="dense").to_numpy()
 
 
 def _best(hits: Hits, k: int, id_col: str) -> Hits:
     table, query, score = hits
-    order = pd.DataFrame({"q": query, "s": score, "id": table.column(id_col).to_pandas()})
-    kept = order.sort_values(["q", "s", "id"], ascending=[True, False, True], kind="stable").groupby("q", sort=False).head(k).index.to_numpy()
+    order = np.lexsort((_ids(table.column(id_col)), -score, query))
+    sorted_ = query[order]
+    kept = order[np.arange(len(order)) - np.searchsorted(sorted_, sorted_) < k]
     return table.take(pa.array(kept)), query[kept], score[kept]
 
 
+class _Best:
+    """The best ``k`` hits of a block of queries (unit rows) among the rows met so far.
+
+    At most about ``BLOCK_SCORES`` scores are held at a time, however many the rows of a batch and the queries.
+    """
+
+    def __init__(self, queries: np.ndarray, k: int, id_col: str) -> None:
+        self.queries, self.k, self.id_col = queries, k, id_col
+        self.hits: Hits | None = None
+        self.least = np.full(len(queries), -np.inf)
+        self.last: np.ndarray | None = None  # the id at the limit, where ids are integers
+
+    def add(self, rows: pa.Table, vectors: np.ndarray) -> None:
+        """Meets rows (carried columns) and their unit vectors."""
+        step = max(self.k + 1, BLOCK_SCORES // max(len(self.queries), 1))
+        for at in range(0, len(vectors), step):
+            scores = vectors[at : at + step] @ self.queries.T
+            np.round(scores, 6, out=scores)
+            row, of = _candidates(scores, self.k, self.least)
+            score, row = scores[row, of], row + at
+            if self.last is not None:
+                ids = _ids(rows.column(self.id_col))
+                before = (score > self.least[of]) | (ids[row] < self.last[of])
+                row, of, score = row[before], of[before], score[before]
+            if len(row):
+                self._keep((rows.take(pa.array(row)), of, score))
+
+    def _keep(self, found: Hits) -> None:
+        if self.hits is not None:
+            held = self.hits
+            found = pa.concat_tables([held[0], found[0]]), np.append(held[1], found[1]), np.append(held[2], found[2])
+        self.hits = table, query, score = _best(found, self.k, self.id_col)
+        count = np.bincount(query, minlength=len(self.queries))
+        full, end = count >= self.k, np.cumsum(count) - 1
+        self.least[full] = score[end[full]]
+        ids = table.column(self.id_col)
+        if pa.types.is_integer(ids.type) and not ids.null_count:
+            self.last = np.zeros(len(self.queries), dtype=np.int64)
+            self.last[full] = _ids(ids)[end[full]]
+        else:
+            self.last = None
+
+
 def _carried(chunks: DataFrame, vector: str) -> list[str]:
     return [c for c in chunks.columns if c != vector and c not in _OWN]
 
@@ -95,26 +148,16 @@ def scan_top_k(queries: DataFrame, chunks: DataFrame, k: int, id_col: str, vecto
     q, names = _matrix(asked["query_vector"]), asked["query_id"].combine_chunks()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Hits | None = None
-        least = np.full(len(q), -np.inf)
+        held = [(at, _Best(q[at : at + BLOCK_QUERIES], k, id_col)) for at in range(0, len(q), BLOCK_QUERIES)]
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            scores = np.round(_matrix(batch.column(vector)) @ q.T, 6)
-            row, of = _candidates(scores, k, least)
-            if not len(row):
-                continue
-            found = pa.Table.from_batches([batch]).select(carried).take(pa.array(row))
-            score = scores[row, of]
-            if held is not None:
-                found, of, score = pa.concat_tables([held[0], found]), np.append(held[1], of), np.append(held[2], score)
-            held = _best((found, of, score), k, id_col)
-            full = np.bincount(held[1], minlength=len(q)) >= k
-            worst = np.full(len(q), np.inf)
-            np.minimum.at(worst, held[1], held[2])
-            least = np.where(full, worst, -np.inf)
-        if held is not None:
-            yield from _as_table(held, names).combine_chunks().to_batches()
+            rows, vectors = pa.Table.from_batches([batch]).select(carried), _matrix(batch.column(vector))
+            if batch.num_rows:
+                for _, best in held:
+                    best.add(rows, vectors)
+        while held:
+            at, best = held.pop()
+            if best.hits is not None:
+                yield from _as_table(best.hits, names.slice(at, BLOCK_QUERIES)).combine_chunks().to_batches()
 
     return chunks.where(F.col(vector).isNotNull()).select(*carried, vector).mapInArrow(run, schema)
 
@@ -185,14 +228,14 @@ class CellIndex:
         rows = self.members.where(F.col("cell").isin(opened)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
 
         def meet(members: pa.Table, queries: pa.Table) -> pa.Table:
-            if not (members.num_rows and queries.num_rows):
-                row, of, scores = np.zeros(0, int), np.zeros(0, int), np.zeros((0, 0))
-            else:
-                scores = np.round(_matrix(members[vector]) @ _matrix(queries["query_vector"]).T, 6)
-                row, of = _candidates(scores, k, -np.inf)
-            hits = _best((members.select(carried).take(pa.array(row, pa.int64())), of, scores[row, of]), k, id_col)
-            names = queries["query_id"].combine_chunks()
-            return _as_table(hits, names if isinstance(names, pa.Array) else pa.array([], names.type))
+            rows, names = members.select(carried), queries["query_id"].combine_chunks()
+            hits: Hits | None = None
+            if members.num_rows and queries.num_rows:
+                best = _Best(_matrix(queries["query_vector"]), k, id_col)
+                best.add(rows, _matrix(members[vector]))
+                hits = best.hits
+            none = rows.slice(0, 0), np.zeros(0, int), np.zeros(0)
+            return _as_table(hits or none, names if isinstance(names, pa.Array) else pa.array([], names.type))
 
         on = ("cell", "part", "block")
         return rows.groupBy(*on).cogroup(asked.groupBy(*on)).applyInArrow(meet, schema)

@@ -1,6 +1,9 @@
 """Vector search against all pairs."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestream.operators import retrieval, vectors
@@ -98,3 +101,24 @@ def test_empty_and_null(spark):
     assert got(retrieval.top_k(queries, some, 3)) == [(1, 0, 1.0, 1), (1, 2, 0.0, 2)]
     assert got(retrieval.search(vectors.build_index(none, "vec_id"), queries, 3)) == []
     assert got(retrieval.search(vectors.build_index(some, "vec_id"), queries, 3)) == [(1, 0, 1.0, 1), (1, 2, 0.0, 2)]
+
+
+@pytest.mark.parametrize("kind", [int, str])
+def test_memory_goes_by_the_block_not_by_queries_and_rows(kind):
+    rng = np.random.default_rng(3)
+    rows, queries = (vectors.unit_rows(rng.normal(size=(n, 4))) for n in (6000, 1000))
+    rows[1000:3000] = queries[:500] = rows[0]  # ties at the limit
+    ids = [kind(i) for i in rng.permutation(len(rows)).tolist()]
+    best = vectors._Best(queries, 8, "id")
+    tracemalloc.start()
+    for at in range(0, len(rows), 3000):
+        best.add(pa.table({"id": ids[at : at + 3000]}), rows[at : at + 3000])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # The scores of a batch alone are 24 MB, and were held three times over.
+    assert peak < 60 << 20
+    table, query, score = best.hits
+    all_scores = np.round(queries @ rows.T, 6)
+    for q in (0, 499, 500, 999):
+        want = sorted(zip((-all_scores[q]).tolist(), ids))[:8]
+        assert list(zip((-score[query == q]).tolist(), table.filter(pa.array(query == q))["id"].to_pylist())) == want
