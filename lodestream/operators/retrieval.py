@@ -80,15 +80,22 @@ def rerank(hits: DataFrame, score: Column | None, n: int) -> DataFrame:
     return hits.withColumn("rerank_score", score).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+def _is_above(threshold: float, score: str) -> Column:
+    return (F.coalesce(F.col(score), F.lit(0.0)) >= threshold) & (blank(F.col("text")) != "")
+
+
 def above(hits: DataFrame, threshold: float, score: str = "vector_score") -> DataFrame:
-    return hits.where((F.coalesce(F.col(score), F.lit(0.0)) >= threshold) & (blank(F.col("text")) != ""))
+    return hits.where(_is_above(threshold, score))
 
 
 def build_context(hits: DataFrame, threshold: float) -> DataFrame:
-    """(query_id, context): texts at or above the threshold in rank order, a blank line between."""
-    kept = above(hits, threshold).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("rows"))
-    texts = kept.select("query_id", F.array_join(F.transform("rows", lambda r: r["text"]), "\n\n").alias("context"))
-    return hits.select("query_id").distinct().join(texts, "query_id", "left").withColumn("context", F.coalesce("context", F.lit("")))
+    """(query_id, context): texts at or above the threshold in rank order, a blank line between.
+
+    The hits are read once: a query with none above the threshold is a group with nothing in it.
+    """
+    row = F.when(_is_above(threshold, "vector_score"), F.struct("rank", "text"))
+    rows = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    return rows.select("query_id", F.array_join(F.transform("rows", lambda r: r["text"]), "\n\n").alias("context"))
 
 
 def drop_known_scripts(hits: DataFrame, asks: Column, utterances: Column) -> DataFrame:

@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 
 from lodestream.operators import retrieval, vectors
+from lodestream.plans.retrieval_queries import QUERIES
 
 
 def table(spark, rows, ids=None):
@@ -122,3 +123,9 @@ def test_memory_goes_by_the_block_not_by_queries_and_rows(kind):
     for q in (0, 499, 500, 999):
         want = sorted(zip((-all_scores[q]).tolist(), ids))[:8]
         assert list(zip((-score[query == q]).tolist(), table.filter(pa.array(query == q))["id"].to_pylist())) == want
+
+
+@pytest.mark.parametrize("name", ["retrieval_context", "vector_threshold_context"])
+def test_contexts_search_once(spark, name):
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
