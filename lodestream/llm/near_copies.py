@@ -1,6 +1,11 @@
 """Near copies: texts whose sets of five-word shingles have a similarity (Jaccard) of 4/5 or more.
 
-Search is exact. Shingles are put in one order for all texts; two sets of sizes m and n that are alike
+SimHash comes first: a set's fingerprint of 64 bits is the majority of its shingles' bits, fingerprints that
+differ in 4 bits at most meet in the byte-position index of ``simhash`` (count filter, verification by bits), and the
+links it gives are held against the shingle sets. Copies near 0.8 differ in more bits than that, so what
+fingerprints do not connect is searched for exactly, and pairs that they do connect are not verified again.
+
+That search: shingles are put in one order for all texts; two sets of sizes m and n that are alike
 share one among the first n // 5 + 1 of either, so those are posted. Where the first shared one stands
 at i and j, at most min(m - i, n - j) are shared, and 4/9 of m + n must be. The order is that of hashes,
 but takes shingles that many posted lists hold (counted over all texts) last, which keeps posting lists
@@ -37,11 +42,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lodestream.llm.buffers import LOWER, giving_back, hash_words, slices, text_bytes
-from lodestream.llm.simhash import connected_components, label_nodes, least_rows
+from lodestream.llm.simhash import candidate_links, connected_components, label_nodes, least_rows
 from lodestream.llm.text import text_or_empty
 from lodestream.storage import bound_batches, materialize, scratch
 
 NEAR_WORDS = 5
+#: Bits that fingerprints may differ in; the index guarantees to find no more.
+NEAR_BITS = 4
 #: Posted lists that make a shingle common; common shingles at most, which bounds what is broadcast.
 COMMON_LEAST, COMMON_MOST = 4, 500_000
 #: Nodes up to this number (16 bytes each) are sent to the texts; beyond it both sides shuffle.
@@ -109,6 +116,18 @@ def _lists(ends: np.ndarray, flat: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.view(np.int64)))
 
 
+def fingerprints(h: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The SimHash of each set: a bit is set if it is in over half of the shingles; zero for an empty set."""
+    out = np.zeros(len(size), dtype=_U)
+    some = size > 0
+    if some.any():
+        start, half = _ends(size)[:-1][some], size[some]
+        for b in range(64):
+            tally = np.add.reduceat((h >> _U(b) & _U(1)).view(np.int64), start)
+            out[some] |= (2 * tally > half).astype(_U) << _U(b)
+    return out.view(np.int64)
+
+
 def map_width(n: int) -> int:
     """Bits of a set's map, as a power of two: the greatest up to 8 n."""
     return max(6, (8 * n).bit_length() - 1)
@@ -175,7 +194,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def with_maps(texts: DataFrame) -> DataFrame:
-    """doc_id, text_hash, node (the set's hash), n, map, and keys: the set's least n // 5 + 1 shingles."""
+    """doc_id, text_hash, node (the set's hash), n, map, print (its fingerprint), and keys: its least n // 5 + 1 shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, h, size, node in _in_slices(batches):
@@ -184,10 +203,10 @@ def with_maps(texts: DataFrame) -> DataFrame:
             at = np.arange(len(h)) - np.repeat(ends[:-1], size)
             maps = [bit_map(h[a:b]) for a, b in zip(ends.tolist(), ends.tolist()[1:], strict=False)]
             columns = [part.column("doc_id"), part.column("text_hash"), pa.array(node), pa.array(size.astype(np.int32)), pa.array(maps, pa.binary())]
-            columns.append(_lists(_ends(keys), h[at < np.repeat(keys, size)]))
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "node", "n", "map", "keys"])
+            columns += [pa.array(fingerprints(h, size)), _lists(_ends(keys), h[at < np.repeat(keys, size)])]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "node", "n", "map", "print", "keys"])
 
-    return texts.mapInArrow(giving_back(run), "doc_id long, text_hash long, node long, n int, map binary, keys array<long>")
+    return texts.mapInArrow(giving_back(run), "doc_id long, text_hash long, node long, n int, map binary, print long, keys array<long>")
 
 
 def common_shingles(maps: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -477,12 +496,35 @@ def verified_links(texts: DataFrame, distinct: DataFrame, candidates: DataFrame)
         return materialize(links.where(alike).select("u", "v"), "near-links", keep=True)
 
 
+def fingerprint_links(texts: DataFrame, distinct: DataFrame) -> DataFrame:
+    """Links (u, v), u > v, of similarity 0.8 or more among those of sets whose fingerprints differ in
+    ``NEAR_BITS`` at most: the index's links join the least node of either fingerprint, to which the others of it go."""
+    prints = materialize(distinct.groupBy("print").agg(F.min("node").alias("least")), "near-prints")
+    same = distinct.join(prints, "print").where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
+    links = candidate_links(prints.select(F.col("print").alias("node")), NEAR_BITS)
+    for end in ("u", "v"):
+        links = links.join(prints.select(F.col("print").alias(end), F.col("least").alias(f"node_{end}")), end)
+    between = links.select(F.greatest("node_u", "node_v").alias("u"), F.least("node_u", "node_v").alias("v"))
+    return verified_links(texts, distinct, same.unionByName(between))
+
+
+def _unconnected(candidates: DataFrame, links: DataFrame) -> DataFrame:
+    """The candidate links (u, v) whose ends ``links`` do not connect."""
+    roots = materialize(connected_components(links), "print-roots")
+    for end in ("u", "v"):
+        candidates = candidates.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+    return candidates.where("coalesce(root_u, u) <> coalesce(root_v, v)").select("u", "v")
+
+
 def near_links(texts: DataFrame, maps: DataFrame, distinct: DataFrame) -> DataFrame:
-    """Links (u, v), u > v, of similarity 0.8 or more that connect all nodes that such links connect."""
+    """Links (u, v), u > v, of similarity 0.8 or more that connect all nodes that such links connect: those that
+    fingerprints find, then the rest."""
+    found = fingerprint_links(texts, distinct)
     n_posted = maps.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
     posted = postings(texts, *common_shingles(maps))
     first = materialize(first_candidates(posted, n_posted), "first-candidates")
-    links = verified_links(texts, distinct, first.where("v IS NOT NULL").select("u", "v"))
+    rest = _unconnected(first.where("v IS NOT NULL").select("u", "v"), found)
+    links = found.unionByName(verified_links(texts, distinct, rest))
     members = first.where("v IS NULL").select("key", F.col("u").alias("node"), "n", "at")
     mixed = mixed_members(members, links)
     if mixed.isEmpty():
@@ -499,7 +541,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     with scratch(docs.sparkSession):
         texts = _texts(docs)
         maps = materialize(with_maps(texts), "set-maps")
-        distinct = materialize(least_rows(maps.drop("keys"), ["n", "map"], ["doc_id", "text_hash"]), "distinct-sets")
+        distinct = materialize(least_rows(maps.drop("keys"), ["n", "map", "print"], ["doc_id", "text_hash"]), "distinct-sets")
         labelled = label_nodes(maps.select("doc_id", "text_hash", "node"), distinct, near_links(texts, maps, distinct))
         gone = labelled.where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))))
         gone = materialize(gone.select(F.col("doc_id").alias("id"), "text_hash").distinct(), "near-copies", keep=True)

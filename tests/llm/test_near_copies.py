@@ -5,7 +5,7 @@ import pytest
 
 from lodestream.llm import near_copies
 from lodestream.llm.near_copies import drop_near_copies
-from test_pipeline import plain_near
+from test_pipeline import alike, plain_near, shingles
 
 VOCABULARY = np.array([f"v{i}" for i in range(20_000)])
 
@@ -84,3 +84,57 @@ def test_long_lists_of_members_alike_and_not(spark, monkeypatch, block):
         texts += [" ".join(w for p, c in zip(parts, x) for w in p[c]) for x in (choice, other)]
     want = plain_near(list(enumerate(texts)))
     assert 300 < len(want) <= 400 and stay(spark, texts) == want
+
+
+def plain_print(h):
+    return sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in h) > len(h))
+
+
+def test_fingerprints_find_copies_by_the_index_and_the_exact_search_finds_the_rest(spark, monkeypatch):
+    rng = np.random.default_rng(61)
+    texts = []
+    for i in range(60):  # close copies, and looser ones that fingerprints do not link
+        body = words(rng, 400)
+        texts += [" ".join(body), " ".join(changed(rng, body, 1 if i % 2 else 7))]
+    line = words(rng, 25)
+    texts += [" ".join(words(rng, 90) + line * 9) for _ in range(2)] + ["", "one two"]
+    asked, kept = [], {}
+    index, verify, unconnected = near_copies.candidate_links, near_copies.verified_links, near_copies._unconnected
+
+    def recorded(nodes, bits, *more):
+        asked.append((bits, {r.node for r in nodes.collect()}))
+        return index(nodes, bits, *more)
+
+    def with_false_ones(texts, distinct, candidates):
+        # Links that fingerprints give by chance are held against the sets.
+        nodes = distinct.selectExpr("node").orderBy("node")
+        false = nodes.crossJoin(nodes.selectExpr("node AS v").limit(1)).selectExpr("node AS u", "v").where("u <> v") if "first" not in kept else candidates.limit(0)
+        out = verify(texts, distinct, candidates.unionByName(false))
+        kept.setdefault("first", out.collect())
+        return out
+
+    def left(candidates, links):
+        out = unconnected(candidates, links)
+        kept["links"], kept["rest"] = {(r.u, r.v) for r in links.collect()}, {(r.u, r.v) for r in out.collect()}
+        return out
+
+    for name, f in (("candidate_links", recorded), ("verified_links", with_false_ones), ("_unconnected", left)):
+        monkeypatch.setattr(near_copies, name, f)
+    want = plain_near(list(enumerate(texts)))
+    assert stay(spark, texts) == want
+
+    maps = near_copies.with_maps(near_copies._texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    of = {r.doc_id: (r.node, r.print) for r in maps.collect()}
+    assert asked == [(4, {p for _, p in of.values()})]
+    sets = near_copies.shingle_sets(*near_copies.text_bytes(near_copies.pa.array(texts)))
+    h = np.split(sets[0], np.cumsum(sets[1])[:-1])
+    assert [p & (1 << 64) - 1 for _, p in (of[i] for i in range(len(texts)))] == [plain_print(x) for x in h]
+    prints = {}
+    for i in range(len(texts)):
+        for j in range(i):
+            a, b = of[i], of[j]
+            if bin((a[1] ^ b[1]) & (1 << 64) - 1).count("1") <= 4 and alike(shingles(texts[i]), shingles(texts[j])):
+                prints[max(a[0], b[0]), min(a[0], b[0])] = 1
+    least = min(node for node, _ in of.values())
+    assert set(prints) <= kept["links"] and all(least in pair for pair in kept["links"] - set(prints)) and 10 <= len(prints) < 60
+    assert not kept["rest"] & kept["links"] and len(want) == len(texts) - 60
