@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,24 @@ LOWER[65:91] += 32
 Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
+#: What this worker keeps for its next tasks, and what of it the present one has asked for.
+_kept: dict[Hashable, Any] = {}
+_asked: set[Hashable] = set()
+
+
+def keep(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives; made once for a worker, as long as each of its tasks asks for it."""
+    _asked.add(key)
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
 def give_back() -> None:
-    """Returns what this worker has freed to the system; workers live on after their tasks."""
+    """Returns what this worker has freed to the system, and what its task has not asked for; workers live on after their tasks."""
+    for key in _kept.keys() - _asked:
+        del _kept[key]
+    _asked.clear()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:

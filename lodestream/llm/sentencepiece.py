@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm.buffers import giving_back
+from lodestream.llm.buffers import giving_back, keep
 from lodestream.llm.text import text_or_empty
 from lodestream.storage import bound_batches
 
@@ -306,18 +306,12 @@ class Codec:
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
 
-_codecs: dict[int, Codec] = {}
-
-
 def _codec(shared) -> Codec:
-    if shared.id not in _codecs:
-        _codecs.clear()
-        _codecs[shared.id] = Codec(shared.value)
-    return _codecs[shared.id]
+    return keep(("codec", shared.id), lambda: Codec(shared.value))
 
 
 class _Shared:
-    """A broadcast model with a key for the worker's table of codecs."""
+    """A broadcast model with a key for what a worker keeps."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         with open(path, "rb") as f:  # on the driver
