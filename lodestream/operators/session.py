@@ -1,8 +1,8 @@
 """What a turn of a conversation does to a visitor's state, and the view that prompts are made from.
 
 Turns are (visitor, seq, ts, text); windows are by visitor and bounded by what one visitor says.
-Defined results: null texts count as empty; commands of the system leave no trace; an empty log gives
-empty tables.
+Defined results: null texts count as empty; commands of the system leave no trace; turns without a seq come
+after all others; an empty log gives empty tables.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ def mark_from_texts(turns: DataFrame, stages: Sequence[Rule], topics: Sequence[R
     """All that a batch of turns changes: marks, newly_marked by turn, entities and topics asked about."""
     marked = marked_turns(turns, stages, topics, aliases)
     each = marked.select("visitor", "seq", "ts", F.explode("stages").alias("stage"))
-    first = Window.partitionBy("visitor", "stage").orderBy("seq")
+    first = Window.partitionBy("visitor", "stage").orderBy(F.col("seq").asc_nulls_last())
     new = each.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
     attributed = interest.attribute_turns(marked)
     return {

@@ -101,3 +101,10 @@ def test_letters_beyond_ascii_end_a_word_in_topics(spark):
     turns = spark.createDataFrame([(1, 1, 1.0, "the onmentç"), (1, 2, 2.0, "a ment")], "visitor long, seq long, ts double, text string")
     out = session.mark_from_texts(turns, rules, rules, {"the": "the"})
     assert [(r.entity, r.topic, r.n) for r in out["topics"].collect()] == [("the", "ending", 2)]
+
+
+def test_marks_of_turns_without_a_place_come_last(spark):
+    rules = [Rule("price", ("price",))]
+    turns = spark.createDataFrame([(1, None, 1.0, "the price"), (1, 5, 2.0, "a price"), (2, None, 1.0, "a price")], "visitor long, seq long, ts double, text string")
+    out = session.mark_from_texts(turns, rules, rules, {"the": "the"})
+    assert {(r.visitor, r.seq) for r in out["newly_marked"].collect()} == {(1, 5), (2, None)}
