@@ -12,8 +12,8 @@ def care(count: Column) -> Column:
 
 
 def attribute_turns(turns: DataFrame) -> DataFrame:
-    """Turns (visitor, seq, ts, entities, topics): topics without an entity go to the last one named."""
-    w = Window.partitionBy("visitor").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    """Turns (visitor, seq, ts, entities, topics): topics without an entity go to the last one named; turns without a seq come last."""
+    w = Window.partitionBy("visitor").orderBy(F.col("seq").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     named = F.when(F.size("entities") > 0, F.element_at("entities", -1))
     last = F.last(named, ignorenulls=True).over(w)
     to = F.when((F.size("entities") == 0) & (F.size("topics") > 0) & last.isNotNull(), F.array(last)).otherwise(F.col("entities"))

@@ -69,8 +69,12 @@ def newly_marked(spark: SparkSession, d: str) -> DataFrame:
     SELECT visitor, entity, topic, count(*) AS n FROM (SELECT visitor, entity, unnest(topics) AS topic FROM a) GROUP BY ALL"""
 )
 def topics_from_texts(spark: SparkSession, d: str) -> DataFrame:
-    """Topics of turns by the entity they are about, named there or last before."""
-    out = session.mark_from_texts(_said(spark, d), RULES, RULES, {"the": "the"})
+    """Topics of turns by the entity they are about, named there or last before.
+
+    Turns that share a seq, as those of conversations of over 100 turns may, come in the order of conversations.
+    """
+    place = F.when(F.col("seq").isNotNull(), F.struct("seq", (-F.col("ts")).alias("back")))
+    out = session.mark_from_texts(_said(spark, d).withColumn("seq", place), RULES, RULES, {"the": "the"})
     return out["topics"].select("visitor", "entity", "topic", "n")
 
 

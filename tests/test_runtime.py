@@ -9,6 +9,7 @@ from lodestream.functions import text
 from lodestream.functions.scan import running, running_state
 from lodestream.operators import prompt, runtime, session, store
 from lodestream.operators.rules import Rule, classify
+from lodestream.plans import session_queries
 
 
 def test_configuration(tmp_path):
@@ -108,3 +109,16 @@ def test_marks_of_turns_without_a_place_come_last(spark):
     turns = spark.createDataFrame([(1, None, 1.0, "the price"), (1, 5, 2.0, "a price"), (2, None, 1.0, "a price")], "visitor long, seq long, ts double, text string")
     out = session.mark_from_texts(turns, rules, rules, {"the": "the"})
     assert {(r.visitor, r.seq) for r in out["newly_marked"].collect()} == {(1, 5), (2, None)}
+
+
+def test_topics_of_turns_without_a_place_come_last(spark):
+    rules = [Rule("price", ("price",))]
+    turns = spark.createDataFrame([(1, None, 1.0, "the seat"), (1, 5, 2.0, "a price"), (2, 1, 1.0, "the seat"), (2, None, 2.0, "a price")], "visitor long, seq long, ts double, text string")
+    out = session.mark_from_texts(turns, rules, rules, {"the": "the"})
+    assert [(r.visitor, r.entity, r.topic, r.n) for r in out["topics"].collect()] == [(2, "the", "price", 1)]
+
+
+def test_topics_of_turns_that_share_a_place_go_by_conversation(spark, tmp_path):
+    rows = [(1, 5, "user", "a nation"), (0, 105, "user", "the seat")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    assert list(map(tuple, session_queries.topics_from_texts(spark, str(tmp_path)).collect())) == [(0, "the", "ending", 1)]
